@@ -219,10 +219,10 @@ def first_seen_flag(df: DataFrame, keys: list[str], pos: str = "pos") -> DataFra
     The first position is an aggregate that combines on the map side, so a key with very many copies
     is not sorted in one task; AQE splits the join if its rows gather.
     """
-    first = df.groupBy(*keys).agg(F.min(pos).alias("_first"))
-    on = [df[key].eqNullSafe(first[key]) for key in keys]
-    joined = df.join(first, on, "left")
-    return joined.select(*[df[name] for name in df.columns], (df[pos] > first["_first"]).alias("repeated"))
+    named = [F.col(key).alias(f"_key{i}") for i, key in enumerate(keys)]
+    first = df.groupBy(*named).agg(F.min(pos).alias("_first"))
+    same = [F.col(key).eqNullSafe(F.col(f"_key{i}")) for i, key in enumerate(keys)]
+    return df.join(first, same, "left").select(*df.columns, (F.col(pos) > F.col("_first")).alias("repeated"))
 
 
 def expected_entries(totals: DataFrame, listed: DataFrame) -> DataFrame:

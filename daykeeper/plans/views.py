@@ -343,12 +343,15 @@ def cleanup_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Progress updates: a transfer per user, an object per event type.
+    return progress_of(table(spark, sf_dir, "events"))
+
+
+def progress_of(events: DataFrame) -> DataFrame:
+    """Progress updates of an event table or stream: a transfer per user, an object per event type.
 
     ``tick`` is the event time sped up 250,000 times, so that updates come within fractions of a
     second as live ones do.
     """
-    events = table(spark, sf_dir, "events")
     start = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
     micros = F.timestamp_diff("MICROSECOND", start, F.col("ts").cast("timestamp_ntz"))
     seconds = F.floor(micros / 1_000_000)

@@ -25,8 +25,9 @@ def utf8(content: Column) -> Column:
 
 
 def parse_manifest(raw: Column) -> Column:
-    """The manifest document of raw bytes; a document with all fields NULL when it is not JSON."""
-    return F.from_json(utf8(raw), MANIFEST, {"mode": "PERMISSIVE"})
+    """The manifest document of raw bytes; NULL when the whole text is not JSON."""
+    text = utf8(raw)
+    return F.from_json(F.when(F.try_parse_json(text).isNotNull(), text), MANIFEST, {"mode": "PERMISSIVE"})
 
 
 def manifest_columns(files: DataFrame) -> DataFrame:
