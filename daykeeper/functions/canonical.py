@@ -15,37 +15,50 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# The JSON short escapes; the other control characters take \\u00xx in lower case.
 _SHORT_ESCAPES = {"\b": "\\b", "\t": "\\t", "\n": "\\n", "\f": "\\f", "\r": "\\r"}
-_OTHER_CONTROLS = [chr(code) for code in range(32) if chr(code) not in _SHORT_ESCAPES]
+_OTHER_CONTROLS = {chr(code): f"\\u{code:04x}" for code in range(32) if chr(code) not in _SHORT_ESCAPES}
 
 
-def _replace_all(text: Column, table: dict[str, str]) -> Column:
+# The builders below make SQL text, so that a payload of any width is one call to the JVM.
+
+
+def sql_text(text: str) -> str:
+    """A SQL string literal."""
+    escaped = text.replace("\\", "\\\\").replace("'", "\\'")
+    return "'" + "".join(f"\\u{ord(char):04x}" if char < " " else char for char in escaped) + "'"
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _replace_all(text: str, table: dict[str, str]) -> str:
     for found, shown in table.items():
-        text = F.replace(text, F.lit(found), F.lit(shown))
+        text = f"replace({text}, {sql_text(found)}, {sql_text(shown)})"
     return text
 
 
-def json_string(text: Column) -> Column:
-    """A JSON string literal; control characters take lower-case ``\\u00xx`` escapes."""
+def _json_string(text: str) -> str:
     plain = _replace_all(text, {"\\": "\\\\", '"': '\\"'})
     lines = _replace_all(plain, _SHORT_ESCAPES)
-    rare = _replace_all(lines, {char: f"\\u{ord(char):04x}" for char in _OTHER_CONTROLS})
-    body = (
-        F.when(text.rlike("[\\x00-\\x07\\x0b\\x0e-\\x1f]"), rare)
-        .when(text.rlike("[\\x08-\\x0d]"), lines)
-        .otherwise(plain)
+    rare = _replace_all(lines, _OTHER_CONTROLS)
+    odd, broken = sql_text("[\\x00-\\x07\\x0b\\x0e-\\x1f]"), sql_text("[\\x08-\\x0d]")
+    return (
+        f"concat('\"', CASE WHEN {text} RLIKE {odd} THEN {rare} "
+        f"WHEN {text} RLIKE {broken} THEN {lines} ELSE {plain} END, '\"')"
     )
-    return F.concat(F.lit('"'), body, F.lit('"'))
 
 
-def timestamp_text(ts: Column, has_zone: bool) -> Column:
+def _timestamp(ts: str, has_zone: bool) -> str:
     """ISO-8601 in UTC with ``Z``; six fraction digits only when the fraction is not zero."""
     if has_zone:
-        epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-        ts = F.timestamp_add("MICROSECOND", F.unix_micros(ts), epoch)
-    text = ts.cast("string")
-    fraction = F.when(F.length(text) > 19, F.rpad(F.substring(text, 20, 7), 7, "0")).otherwise(F.lit(""))
-    return F.concat(F.left(text, F.lit(10)), F.lit("T"), F.substring(text, 12, 8), fraction, F.lit("Z"))
+        ts = f"timestampadd(MICROSECOND, unix_micros({ts}), TIMESTAMP_NTZ '1970-01-01 00:00:00')"
+    text = f"CAST({ts} AS STRING)"
+    return (
+        f"concat('\"', left({text}, 10), 'T', substring({text}, 12, 8), "
+        f"CASE WHEN length({text}) > 19 THEN rpad(substring({text}, 20, 7), 7, '0') ELSE '' END, 'Z\"')"
+    )
 
 
 def has_float(data_type: T.DataType) -> bool:
@@ -60,55 +73,47 @@ def has_float(data_type: T.DataType) -> bool:
     return False
 
 
-def _object_text(pairs: list[tuple[str, Column, T.DataType]]) -> Column:
-    parts: list[Column] = []
-    for position, (name, value, data_type) in enumerate(sorted(pairs, key=lambda pair: pair[0])):
+def _object(fields: list[tuple[str, str, T.DataType]], depth: int) -> str:
+    parts: list[str] = []
+    for position, (name, value, data_type) in enumerate(sorted(fields, key=lambda field: field[0])):
         lead = ("{" if position == 0 else ",") + json.dumps(name, ensure_ascii=False) + ":"
-        parts += [F.lit(lead), canonical_text(value, data_type)]
-    return F.concat(*parts, F.lit("}")) if parts else F.lit("{}")
+        parts += [sql_text(lead), canonical_sql(value, data_type, depth)]
+    return f"concat({', '.join(parts)}, '}}')" if parts else "'{}'"
 
 
-def canonical_text(value: Column, data_type: T.DataType) -> Column:
-    """Canonical JSON text of one value; NULL becomes the text ``null``."""
+def canonical_sql(value: str, data_type: T.DataType, depth: int = 0) -> str:
+    """SQL of the canonical JSON text of one value; NULL becomes the text ``null``."""
+    item = f"x{depth}"
     if isinstance(data_type, (T.StringType, T.CharType, T.VarcharType)):
-        text = json_string(value)
+        text = _json_string(value)
     elif isinstance(data_type, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType)):
-        text = value.cast("string")
+        text = f"CAST({value} AS STRING)"
     elif isinstance(data_type, (T.DecimalType, T.DateType)):
-        text = F.concat(F.lit('"'), value.cast("string"), F.lit('"'))
+        text = f"concat('\"', CAST({value} AS STRING), '\"')"
     elif isinstance(data_type, (T.TimestampType, T.TimestampNTZType)):
-        zoned = isinstance(data_type, T.TimestampType)
-        text = F.concat(F.lit('"'), timestamp_text(value, zoned), F.lit('"'))
+        text = _timestamp(value, isinstance(data_type, T.TimestampType))
     elif isinstance(data_type, T.NullType):
-        return F.lit("null")
+        return "'null'"
     elif isinstance(data_type, T.StructType):
-        fields = [(f.name, value.getField(f.name), f.dataType) for f in data_type.fields]
-        text = F.when(value.isNotNull(), _object_text(fields))
+        fields = [(f.name, f"{value}.{_quoted(f.name)}", f.dataType) for f in data_type.fields]
+        text = f"CASE WHEN {value} IS NOT NULL THEN {_object(fields, depth)} END"
     elif isinstance(data_type, T.ArrayType):
-        items = F.transform(value, lambda item: canonical_text(item, data_type.elementType))
-        text = F.concat(F.lit("["), F.array_join(items, ","), F.lit("]"))
+        element = canonical_sql(item, data_type.elementType, depth + 1)
+        text = f"concat('[', array_join(transform({value}, {item} -> {element}), ','), ']')"
     elif isinstance(data_type, T.MapType):
-        pairs = F.transform(
-            F.map_entries(value),
-            lambda entry: F.concat(
-                F.lit("["),
-                canonical_text(entry["key"], data_type.keyType),
-                F.lit(","),
-                canonical_text(entry["value"], data_type.valueType),
-                F.lit("]"),
-            ),
-        )
-        text = F.concat(F.lit("["), F.array_join(pairs, ","), F.lit("]"))
+        key = canonical_sql(f"{item}.key", data_type.keyType, depth + 1)
+        held = canonical_sql(f"{item}.value", data_type.valueType, depth + 1)
+        pairs = f"transform(map_entries({value}), {item} -> concat('[', {key}, ',', {held}, ']'))"
+        text = f"concat('[', array_join({pairs}, ','), ']')"
     else:
         raise TypeError(f"no native canonical form for {data_type.simpleString()}")
-    return F.coalesce(text, F.lit("null"))
+    return f"coalesce({text}, 'null')"
 
 
 def canonical_json(df: DataFrame, columns: list[str] | None = None) -> Column:
     """The canonical payload of each row, as one native string expression."""
-    names = columns or df.columns
     schema = {field.name: field.dataType for field in df.schema.fields}
-    return _object_text([(name, F.col(f"`{name}`"), schema[name]) for name in names])
+    return F.expr(_object([(name, _quoted(name), schema[name]) for name in columns or df.columns], 0))
 
 
 def _plain(value):
@@ -149,7 +154,7 @@ def canonical_json_exact(df: DataFrame, columns: list[str] | None = None) -> Col
 
     # The annotations are text in this module; the UDF kind is inferred from real classes.
     encode.__annotations__ = {"rows": pa.Array, "return": pa.Array}
-    return F.arrow_udf(T.StringType())(encode)(F.struct(*[F.col(f"`{name}`") for name in names]))
+    return F.arrow_udf(T.StringType())(encode)(F.struct(*[F.col(_quoted(name)) for name in names]))
 
 
 def nonfinite(value: Column, data_type: T.DataType) -> Column:

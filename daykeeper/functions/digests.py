@@ -28,16 +28,18 @@ def schema_fingerprint(df: DataFrame) -> Column:
     return F.sha2(F.lit(schema_text(df.schema)).cast("binary"), 256)
 
 
-def digest_numbers(row_sha256: Column) -> list[Column]:
-    """The row digest as four non-negative BIGINT numbers."""
-    return [F.conv(F.substring(row_sha256, start, NUMBER_DIGITS), 16, 10).cast("bigint") for start in NUMBER_STARTS]
+def digest_numbers(row_sha256: str) -> list[Column]:
+    """The row digest in a column as four non-negative BIGINT numbers."""
+    return [
+        F.expr(f"CAST(conv(substring({row_sha256}, {start}, {NUMBER_DIGITS}), 16, 10) AS BIGINT)")
+        for start in NUMBER_STARTS
+    ]
 
 
-def limb_sums(numbers: list[Column]) -> list[Column]:
+def limb_sums(numbers: list[str]) -> list[Column]:
     """Twelve BIGINT sums over the 20-bit limbs of the digest numbers."""
-    mask = F.lit(LIMB_MASK).cast("bigint")
     return [
-        F.sum(F.shiftright(number, shift).bitwiseAND(mask))
+        F.expr(f"sum((shiftright({number}, {shift}) & {LIMB_MASK}L))")
         for number in numbers
         for shift in (0, LIMB_BITS, 2 * LIMB_BITS)
     ]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from daykeeper.contracts import EMPTY_SHA256
-from daykeeper.functions.canonical import canonical_json, canonical_json_exact, canonical_text, has_float
+from daykeeper.functions.canonical import canonical_json, canonical_json_exact, has_float
 from daykeeper.functions.digests import BUCKET_START, digest_numbers, limb_sums, sha256
 
 
@@ -97,9 +97,9 @@ def bucket_fingerprints(df: DataFrame, keys: list[str], payload: str = "payload"
     numbered = hashed.select(
         *keys,
         F.substring("_sha", BUCKET_START, bucket_digits).alias("bucket"),
-        *[number.alias(f"_n{i}") for i, number in enumerate(digest_numbers(F.col("_sha")))],
+        *[number.alias(f"_n{i}") for i, number in enumerate(digest_numbers("_sha"))],
     )
-    sums = limb_sums([F.col(f"_n{i}") for i in range(4)])
+    sums = limb_sums([f"_n{i}" for i in range(4)])
     summed = numbered.groupBy(*keys, "bucket").agg(
         F.count(F.lit(1)).alias("row_count"), *[total.alias(f"_s{i}") for i, total in enumerate(sums)]
     )
@@ -118,14 +118,8 @@ def content_fingerprint(df: DataFrame, keys: list[str], payload: str = "payload"
     return lines.groupBy(*keys).agg(F.sum("row_count").alias("row_count"), sha256(root).alias("fingerprint"))
 
 
-TREE_ENTRY = T.StructType(
-    [
-        T.StructField("relative_key", T.StringType()),
-        T.StructField("row_count", T.LongType()),
-        T.StructField("sha256", T.StringType()),
-        T.StructField("size_bytes", T.LongType()),
-    ]
-)
+# The fields of a tree entry.
+TREE_FIELDS = ["relative_key", "row_count", "sha256", "size_bytes"]
 
 
 def tree_digest(objects: DataFrame, keys: list[str], pos: str = "pos") -> DataFrame:
@@ -133,14 +127,7 @@ def tree_digest(objects: DataFrame, keys: list[str], pos: str = "pos") -> DataFr
 
     A group is the entry list of one manifest document, which exists as one JSON value anyway.
     """
-    text = F.concat(
-        *[
-            part
-            for i, field in enumerate(TREE_ENTRY.fields)
-            for part in (F.lit(("{" if i == 0 else ",") + f'"{field.name}":'), canonical_text(F.col(field.name), field.dataType))
-        ],
-        F.lit("}"),
-    )
+    text = canonical_json(objects, TREE_FIELDS)
     listed = F.transform(F.array_sort(F.collect_list(F.struct(F.col(pos), text.alias("t")))), lambda x: x["t"])
     digest = sha256(F.concat(F.lit("["), F.array_join(listed, ","), F.lit("]")))
     return objects.groupBy(*keys).agg(digest.alias("tree_sha256"))

@@ -98,16 +98,17 @@ def replica_object_diff(left: DataFrame, right: DataFrame) -> DataFrame:
     return merged.withColumn("difference", kind).where(F.col("difference").isNotNull()).drop("in_left", "in_right")
 
 
-def select_source(valid: DataFrame, preferred: str = PRIMARY_REPLICA) -> DataFrame:
+def select_source(manifests: DataFrame, preferred: str = PRIMARY_REPLICA) -> DataFrame:
     """The preferred replica's manifest if valid, else the first by name, with a fallback flag.
 
-    ``valid`` has at most one row per day and replica. The pick is an aggregate, so it combines on
-    the map side instead of sorting each day.
+    ``manifests`` has one row per day and replica with ``reason`` NULL when valid; days without a
+    valid one are absent. The pick is an aggregate, so it combines on the map side instead of sorting
+    each day.
     """
-    fields = ["replica", "raw_sha256"]
     rank = F.struct((F.col("replica") != preferred).alias("other"), F.col("replica"))
-    picked = valid.groupBy(*DAY).agg(F.min_by(F.struct(*fields), rank).alias("pick"))
-    return picked.select(
+    valid = F.col("reason").isNull()
+    picked = manifests.groupBy(*DAY).agg(F.min_by(F.struct("replica", "raw_sha256"), F.when(valid, rank)).alias("pick"))
+    return picked.where(F.col("pick").isNotNull()).select(
         *DAY,
         F.col("pick.replica").alias("replica"),
         F.col("pick.raw_sha256").alias("raw_sha256"),
@@ -115,16 +116,17 @@ def select_source(valid: DataFrame, preferred: str = PRIMARY_REPLICA) -> DataFra
     )
 
 
-def compatible_sources(valid: DataFrame, preferred: str = PRIMARY_REPLICA) -> DataFrame:
+def compatible_sources(manifests: DataFrame, preferred: str = PRIMARY_REPLICA) -> DataFrame:
     """Sources whose manifest equals the selected one, selected first; warns when another differs.
 
-    The list per day is as long as there are replicas.
+    Takes the rows of ``select_source``. The list per day is as long as there are replicas.
     """
     rank = F.struct((F.col("replica") != preferred).alias("other"), F.col("replica"), F.col("raw_sha256"))
-    grouped = valid.groupBy(*DAY).agg(F.array_sort(F.collect_list(rank)).alias("ranked"))
+    valid = F.col("reason").isNull()
+    grouped = manifests.groupBy(*DAY).agg(F.array_sort(F.collect_list(F.when(valid, rank))).alias("ranked"))
     chosen = F.get("ranked", F.lit(0))
     equal = F.filter("ranked", lambda entry: entry["raw_sha256"] == chosen["raw_sha256"])
-    return grouped.select(
+    return grouped.where(F.size("ranked") > 0).select(
         *DAY,
         chosen["replica"].alias("selected"),
         F.transform(equal, lambda entry: entry["replica"]).alias("sources"),

@@ -104,6 +104,7 @@ def schema_drift(spark, sf):
 # Rules -----------------------------------------------------------------------------------------
 
 
+@views.shared
 def faulty(spark, sf):
     return views.manifest_columns(views.faulty_documents(spark, sf))
 
@@ -200,6 +201,7 @@ def check_retention(spark, sf):
     return evidence.check_retention(views.retention(spark, sf)).select(*DAY, "dropped_at", "verified_manifest_sha256", "reason")
 
 
+@views.shared
 def checked_plans(spark, sf):
     return evidence.check_plan_identity(views.plans(spark, sf), DEFAULT_CONTRACTS.cleanup_plan, "ready")
 
@@ -257,10 +259,12 @@ def check_usage(spark, sf):
 # Joins -----------------------------------------------------------------------------------------
 
 
+@views.shared
 def validated(spark, sf):
     return manifests.validate_manifests(views.manifests(spark, sf))
 
 
+@views.shared
 def presence(spark, sf):
     sides = [
         views.event_rows(spark, sf, side).select(*DAY, F.lit(side).alias("replica")).distinct()
@@ -270,21 +274,25 @@ def presence(spark, sf):
     return rollup.all_days(sides[0].unionByName(sides[1]), local)
 
 
+@views.shared
 def chained(spark, sf):
     return evidence.receipt_chain(
         views.cleanup_markers(spark, sf), views.receipts(spark, sf), views.markers(spark, sf)
     )
 
 
+@views.shared
 def statuses(spark, sf):
     return rollup.day_status(presence(spark, sf), validated(spark, sf), views.local_flags(spark, sf), chained(spark, sf))
 
 
+@views.shared
 def verified(spark, sf):
     left = views.objects(spark, sf).withColumn("pos", F.col("relative_key"))
     return reconcile.verify_objects(left, views.observed(spark, sf))
 
 
+@views.shared
 def verdicts(spark, sf):
     drive = views.manifests(spark, sf, (PRIMARY_REPLICA,)).select(
         *DAY,
@@ -322,6 +330,7 @@ def removal_eligibility(spark, sf):
     return eligible(spark, sf)
 
 
+@views.shared
 def eligible(spark, sf):
     return evidence.removal_eligibility(
         validated(spark, sf),
@@ -339,9 +348,9 @@ def listing_drift(spark, sf):
     return listing.listing_drift(sides[0], sides[1], ["collector"])
 
 
+@views.shared
 def selected(spark, sf):
-    valid = validated(spark, sf).where(F.col("reason").isNull())
-    return reconcile.select_source(valid, SECONDARY_REPLICA)
+    return reconcile.select_source(validated(spark, sf), SECONDARY_REPLICA)
 
 
 @query
@@ -367,6 +376,7 @@ def receipt_chain(spark, sf):
     return chained(spark, sf).select(*DAY, "file_name", "manifest_sha256")
 
 
+@views.shared
 def bound_checkpoints(spark, sf):
     newest = evidence.latest_valid_evidence(checked_plans(spark, sf), evidence.PROFILE_DAY)
     found = evidence.check_plan_identity(
@@ -382,10 +392,11 @@ def checkpoint_for_plan(spark, sf):
 
 @query
 def compatible_sources(spark, sf):
-    valid = validated(spark, sf).where(F.col("reason").isNull())
-    return reconcile.compatible_sources(valid).select(*DAY, "selected", joined(F.col("sources")).alias("sources"), "other_differs")
+    found = reconcile.compatible_sources(validated(spark, sf))
+    return found.select(*DAY, "selected", joined(F.col("sources")).alias("sources"), "other_differs")
 
 
+@views.shared
 def removal_targets(spark, sf):
     """A folder target per collector day and one file target."""
     days = views.collector_days(spark, sf)
@@ -629,6 +640,7 @@ def report_index(spark, sf):
     return index.withColumn("kind", labels.report_kind_label(F.col("kind"))).drop("modified")
 
 
+@views.shared
 def readable(spark, sf):
     return report_rows(views.report_files(spark, sf))
 

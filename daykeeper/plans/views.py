@@ -7,11 +7,14 @@ while the number of collectors, manifests and objects grows with the events.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daykeeper.contracts import DEFAULT_CONTRACTS, PRIMARY_REPLICA, SECONDARY_REPLICA
-from daykeeper.functions.canonical import canonical_json, canonical_text
+from daykeeper.functions.canonical import canonical_json, canonical_sql
 from daykeeper.functions.dates import day_text
 from daykeeper.functions.digests import digest_numbers, limb_sums, sha256
 from daykeeper.operators.digest import tree_digest
@@ -24,6 +27,24 @@ ROOT = "archive/v3"
 PAYLOAD = ["event_id", "event_type", "props", "ts", "user_id", "value"]
 
 
+def shared(build: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Keeps a view's definition per session and folder, so that plans built from it share it.
+
+    Only the unevaluated DataFrame is kept; nothing is computed or stored.
+    """
+    known: dict[tuple, DataFrame] = {}
+
+    @wraps(build)
+    def view(spark: SparkSession, sf_dir: str, *args) -> DataFrame:
+        key = (spark.sparkContext.applicationId, id(spark), sf_dir, *args)
+        if key not in known:
+            known[key] = build(spark, sf_dir, *args)
+        return known[key]
+
+    return view
+
+
+@shared
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -40,6 +61,7 @@ def kind_of(event_type: Column) -> Column:
     return chain
 
 
+@shared
 def event_rows(spark: SparkSession, sf_dir: str, side: str = PRIMARY_REPLICA) -> DataFrame:
     """Archived rows as one side holds them: both replicas and the local copy differ on some days."""
     events = table(spark, sf_dir, "events")
@@ -68,6 +90,7 @@ def event_rows(spark: SparkSession, sf_dir: str, side: str = PRIMARY_REPLICA) ->
     return rows.withColumn("payload", canonical_json(rows, PAYLOAD))
 
 
+@shared
 def objects(spark: SparkSession, sf_dir: str, side: str = PRIMARY_REPLICA) -> DataFrame:
     """Objects of one side. The digest is a sum over row digests, combined on the map side."""
     rows = event_rows(spark, sf_dir, side)
@@ -75,8 +98,8 @@ def objects(spark: SparkSession, sf_dir: str, side: str = PRIMARY_REPLICA) -> Da
         *DAY, "dom", "table_name", "kind", "relative_key", "ts",
         F.octet_length("payload").cast("bigint").alias("bytes"), sha256(F.col("payload")).alias("sha"),
     )
-    numbered = hashed.select("*", *[number.alias(f"n{i}") for i, number in enumerate(digest_numbers(F.col("sha")))])
-    sums = limb_sums([F.col(f"n{i}") for i in range(4)])
+    numbered = hashed.select("*", *[number.alias(f"n{i}") for i, number in enumerate(digest_numbers("sha"))])
+    sums = limb_sums([f"n{i}" for i in range(4)])
     line = F.concat_ws(":", F.count(F.lit(1)).cast("string"), *[total.cast("string") for total in sums])
     grouped = numbered.groupBy(*DAY, "dom", "table_name", "kind", "relative_key").agg(
         F.count(F.lit(1)).alias("row_count"),
@@ -94,6 +117,7 @@ def objects(spark: SparkSession, sf_dir: str, side: str = PRIMARY_REPLICA) -> Da
 ENTRY = ["content_sha256", "kind", "relative_key", "row_count", "schema_sha256", "sha256", "size_bytes", "table_name"]
 
 
+@shared
 def manifest_bodies(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
     """Manifest fields per day before they become a document; at most five entries each."""
     entry = F.struct("relative_key", F.struct(*ENTRY).alias("item"))
@@ -127,19 +151,21 @@ def as_documents(bodies: DataFrame) -> DataFrame:
             "contract_version", "object_count", "objects", "retention_delete_allowed", "row_count", "status",
         ).alias("body"),
     )
-    text = canonical_text(F.col("body"), body.schema["body"].dataType)
+    text = F.expr(canonical_sql("body", body.schema["body"].dataType))
     raw = body.select(*DAY, "replica", "dom", text.cast("binary").alias("raw"))
     return raw.withColumn("declared_sha256", sha256(F.col("raw"))).withColumn(
         "declared_size", F.octet_length("raw").cast("bigint")
     )
 
 
+@shared
 def manifest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of both replicas; on days divisible by 17 the declared row count is off by one."""
     both = [as_documents(manifest_bodies(spark, sf_dir, side)) for side in (PRIMARY_REPLICA, SECONDARY_REPLICA)]
     return both[0].unionByName(both[1])
 
 
+@shared
 def manifests(spark: SparkSession, sf_dir: str, sides: tuple[str, ...] = (PRIMARY_REPLICA, SECONDARY_REPLICA)) -> DataFrame:
     """Parsed manifests, through the same columns as manifest files."""
     documents = [as_documents(manifest_bodies(spark, sf_dir, side)) for side in sides]
@@ -149,6 +175,7 @@ def manifests(spark: SparkSession, sf_dir: str, sides: tuple[str, ...] = (PRIMAR
     return manifest_columns(union)
 
 
+@shared
 def faulty_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with one planted fault per day of month, two on the 18th."""
     bodies = manifest_bodies(spark, sf_dir, PRIMARY_REPLICA)
@@ -188,6 +215,7 @@ def observed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return objects(spark, sf_dir, "local")
 
 
+@shared
 def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flat listing of both replicas with one boundary sibling folder per collector of the first day."""
     parts = []
@@ -209,6 +237,7 @@ def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return union
 
 
+@shared
 def collector_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct collector days of the events with their day of month; one scan, no digests."""
     events = table(spark, sf_dir, "events")
@@ -219,12 +248,14 @@ def collector_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).distinct()
 
 
+@shared
 def drive_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Manifest digest per day of the first replica."""
     documents = as_documents(manifest_bodies(spark, sf_dir, PRIMARY_REPLICA))
     return documents.select(*DAY, "dom", F.col("declared_sha256").alias("manifest_sha256"))
 
 
+@shared
 def local_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = collector_days(spark, sf_dir)
     return days.select(
@@ -237,6 +268,7 @@ def local_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@shared
 def markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Local verification markers: stale digest on days % 6, damaged on days % 10."""
     days = drive_digests(spark, sf_dir).where(~every(13))
@@ -250,6 +282,7 @@ def markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@shared
 def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = drive_digests(spark, sf_dir).where(~every(19))
     return days.select(
@@ -275,6 +308,7 @@ def _identity() -> list[Column]:
     ]
 
 
+@shared
 def plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two plan files per day up to the 20th; drafts on days % 9, a foreign second file on days % 6."""
     trees = tree_digest(objects(spark, sf_dir), DAY, "relative_key")
@@ -295,6 +329,7 @@ def plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@shared
 def checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Checkpoints up to the 15th for the day's first valid plan name; wrong digest on days % 4."""
     days = collector_days(spark, sf_dir).where("dom <= 15")
@@ -315,6 +350,7 @@ def checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@shared
 def receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = drive_digests(spark, sf_dir).where("dom <= 10")
     name = F.concat(F.lit("receipt-"), "archive_date", F.lit(".json"))
@@ -328,6 +364,7 @@ def receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@shared
 def cleanup_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Markers up to the 10th; wrong receipt digest on days % 4, a path as file name on days % 5."""
     days = collector_days(spark, sf_dir).where("dom <= 10")
@@ -342,6 +379,7 @@ def cleanup_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@shared
 def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return progress_of(table(spark, sf_dir, "events"))
 
@@ -371,6 +409,7 @@ def progress_of(events: DataFrame) -> DataFrame:
     )
 
 
+@shared
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two transfer attempts per order, bytes by the number of its line items."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", day_text(F.col("o_orderdate")).alias("archive_date"))
@@ -392,6 +431,7 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@shared
 def report_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Report files as rows: readable ones from manifests, unreadable ones from pages and chats."""
     days = manifest_bodies(spark, sf_dir, PRIMARY_REPLICA)

@@ -16,6 +16,8 @@ def build_session(app_name: str = "daykeeper", master: str | None = None, **conf
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Call sites of single column expressions are not needed and slow down plan building.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         "spark.python.unix.domain.socket.enabled": "true",
         **conf,
     }

@@ -31,19 +31,18 @@ def catch_up_stream(
     """
 
     def cycle(batch: DataFrame, batch_id: int) -> None:
-        checked = validate_manifests(manifest_columns(batch))
-        valid = checked.where(F.col("reason").isNull())
-        chosen = select_source(valid.select(*DAY, "replica", "raw_sha256"))
-        available = chosen.select(*DAY, F.col("replica"), F.col("raw_sha256").alias("manifest_sha256"))
+        # The checked manifests are used three times: kept for the cycle, recomputed if lost.
+        checked = validate_manifests(manifest_columns(batch)).persist()
+        chosen = select_source(checked)
+        available = chosen.select(*DAY, "replica", F.col("raw_sha256").alias("manifest_sha256"))
         todo = catch_up_days(available, markers()).where(F.col("action") == "fetch").drop("action")
-        manifests = valid.join(todo, [*DAY, "replica"], "inner")
-        verdicts = verify_days(
-            manifests.select(
-                *DAY, "manifest_sha256", F.col("object_count").cast("bigint"), F.col("row_count").cast("bigint")
-            ),
-            verify_objects(manifest_objects(manifests.select(*valid.columns)), observed()),
+        fetched = checked.join(todo, [*DAY, "replica"])
+        declared = fetched.select(
+            *DAY, "manifest_sha256", F.col("object_count").cast("bigint"), F.col("row_count").cast("bigint")
         )
+        verdicts = verify_days(declared, verify_objects(manifest_objects(fetched), observed()))
         write_report(verdicts.where(F.col("status") == "verified"), report_path)
+        checked.unpersist()
 
     run_available(documents, cycle, "append", checkpoint)
 
