@@ -151,6 +151,11 @@ _REPORT_TEXT = """
    CASE WHEN prefix = 'verify' AND dom % 3 <> 0 THEN object_count::VARCHAR ELSE 'n/a' END AS count_text
  FROM reports)"""
 
+_VERDICT = (
+    "to_json({'archive_date': archive_date, 'collector': collector, 'failed_objects': failed_objects, "
+    "'manifest_sha256': v.manifest_sha256, 'object_count': v.object_count, 'reason': v.reason, 'row_count': v.row_count, "
+    "'status': CASE WHEN v.reason IS NULL THEN 'verified' ELSE 'failed' END, 'tree_sha256': CASE WHEN v.reason IS NULL THEN v.tree END})::VARCHAR"
+)
 _SCHEMAS = {
     "orders": "o_orderkey:bigint:true,o_custkey:bigint:true,o_orderstatus:string:true,o_totalprice:double:true,"
     "o_orderdate:timestamp_ntz:true,o_orderpriority:string:true",
@@ -463,6 +468,39 @@ SELECT collector, target, CASE WHEN reason IS NULL THEN 'completed' ELSE 'blocke
 FROM (SELECT t.collector, t.target, count(e.key) AS n, sum(e.size_bytes)::BIGINT AS b, CASE WHEN count(e.key) = 0 THEN 'empty'
     WHEN bool_or(contains(e.key, '-05/raw')) THEN 'drift' WHEN bool_or(contains(e.key, '-06/raw')) THEN 'remaining' END AS reason
   FROM {_TARGETS} t LEFT JOIN {_ENTRIES} e ON e.collector = t.collector AND e.target = t.target WHERE t.is_dir GROUP BY t.collector, t.target)""",
+    "read_manifests": """
+SELECT collector, archive_date, replica, raw_sha256, raw_size, contract_version, status, true AS retention_delete_allowed, object_count,
+  len(objects) AS entries FROM manifests""",
+    "scan_days": f"""
+SELECT collector, archive_date, count(*) AS row_count, {_chain('payload', 'event_id')} AS content_sha256 FROM rows_drive GROUP BY ALL""",
+    "list_files": "SELECT collector, archive_date, 1::BIGINT AS files, true AS sized FROM days",
+    "read_object_meta": """
+SELECT collector, relative_key, size_bytes, sha256, CASE WHEN kind = 'control' THEN 'meta_path' END AS reason FROM objects""",
+    "read_reports": f"""
+SELECT string_split(path, '/')[-1] AS name, NULL::VARCHAR AS reason,
+  {_case('prefix', {'verify': '完整校验', 'plan': '清理计划', 'checkpoint-r2': 'R2 检查点', 'receipt': '清理回执'}, "'JSON 报告'")} AS kind,
+  day AS archive_date,
+  {_case('prefix', {'verify': '✓ 已验证', 'plan': '○ 待处理', 'checkpoint-r2': '✓ 已确认', 'receipt': '✓ 已完成'}, "'draft'")} AS state, row_count
+FROM reports_text UNION ALL SELECT string_split(path, '/')[-1], reason, CASE WHEN reason = 'bad_json' THEN 'JSON 报告' ELSE '完整校验' END,
+  CASE WHEN reason = 'bad_json' THEN '--' ELSE '2024-03-05' END, '! 异常', 0 FROM broken_reports""".replace("reports_text", _REPORT_TEXT),
+    "read_evidence": """
+SELECT collector AS collector_id, archive_date, file_name, status, local_tree_sha256, NULL::VARCHAR AS reason, sha256(to_json({
+  'archive_date': archive_date, 'collector_id': collector, 'contract_version': contract_version, 'local_tree_sha256': local_tree_sha256,
+  'manifest_sha256': manifest_sha256, 'profile_id': profile_id, 'status': status})::VARCHAR) AS file_sha256 FROM plans""",
+    "write_reports": f"SELECT collector, archive_date, {_VERDICT} AS value FROM verdicts v",
+    "publish_days": """
+SELECT collector, archive_date, event_id FROM ev WHERE (collector, archive_date) IN (SELECT (collector, archive_date) FROM verdicts WHERE reason IS NULL)""",
+    "observe_files": f"""
+SELECT collector, archive_date, count(*) AS row_count, {_chain('payload', 'event_id')} AS content_sha256, true AS sized, 64 AS schema_digits,
+  NULL::VARCHAR AS reason FROM rows_drive GROUP BY ALL""",
+    "arrow_schemas": """
+SELECT collector, count(DISTINCT archive_date) AS files, count(*) AS row_count, true AS one_schema FROM ev GROUP BY collector""",
+    "catch_up": f"""
+SELECT collector, archive_date, {_VERDICT} AS value FROM verdicts v JOIN manifests m USING (collector, archive_date)
+WHERE v.reason IS NULL AND m.reason IS NULL AND m.replica = 'google_drive' AND (m.dom % 5 = 0 OR m.dom % 13 = 0)""",
+    "day_table_counts": """
+SELECT p.collector, p.archive_date, p.in_r2, e.rows, e.rows - 1 AS last_row, 'google_drive' AS replica
+FROM presence p JOIN (SELECT collector, archive_date, count(*) AS rows FROM ev GROUP BY ALL) e USING (collector, archive_date)""",
     "stream_progress": _LIVE,
     "stream_transfer_totals": f"""
 SELECT transfer_id, least(sum(object_bytes), sum(object_total))::BIGINT AS bytes_completed, sum(object_total)::BIGINT AS bytes_total
