@@ -123,19 +123,23 @@ def smooth(speed: float | None, instant: float) -> float:
     return instant if speed is None else speed * SPEED_KEEP + instant * SPEED_GAIN
 
 
-def speed_step(state: tuple, seconds: float, moved: int, switching: bool) -> tuple:
-    """Next (sample time, sample bytes, speed) of a transfer after one update."""
+SAMPLE_MICROS = round(SPEED_SAMPLE_SECONDS * 1e6)
+
+
+def speed_step(state: tuple, micros: int, moved: int, switching: bool) -> tuple:
+    """Next (sample micros, sample bytes, speed) of a transfer after one update."""
     at, base, speed = state
     if switching:
         return None, base, None
     if at is None or moved < base:
-        return seconds, moved, speed
-    elapsed = seconds - at
-    if elapsed < SPEED_SAMPLE_SECONDS:
+        return micros, moved, speed
+    # Whole microseconds, so that a gap of exactly the sample time counts as one.
+    elapsed = micros - at
+    if elapsed < SAMPLE_MICROS:
         return state
     if moved > base:
-        speed = smooth(speed, (moved - base) / elapsed)
-    return seconds, moved, speed
+        speed = smooth(speed, (moved - base) / (elapsed / 1e6))
+    return micros, moved, speed
 
 
 def transfer_speed(progress: DataFrame, chunk_seconds: int = DAY_SECONDS) -> DataFrame:
@@ -159,15 +163,15 @@ def transfer_speed(progress: DataFrame, chunk_seconds: int = DAY_SECONDS) -> Dat
     ready = slim.repartition("transfer_id", "stretch").sortWithinPartitions("transfer_id", "stretch", "micros", "seq")
 
     def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, state, origin = None, (None, 0, None), 0
+        current, state = None, (None, 0, None)
         for frame in frames:
             speeds = []
             for transfer, stretch, micros, switched, moved in zip(
                 frame["transfer_id"], frame["stretch"], frame["micros"], frame["switching"], frame["network_bytes"]
             ):
                 if (transfer, stretch) != current:
-                    current, state, origin = (transfer, stretch), (None, 0, None), int(micros)
-                state = speed_step(state, (int(micros) - origin) / 1e6, int(moved), bool(switched))
+                    current, state = (transfer, stretch), (None, 0, None)
+                state = speed_step(state, int(micros), int(moved), bool(switched))
                 speeds.append(state[2])
             out = frame[["transfer_id", "seq"]].copy()
             speed = pd.array(speeds, dtype="Float64")

@@ -89,17 +89,13 @@ def stream_speed(stream: DataFrame) -> DataFrame:
     )
 
     def follow(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        micros, base, speed = state.get if state.exists else (None, 0, None)
+        current = tuple(state.get) if state.exists else (None, 0, None)
         rows = _in_order(frames)
-        # Seconds relative to a whole second keep sub-millisecond precision.
-        origin = (int(micros if micros is not None else rows["micros"].iloc[0]) // 10**6) * 10**6
-        current = (None if micros is None else (micros - origin) / 1e6, base, speed)
         speeds = []
         for at, stage, moved in zip(rows["micros"], rows["stage"], rows["network_bytes"]):
-            current = speed_step(current, (int(at) - origin) / 1e6, int(moved), stage == "switching")
+            current = speed_step(current, int(at), int(moved), stage == "switching")
             speeds.append(current[2])
-        sampled = None if current[0] is None else origin + round(current[0] * 1e6)
-        state.update((sampled, current[1], current[2]))
+        state.update(current)
         out = rows[["transfer_id", "seq"]].copy()
         out["speed"] = pd.array(speeds, dtype="Float64")
         yield out
