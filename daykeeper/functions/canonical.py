@@ -43,22 +43,18 @@ def _json_string(text: str) -> str:
     plain = _replace_all(text, {"\\": "\\\\", '"': '\\"'})
     lines = _replace_all(plain, _SHORT_ESCAPES)
     rare = _replace_all(lines, _OTHER_CONTROLS)
-    odd, broken = sql_text("[\\x00-\\x07\\x0b\\x0e-\\x1f]"), sql_text("[\\x08-\\x0d]")
-    return (
-        f"concat('\"', CASE WHEN {text} RLIKE {odd} THEN {rare} "
-        f"WHEN {text} RLIKE {broken} THEN {lines} ELSE {plain} END, '\"')"
-    )
+    special, odd = sql_text('[\\x00-\\x1f"\\\\]'), sql_text("[\\x00-\\x07\\x0b\\x0e-\\x1f]")
+    # Most text needs no escape at all: one pattern match settles it.
+    escaped = f"CASE WHEN {text} RLIKE {odd} THEN {rare} ELSE {lines} END"
+    return f"concat('\"', CASE WHEN {text} RLIKE {special} THEN {escaped} ELSE {text} END, '\"')"
 
 
 def _timestamp(ts: str, has_zone: bool) -> str:
     """ISO-8601 in UTC with ``Z``; six fraction digits only when the fraction is not zero."""
     if has_zone:
         ts = f"timestampadd(MICROSECOND, unix_micros({ts}), TIMESTAMP_NTZ '1970-01-01 00:00:00')"
-    text = f"CAST({ts} AS STRING)"
-    return (
-        f"concat('\"', left({text}, 10), 'T', substring({text}, 12, 8), "
-        f"CASE WHEN length({text}) > 19 THEN rpad(substring({text}, 20, 7), 7, '0') ELSE '' END, 'Z\"')"
-    )
+    text = f"replace(CAST({ts} AS STRING), ' ', 'T')"
+    return f"concat('\"', CASE WHEN length({text}) > 19 THEN rpad({text}, 26, '0') ELSE {text} END, 'Z\"')"
 
 
 def has_float(data_type: T.DataType) -> bool:

@@ -142,46 +142,153 @@ def speed_step(state: tuple, micros: int, moved: int, switching: bool) -> tuple:
     return micros, moved, speed
 
 
-def transfer_speed(progress: DataFrame, chunk_seconds: int = DAY_SECONDS) -> DataFrame:
-    """Smoothed speed and remaining seconds after each update.
+def _micros() -> Column:
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.timestamp_diff("MICROSECOND", epoch, F.col("ts").cast("timestamp_ntz"))
 
-    ``progress``: transfer_id, seq, ts, stage, network_bytes, remaining_bytes. A source switch resets
-    sample and speed, so the stretches between switches are independent: a transfer is cut there (by
-    a chunked running count), the stretches are spread over tasks and each is folded as it streams by
-    in Arrow batches, holding one state.
+
+def _pieces(progress: DataFrame, chunk_seconds: int) -> DataFrame:
+    """Cuts each transfer into pieces that start where the sample point is known.
+
+    After a source switch, after a pause of at least the sample time, and at the start, an update
+    fixes the sample point whatever came before. A piece is the stretch from such an update on, by
+    the time slice of that update, so a hot transfer has as many pieces as time slices.
     """
-    switching = F.col("stage") == "switching"
-    chunked = progress.withColumn("_chunk", time_chunk(F.col("ts"), chunk_seconds))
-    cut = chunked_running(
-        chunked, ["transfer_id"], "_chunk", ["ts", "seq"], {"stretch": ("sum", F.when(switching, 1).otherwise(0).cast("bigint"))}
+    base = progress.select(
+        "transfer_id", "seq", "ts", _micros().alias("micros"), (F.col("stage") == "switching").alias("switching"),
+        "network_bytes", "remaining_bytes", time_chunk(F.col("ts"), chunk_seconds).alias("_chunk"),
     )
-    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    micros = F.timestamp_diff("MICROSECOND", epoch, F.col("ts").cast("timestamp_ntz"))
-    slim = cut.select(
-        "transfer_id", "stretch", micros.alias("micros"), "seq", switching.alias("switching"), "network_bytes", "remaining_bytes"
+    along = (["transfer_id"], "_chunk", ["ts", "seq"])
+    seen = chunked_running(base, *along, {"_at": ("last", F.struct("micros", "switching"))}).drop("_at")
+    previous = F.col("_at_before")
+    fixed = (
+        F.col("switching")
+        | previous.isNull()
+        | F.coalesce(previous["switching"], F.lit(True))
+        | (F.col("micros") - previous["micros"] >= SAMPLE_MICROS)
     )
-    ready = slim.repartition("transfer_id", "stretch").sortWithinPartitions("transfer_id", "stretch", "micros", "seq")
-
-    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, state = None, (None, 0, None)
-        for frame in frames:
-            speeds = []
-            for transfer, stretch, micros, switched, moved in zip(
-                frame["transfer_id"], frame["stretch"], frame["micros"], frame["switching"], frame["network_bytes"]
-            ):
-                if (transfer, stretch) != current:
-                    current, state = (transfer, stretch), (None, 0, None)
-                state = speed_step(state, int(micros), int(moved), bool(switched))
-                speeds.append(state[2])
-            out = frame[["transfer_id", "seq"]].copy()
-            speed = pd.array(speeds, dtype="Float64")
-            out["speed"] = speed
-            out["eta_seconds"] = frame["remaining_bytes"].clip(lower=0).astype("Float64") / speed
-            yield out
+    cut = chunked_running(seen, *along, {"piece": ("last", F.when(fixed, F.col("_chunk")))})
+    return cut.select("transfer_id", "piece", "micros", "seq", "switching", "network_bytes", "remaining_bytes")
+
+
+def _runs(frames: Iterator[pd.DataFrame], keys: list[str], columns: list[str]) -> Iterator[tuple]:
+    """(key, is first of its run, row values) of rows sorted by key, batch after batch."""
+    current = None
+    for frame in frames:
+        for key, values in zip(zip(*(frame[k] for k in keys)), zip(*(frame[c].to_list() for c in columns))):
+            yield key, key != current, values
+            current = key
+
+
+_UPDATE = ["micros", "network_bytes", "switching"]
+_SUMMARY = (
+    "piece BIGINT, micros BIGINT, moved BIGINT, switching BOOLEAN, last_at BIGINT, last_base BIGINT, settled BOOLEAN, "
+    "from_none DOUBLE, from_zero DOUBLE, decay DOUBLE"
+)
 
+
+def _summarise(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row per piece: what it does to any speed it may be entered with.
+
+    The speed is affine in the entry speed: the fold runs from no speed and from zero, and ``decay``
+    is the factor of the entry speed. A switch settles it.
+    """
+    names = ["transfer_id", *[field.split()[0] for field in _SUMMARY.split(", ")]]
+    rows: list[tuple] = []
+    held: list | None = None
+
+    def close() -> tuple:
+        key, first, none, zero, decay, settled = held
+        return (*key, *first, none[0], none[1], settled, none[2], zero[2], decay)
+
+    for key, starts, (micros, moved, switching) in _runs(frames, ["transfer_id", "piece"], _UPDATE):
+        micros, moved, switching = int(micros), int(moved), bool(switching)
+        if starts:
+            if held is not None:
+                rows.append(close())
+            point = (None, 0) if switching else (micros, moved)
+            held = [key, (micros, moved, switching), (*point, None), (*point, None if switching else 0.0), 1.0, switching]
+        else:
+            _, _, none, zero, decay, settled = held
+            sampled = not switching and none[0] is not None and moved > none[1] and micros - none[0] >= SAMPLE_MICROS
+            held[2] = speed_step(none, micros, moved, switching)
+            held[3] = speed_step(zero, micros, moved, switching)
+            held[4] = decay * SPEED_KEEP if sampled else decay
+            held[5] = settled or switching
+        if len(rows) >= 10_000:
+            yield _nullable(rows, names)
+            rows = []
+    if held is not None:
+        rows.append(close())
+    if rows:
+        yield _nullable(rows, names)
+
+
+def _nullable(rows: list[tuple], names: list[str]) -> pd.DataFrame:
+    frame = pd.DataFrame(rows, columns=names, dtype=object)
+    return frame.convert_dtypes(convert_floating=True, convert_integer=True)
+
+
+def _enter(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The state each piece is entered with, from the summaries of a transfer's earlier pieces."""
+    columns = ["piece", "micros", "moved", "switching", "last_at", "last_base", "settled", "from_none", "from_zero", "decay"]
+    rows: list[tuple] = []
+    state: tuple = (None, 0, None)
+
+    def known(value):
+        return None if pd.isna(value) else value
+
+    for (transfer,), starts, values in _runs(frames, ["transfer_id"], columns):
+        piece, micros, moved, switching, last_at, last_base, settled, none, zero, decay = map(known, values)
+        state = (None, 0, None) if starts else state
+        rows.append((transfer, piece, *state))
+        speed = speed_step(state, int(micros), int(moved), bool(switching))[2]
+        leaves = none if settled or speed is None else decay * speed + zero
+        state = (None if last_at is None else int(last_at), int(last_base), leaves)
+    if rows:
+        yield _nullable(rows, ["transfer_id", "piece", "entry_at", "entry_base", "entry_speed"])
+
+
+def _follow(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Speed after each update, piece by piece, holding one state."""
+    current, state = None, (None, 0, None)
+    columns = ["transfer_id", "piece", *_UPDATE, "entry_at", "entry_base", "entry_speed"]
+    for frame in frames:
+        speeds = []
+        for transfer, piece, micros, moved, switching, at, base, speed in zip(*(frame[c].to_list() for c in columns)):
+            if (transfer, piece) != current:
+                current = (transfer, piece)
+                state = (None if pd.isna(at) else int(at), int(base), None if pd.isna(speed) else float(speed))
+            state = speed_step(state, int(micros), int(moved), bool(switching))
+            speeds.append(state[2])
+        out = frame[["transfer_id", "seq"]].copy()
+        out["speed"] = pd.array(speeds, dtype="Float64")
+        out["eta_seconds"] = frame["remaining_bytes"].clip(lower=0).astype("Float64") / out["speed"]
+        yield out
+
+
+def transfer_speed(progress: DataFrame, chunk_seconds: int = DAY_SECONDS) -> DataFrame:
+    """Smoothed speed and remaining seconds after each update.
+
+    ``progress``: transfer_id, seq, ts, stage, network_bytes, remaining_bytes. The smoothing is a chain
+    over a transfer's updates, so a transfer is cut into pieces (``_pieces``) that are folded in three
+    steps: each piece is summarised for any entry speed, the few summaries of a transfer are chained
+    to entry states, and each piece is followed from its entry state. Pieces are shuffled and sorted
+    with spill and stream by in Arrow batches; no task holds a transfer.
+    """
     fields = {f.name: f.dataType.simpleString() for f in progress.schema.fields}
-    return ready.mapInPandas(
-        fold, f"transfer_id {fields['transfer_id']}, seq {fields['seq']}, speed double, eta_seconds double"
+    key = f"transfer_id {fields['transfer_id']}"
+    placed = _pieces(progress, chunk_seconds).repartition("transfer_id", "piece")
+    order = ["transfer_id", "piece", "micros", "seq"]
+    summaries = placed.sortWithinPartitions(*order).mapInPandas(_summarise, f"{key}, {_SUMMARY}")
+    entries = (
+        summaries.repartition("transfer_id")
+        .sortWithinPartitions("transfer_id", "piece")
+        .mapInPandas(_enter, f"{key}, piece BIGINT, entry_at BIGINT, entry_base BIGINT, entry_speed DOUBLE")
+    )
+    entered = placed.join(entries, ["transfer_id", "piece"]).repartition("transfer_id", "piece")
+    return entered.sortWithinPartitions(*order).mapInPandas(
+        _follow, f"{key}, seq {fields['seq']}, speed DOUBLE, eta_seconds DOUBLE"
     )
 
 

@@ -241,8 +241,11 @@ def plain_speed(rows):
     return out
 
 
-def test_speed_matches_a_plain_loop(spark):
+@pytest.mark.parametrize("switches", [True, False])
+def test_speed_matches_a_plain_loop(spark, switches):
     rows = updates(2, 2000)
+    if not switches:
+        rows = [(*row[:7], "downloading", row[8]) for row in rows]
     df = spark.createDataFrame(rows, PROGRESS).withColumnRenamed("bytes", "network_bytes").repartition(6)
     got = {r["seq"]: (r["speed"], r["eta_seconds"]) for r in telemetry.transfer_speed(df, chunk_seconds=60).collect()}
     want = plain_speed(rows)
