@@ -58,29 +58,45 @@ def fallback_warnings(attempts: DataFrame) -> DataFrame:
 def transfer_rollup(attempts: DataFrame) -> DataFrame:
     """Per day: ordered distinct sources attempted and completed, the active source, bytes, warnings.
 
-    Sources are reduced to their first position before any list is built, so lists are as long as
-    there are sources, however many objects a day has.
+    The window spans one object's few attempts. Rows are then reduced to one per day and source
+    before any list is built, so lists are as long as there are sources, however many objects a day
+    has.
     """
-    objects = object_source_fallback(attempts)
-    tried = objects.select(*DAY, "object_pos", F.posexplode("attempted").alias("_i", "_source"))
-    tried_first = tried.groupBy(*DAY, "_source").agg(F.min(F.struct("object_pos", "_i")).alias("_at"))
-    done_first = (
-        objects.where(F.col("status") == "completed").groupBy(*DAY, "source").agg(F.min("object_pos").alias("_at"))
+    along = Window.partitionBy(*ATTEMPT)
+    marked = attempts.select(
+        *ATTEMPT, "attempt", "source", "network_bytes",
+        F.min("attempt").over(along).alias("_first"),
+        F.min(F.when(F.col("ok"), F.col("attempt"))).over(along).alias("_done_at"),
+    )
+    tried = marked.where(F.col("_done_at").isNull() | (F.col("attempt") <= F.col("_done_at")))
+    once = F.col("attempt") == F.col("_first")
+    by_source = tried.groupBy(*DAY, "source").agg(
+        F.min(F.struct("object_pos", "attempt")).alias("_tried"),
+        F.min(F.when(F.col("attempt") == F.col("_done_at"), F.col("object_pos"))).alias("_done"),
+        F.count(F.lit(1)).alias("_rows"),
+        F.count_if(once).alias("_objects"),
+        F.count_if(once & F.col("_done_at").isNull()).alias("_failed"),
+        F.sum("network_bytes").alias("_bytes"),
     )
 
-    def ordered(source: str) -> Column:
-        return F.transform(F.array_sort(F.collect_list(F.struct("_at", source))), lambda x: x[source])
+    def ordered(at: str) -> Column:
+        listed = F.array_sort(F.collect_list(F.when(F.col(at).isNotNull(), F.struct(at, "source"))))
+        names = F.transform(listed, lambda entry: entry["source"])
+        return F.when(F.size(names) > 0, names)
 
-    attempted = tried_first.groupBy(*DAY).agg(ordered("_source").alias("sources_attempted"))
-    completed = done_first.groupBy(*DAY).agg(ordered("source").alias("sources_completed"))
-    sums = objects.groupBy(*DAY).agg(
-        F.count(F.lit(1)).alias("objects"),
-        F.count_if(F.col("status") == "failed").alias("failed_objects"),
-        F.sum("network_bytes").alias("network_bytes"),
-        F.sum("fallbacks").alias("warnings"),
-    )
     active = F.when(F.size("sources_completed") == 1, F.get("sources_completed", F.lit(0))).otherwise(F.lit("mixed"))
-    return sums.join(attempted, DAY, "left").join(completed, DAY, "left").withColumn("active_source", active)
+    return (
+        by_source.groupBy(*DAY)
+        .agg(
+            F.sum("_objects").alias("objects"),
+            F.sum("_failed").alias("failed_objects"),
+            F.sum("_bytes").alias("network_bytes"),
+            (F.sum("_rows") - F.sum("_objects")).alias("warnings"),
+            ordered("_tried").alias("sources_attempted"),
+            ordered("_done").alias("sources_completed"),
+        )
+        .withColumn("active_source", active)
+    )
 
 
 def transfer_high_water(progress: DataFrame, chunk_seconds: int = DAY_SECONDS) -> DataFrame:
@@ -286,7 +302,8 @@ def transfer_speed(progress: DataFrame, chunk_seconds: int = DAY_SECONDS) -> Dat
         .sortWithinPartitions("transfer_id", "piece")
         .mapInPandas(_enter, f"{key}, piece BIGINT, entry_at BIGINT, entry_base BIGINT, entry_speed DOUBLE")
     )
-    entered = placed.join(entries, ["transfer_id", "piece"]).repartition("transfer_id", "piece")
+    # Every piece has an entry; the left join keeps both uses of ``placed`` one shuffle.
+    entered = placed.join(entries, ["transfer_id", "piece"], "left").repartition("transfer_id", "piece")
     return entered.sortWithinPartitions(*order).mapInPandas(
         _follow, f"{key}, seq {fields['seq']}, speed DOUBLE, eta_seconds DOUBLE"
     )

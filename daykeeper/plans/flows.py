@@ -3,10 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from daykeeper.operators.reconcile import DAY, replica_match
+from daykeeper.functions import labels
+from daykeeper.operators.listing import list_days, recent_days
+from daykeeper.operators.manifests import manifest_objects, validate_manifests
+from daykeeper.operators.reconcile import DAY, OBJECT, catch_up_days, replica_match, select_source, two_replica_gate
+from daykeeper.operators.rollup import all_days, day_status, space_preflight
 from daykeeper.plans import views
-from daykeeper.plans.catalog import query, verdicts
+from daykeeper.plans.catalog import chained, query, validated, verdicts
+
+HISTORY_DAYS = 12
 
 
 @query
@@ -14,3 +21,38 @@ def audit_days(spark: SparkSession, sf: str) -> DataFrame:
     """One row per day: verdict of the local copy and whether the replicas agree."""
     match = replica_match(views.manifests(spark, sf)).select(*DAY, "replicas_match")
     return verdicts(spark, sf).join(match, DAY, "left")
+
+
+@query
+def dashboard_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """The newest listed or local days of each collector with their states and labels.
+
+    The day limit is joined to the documents before they are validated: the optimizer would not move
+    a limit below the manifest rules.
+    """
+    listed = list_days(views.listing(spark, sf), ["replica", "collector"])
+    local = views.local_flags(spark, sf)
+    days = all_days(listed, local.where("has_root").select(*DAY))
+    shown = recent_days(days, HISTORY_DAYS)
+    documents = views.manifests(spark, sf).join(shown, DAY, "left_semi")
+    status = day_status(days.join(shown, DAY, "left_semi"), validate_manifests(documents), local, chained(spark, sf))
+    return status.select(
+        *DAY, "drive_state", "r2_state", "local_state", "replicas_match", labels.day_severity().alias("severity")
+    )
+
+
+@query
+def fetch_plan(spark: SparkSession, sf: str) -> DataFrame:
+    """What one catch-up run does per day: gate, source, action and space, over all collectors."""
+    checked = validated(spark, sf)
+    gate = two_replica_gate(checked, require_both=False).select(*DAY, "warnings", F.col("reason").alias("gate_reason"))
+    chosen = select_source(checked)
+    available = chosen.select(*DAY, "replica", F.col("raw_sha256").alias("manifest_sha256"))
+    actions = catch_up_days(available, views.markers(spark, sf).where("dom % 5 <> 0"))
+    entries = manifest_objects(checked.join(chosen.select(*DAY, "replica"), [*DAY, "replica"], "left_semi"))
+    nothing = entries.select(*OBJECT, F.lit(0).cast("bigint").alias("existing_bytes")).where(F.lit(False))
+    free = views.collector_days(spark, sf).groupBy("collector").agg((F.count(F.lit(1)) * 20_000_000).alias("free_bytes"))
+    space = space_preflight(entries, nothing, free).select(*DAY, "additional_bytes", "fits")
+    return gate.join(actions, DAY, "left").join(space, DAY, "left").select(
+        *DAY, "gate_reason", "warnings", "replica", "action", "additional_bytes", "fits"
+    )

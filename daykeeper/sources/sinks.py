@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from daykeeper.functions.canonical import canonical_json
+from daykeeper.session import broadcast_if_small
 
 
 def report_text(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -35,8 +36,9 @@ def publish_verified_days(rows: DataFrame, verdicts: DataFrame, data_path: str,
     Data first, reports second: a reader takes a day as published once its report exists. The
     rebalance hint gathers each day into few files and lets AQE split a day that holds most rows.
     """
-    passed = verdicts.where(F.col("status") == "verified")
-    days = passed.select("collector", "archive_date")
+    # Used for the data and for the reports: kept meanwhile, recomputed if an executor is lost.
+    passed = verdicts.where(F.col("status") == "verified").persist()
+    days = broadcast_if_small(passed.select("collector", "archive_date"))
     kept = rows.join(days, ["collector", "archive_date"], "left_semi")
     (
         kept.hint("rebalance", F.col("collector"), F.col("archive_date"))
@@ -46,6 +48,7 @@ def publish_verified_days(rows: DataFrame, verdicts: DataFrame, data_path: str,
         .parquet(data_path)
     )
     write_report(passed, report_path)
+    passed.unpersist()
 
 
 def read_published(spark, data_path: str, report_path: str) -> DataFrame:

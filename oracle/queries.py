@@ -271,6 +271,23 @@ SELECT collector, archive_date, valid_replicas, warnings, CASE WHEN valid_replic
 SELECT collector, archive_date, manifest_sha256, object_count, row_count, failed_objects, reason,
   CASE WHEN reason IS NULL THEN 'verified' ELSE 'failed' END AS status, CASE WHEN reason IS NULL THEN tree END AS tree_sha256
 FROM verdicts""",
+    "dashboard_scan": """
+SELECT s.collector, s.archive_date, drive_state, r2_state, local_state, replicas_match,
+  CASE WHEN replicas_match = false OR 'error' IN (drive_state, r2_state, local_state) THEN 'error'
+    WHEN (replicas_match OR (drive_state = 'cleaned' AND r2_state = 'cleaned')) AND local_state = 'verified' THEN 'ok' ELSE 'warn' END AS severity
+FROM status s QUALIFY row_number() OVER (PARTITION BY collector ORDER BY archive_date DESC) <= 12""",
+    "fetch_plan": f"""
+SELECT g.collector, g.archive_date, CASE WHEN g.valid_replicas = 0 THEN 'no_replica' END AS gate_reason, g.warnings, s.replica,
+  CASE WHEN s.collector IS NULL THEN NULL WHEN m.collector IS NULL THEN 'fetch'
+    WHEN m.status = 'verified' AND m.manifest_sha256 = s.raw_sha256 THEN 'already_verified' ELSE 'conflict' END AS action,
+  b.bytes AS additional_bytes, f.free_bytes >= b.bytes + 268435456 AS fits
+FROM {_GATE} g LEFT JOIN (SELECT * FROM manifests WHERE reason IS NULL
+    QUALIFY row_number() OVER (PARTITION BY collector, archive_date ORDER BY replica) = 1) s
+  ON s.collector = g.collector AND s.archive_date = g.archive_date
+LEFT JOIN (SELECT collector, archive_date, replica, list_sum(list_transform(objects, lambda x: x.size_bytes))::BIGINT AS bytes FROM manifests) b
+  ON b.collector = s.collector AND b.archive_date = s.archive_date AND b.replica = s.replica
+LEFT JOIN (SELECT * FROM markers WHERE dom % 5 <> 0) m ON m.collector = g.collector AND m.archive_date = g.archive_date
+LEFT JOIN (SELECT collector, count(*) * 20000000 AS free_bytes FROM days GROUP BY collector) f ON f.collector = g.collector""",
     "audit_days": f"""
 SELECT v.collector, v.archive_date, v.manifest_sha256, v.object_count, v.row_count, v.failed_objects, v.reason,
   CASE WHEN v.reason IS NULL THEN 'verified' ELSE 'failed' END AS status, CASE WHEN v.reason IS NULL THEN v.tree END AS tree_sha256,
