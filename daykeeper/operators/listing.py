@@ -87,11 +87,14 @@ def removal_entries(listing: DataFrame, targets: DataFrame) -> DataFrame:
 
 def removal_plan(listing: DataFrame, targets: DataFrame, bucket: str) -> DataFrame:
     """Count, bytes and URI per target; an empty target is an error row."""
-    entries = removal_entries(listing, targets)
-    counted = entries.groupBy("collector", "target").agg(
+    by_key = removal_entries(listing, targets).groupBy("collector", "target", "key").agg(
+        F.max("size_bytes").alias("size_bytes"), F.min("size_bytes").alias("_least"), F.count(F.lit(1)).alias("_listed")
+    )
+    # A negative size or a key listed twice makes the listing unfit for a removal.
+    counted = by_key.groupBy("collector", "target").agg(
         F.count(F.lit(1)).alias("object_count"),
         F.sum("size_bytes").alias("total_bytes"),
-        F.count_if(F.col("size_bytes") < 0).alias("_bad"),
+        F.count_if((F.col("_least") < 0) | (F.col("_listed") > 1)).alias("_bad"),
     )
     wanted = targets.select("collector", F.regexp_replace("target", "/+$", "").alias("target"), "is_dir")
     zero = F.lit(0).cast("bigint")

@@ -15,7 +15,6 @@ from daykeeper.functions.digests import schema_fingerprint, sha256
 from daykeeper.operators import digest, evidence, listing, manifests, reconcile, reports, rollup, telemetry
 from daykeeper.operators.reconcile import DAY, OBJECT
 from daykeeper.plans import views
-from daykeeper.session import scratch_path
 from daykeeper.sources.documents import report_rows
 from daykeeper.streaming import progress as live
 from daykeeper.streaming import status as live_status

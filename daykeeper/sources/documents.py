@@ -72,7 +72,7 @@ def read_manifests(spark: SparkSession, path: str, name_glob: str = "manifest.js
     files = read_files(spark, path, name_glob)
 
     def segment(name: str) -> Column:
-        return F.nullif(F.regexp_extract(F.url_decode("path"), f"/{name}=([^/]+)/", 1), F.lit(""))
+        return F.nullif(F.regexp_extract(F.col("path"), f"/{name}=([^/]+)/", 1), F.lit(""))
 
     keyed = files.select(
         segment("collector").alias("collector"),
@@ -86,10 +86,10 @@ def read_manifests(spark: SparkSession, path: str, name_glob: str = "manifest.js
 def read_object_meta(spark: SparkSession, path: str, suffix: str) -> DataFrame:
     """Sidecar files; the embedded key must equal the sidecar's own path below ``path``."""
     files = read_files(spark, path, f"*{suffix}")
-    inside = F.regexp_extract(F.url_decode("path"), r"/(date=\d{4}-\d{2}-\d{2}/.*)$", 1)
+    inside = F.regexp_extract(F.col("path"), r"/(date=\d{4}-\d{2}-\d{2}/.*)$", 1)
     meta = F.from_json(utf8(F.col("content")), SIDECAR)
     rows = files.select(
-        F.regexp_extract(F.url_decode("path"), "/collector=([^/]+)/", 1).alias("collector"),
+        F.regexp_extract(F.col("path"), "/collector=([^/]+)/", 1).alias("collector"),
         F.substring(inside, F.lit(1), F.length(inside) - len(suffix)).alias("relative_key"),
         meta.alias("meta"),
     )
@@ -109,7 +109,7 @@ def read_reports(spark: SparkSession, path: str, name_glob: str = "*.json", max_
     """All reports below ``path``; unreadable ones stay as rows with a reason."""
     return report_rows(
         read_files(spark, path, name_glob).select(
-            F.url_decode("path").alias("path"), F.col("modificationTime").alias("modified"), "length", "content"
+            F.col("path"), F.col("modificationTime").alias("modified"), "length", "content"
         ),
         max_bytes,
     )
@@ -140,7 +140,7 @@ def read_evidence(spark: SparkSession, path: str, kind: str, name_glob: str = "*
     """Evidence documents of one kind: typed columns, file name, file digest and a reason."""
     rows = report_rows(
         read_files(spark, path, name_glob).select(
-            F.url_decode("path").alias("path"), F.col("modificationTime").alias("modified"), "length", "content"
+            F.col("path"), F.col("modificationTime").alias("modified"), "length", "content"
         ),
         max_bytes,
     )

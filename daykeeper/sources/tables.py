@@ -35,7 +35,7 @@ def scan_day_tables(spark: SparkSession, root: str, dates: list[str] | None = No
 def list_objects(spark: SparkSession, root: str, name_glob: str | None = None) -> DataFrame:
     """Flat listing below ``root``: key, size, modified. File contents are not read."""
     files = read_files(spark, root, name_glob).select(
-        F.url_decode("path").alias("path"), "length", "modificationTime"
+        F.col("path"), "length", "modificationTime"
     )
     bare = root.rstrip("/").split(":", 1)[-1].lstrip("/")
     key = F.regexp_replace(F.regexp_replace("path", r"^[a-z0-9]+:/*", ""), "^" + _literal(bare) + "/+", "")

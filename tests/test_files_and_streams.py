@@ -73,11 +73,11 @@ def test_evidence_reasons(spark, tmp_path):
 
 
 def test_named_files_and_listing(spark, tmp_path):
-    df = spark.createDataFrame([(f"a b/{i}.json", f"doc {i}".encode()) for i in range(20)], "name STRING, content BINARY")
+    df = spark.createDataFrame([(f"a b+%20é/{i}.json", f"doc {i}".encode()) for i in range(20)], "name STRING, content BINARY")
     write_named(df, str(tmp_path))
     write_named(df, str(tmp_path))
     listed = {r["key"]: r["size_bytes"] for r in list_objects(spark, str(tmp_path)).collect()}
-    assert listed == {f"a b/{i}.json": len(f"doc {i}") for i in range(20)}
+    assert listed == {f"a b+%20é/{i}.json": len(f"doc {i}") for i in range(20)}
 
 
 def test_observed_files_match_the_contract(spark, tmp_path):

@@ -1,12 +1,13 @@
 """Reconciliation, listing, evidence and telemetry operators against brute force."""
 
 import random
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
 
 from daykeeper.contracts import Contracts
+from daykeeper.functions.dates import utc_yesterday
 from daykeeper.operators import evidence, listing, reconcile, rollup, telemetry
 from daykeeper.operators.scans import chunked_running
 
@@ -98,6 +99,39 @@ def test_directory_removal_keeps_to_its_prefix_and_writes_plan_and_receipt(spark
     assert (receipt["status"], receipt["deleted_objects"], receipt["deleted_bytes"]) == ("completed", 2, 300)
 
 
+def test_twice_listed_or_negative_objects_spoil_the_plan(spark):
+    df = listed(spark, {"date=1/a": 1, "date=2/a": -1, "date=3/a": 1})
+    df = df.unionByName(df.where("key LIKE '%date=3%'"))
+    wanted = targets(spark, ("date=1", True), ("date=2/", True), ("date=3", True))
+    plan = {r["target"][-1]: (r["reason"], r["object_count"]) for r in listing.removal_plan(df, wanted, "b").collect()}
+    assert plan == {"1": (None, 1), "2": ("invalid_object", 1), "3": ("invalid_object", 1)}
+
+
+def test_days_of_a_failed_listing_are_errors(spark):
+    days = spark.createDataFrame([("a", "d", True, False, True), ("b", "d", False, False, True)],
+                                 "collector STRING, archive_date STRING, in_drive BOOLEAN, in_r2 BOOLEAN, in_local BOOLEAN")
+    manifests = spark.createDataFrame([("a", "d", "google_drive", "m", None)], MANIFEST)
+    local = spark.createDataFrame([("a", "d", True, False, True, True, "verified"), ("b", "d", True, False, True, False, None)],
+                                  "collector STRING, archive_date STRING, has_root BOOLEAN, has_staging BOOLEAN, has_marker BOOLEAN, marker_is_json BOOLEAN, marker_status STRING")
+    receipts = spark.createDataFrame([("b", "d")], "collector STRING, archive_date STRING")
+    down = spark.createDataFrame([("a", "r2")], "collector STRING, replica STRING")
+    got = {r["collector"]: tuple(r)[2:] for r in rollup.day_status(days, manifests, local, receipts, down).collect()}
+    assert got == {"a": ("verified", "error", "verified", None), "b": ("cleaned", "cleaned", "unverified", None)}
+
+
+@pytest.mark.parametrize("zone", ["UTC", "Asia/Tokyo", "America/Los_Angeles"])
+def test_yesterday_is_utc_in_any_session(spark, zone):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        allowed = {(datetime.now(timezone.utc) - timedelta(days=1)).date().isoformat()}
+        got = spark.range(1).select(utc_yesterday().alias("d")).first()["d"]
+        allowed.add((datetime.now(timezone.utc) - timedelta(days=1)).date().isoformat())
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert got in allowed
+
+
 def test_change_after_the_plan_blocks(spark):
     wanted = targets(spark, ("date=2026-08-02", True))
     planned = listing.removal_entries(listed(spark, {"date=2026-08-02/manifest.json": 100}), wanted)
