@@ -437,7 +437,7 @@ WHERE a.size_bytes IS DISTINCT FROM b.size_bytes OR a.sha256 IS DISTINCT FROM b.
     "strip_date": """
 SELECT collector, archive_date, relative_key, CASE WHEN dom % 4 <> 0 THEN kind || '/' || table_name || '.parquet' END AS inside FROM objects""",
     "human_sizes": f"""
-SELECT o_orderkey, {_human('o_orderkey * o_orderkey * o_orderkey * 7919')} AS shown, {_human('o_orderkey * 32')} AS small,
+SELECT o_orderkey, {_human('(o_orderkey % 15000) * (o_orderkey % 15000) * (o_orderkey % 15000) * 7919')} AS shown, {_human('o_orderkey * 32')} AS small,
   CASE WHEN t < 60 THEN t || ' 秒' WHEN t < 3600 THEN (t // 60) || ' 分 ' || (t % 60) || ' 秒'
     ELSE (t // 3600) || ' 小时 ' || (t % 3600 // 60) || ' 分' END AS duration
 FROM (SELECT o_orderkey, greatest(trunc(o_orderkey * 7.25 - 100), 0)::BIGINT AS t FROM orders)""",
