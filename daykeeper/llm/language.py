@@ -160,14 +160,15 @@ def identify(docs: DataFrame, training: DataFrame, keep: list[str] | None = None
     shared = docs.sparkSession.sparkContext.broadcast(fit(rows))
     from pyspark.sql.types import DoubleType, StringType, StructType
 
-    read = docs.select(*[F.col(f"`{c}`") for c in kept], F.col("text").alias("_text_"))
-    schema = StructType(read.schema.fields[:-1]).add("lang_pred", StringType()).add("score", DoubleType())
+    place = kept.index("text") if "text" in kept else len(kept)
+    read = docs.select(*[F.col(f"`{c}`") for c in kept], *([] if "text" in kept else ["text"]))
+    schema = StructType(read.schema.fields[: len(kept)]).add("lang_pred", StringType()).add("score", DoubleType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            names, scores = model.predict(batch.column(batch.num_columns - 1).to_pylist())
-            columns = [batch.column(k) for k in range(batch.num_columns - 1)]
+            names, scores = model.predict(batch.column(place).to_pylist())
+            columns = batch.columns[: len(kept)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
 
     return read.mapInArrow(run, schema)
