@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daykeeper.session import durable
+from daykeeper.session import scratch_path
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,19 +60,29 @@ def crc_of(value) -> int:
     return zlib.crc32(str(value).encode())
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The rows as a Parquet table in the shared folder: cuts the lineage like a checkpoint, but carries
+    no constraints of the plan along (in loops these grow until planning takes longer than the work)
+    and tells the planner its size."""
+    path = scratch_path(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def connected(vertices: DataFrame, edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """(id, label): the smallest id reachable over the undirected ``edges`` (a, b); ``vertices`` (id).
 
     Every round takes the smallest label among the neighbours (an aggregate with a map-side part) and
     then the label of the label, so the rounds grow with the logarithm of the diameter for chains and
-    are two or three for stars. Joins meet checkpointed tables on both sides, so adaptive execution can
-    split the rows of a hub. A round's table is a reliable checkpoint; the loop ends when none changed.
+    are two or three for stars. Joins meet stored tables on both sides, so adaptive execution can split
+    the rows of a hub. Labels only fall, so the loop ends when their sum stays.
     """
     both = edges.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(
         edges.select(F.col("b").alias("src"), F.col("a").alias("dst"))
     )
-    both = durable(both.where("src <> dst"))
-    labels = durable(vertices.select("id", F.col("id").alias("label")))
+    both = stored(both.where("src <> dst"))
+    labels = vertices.select("id", F.col("id").alias("label"))
+    before = None
     for _ in range(max_rounds):
         offered = (
             both.join(labels, both.src == labels.id)
@@ -81,13 +91,11 @@ def connected(vertices: DataFrame, edges: DataFrame, max_rounds: int = 200) -> D
             .groupBy("id")
             .agg(F.min("label").alias("label"))
         )
-        offered = durable(offered)
+        offered = stored(offered)
+        total = offered.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
+        if total == before:
+            return offered
+        before = total
         roots = offered.select(F.col("id").alias("label"), F.col("label").alias("root"))
-        jumped = offered.join(roots, "label").select("id", F.least("label", "root").alias("label"))
-        jumped = durable(jumped)
-        old = labels.select("id", F.col("label").alias("old"))
-        changed = not jumped.join(old, "id").where("label <> old").isEmpty()
-        labels = jumped
-        if not changed:
-            return labels
+        labels = offered.join(roots, "label").select("id", "root").withColumnRenamed("root", "label")
     raise RuntimeError("components did not settle")

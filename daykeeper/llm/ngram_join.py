@@ -26,9 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from daykeeper.session import durable
-
-from .common import connected
+from .common import connected, stored
 
 #: Words in an n-gram and the similarity in percent.
 WORDS, PERCENT = 5, 80
@@ -38,7 +36,7 @@ SLICE_BYTES = 12_000_000
 #: Fragments of the n-gram order in which overlaps are counted.
 ORDER_FRAGMENTS = 4
 #: Rounds in which a list is compared with a single member, before all pairs across components.
-STAR_ROUNDS = 4
+STAR_ROUNDS = 2
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -73,10 +71,10 @@ def ngram_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray]:
             own = np.sort(rolled[at : at + n - words + 1])
             out.append(own[np.r_[True, own[1:] != own[:-1]]])
         elif n:
-            value = np.uint64(n)
-            for x in h[at : at + n]:
-                value = value * _Q + x
-            out.append(_mix(np.array([value], np.uint64)))
+            value = np.array([n], np.uint64)
+            for k in range(at, at + n):
+                value = value * _Q + h[k : k + 1]
+            out.append(_mix(value))
         else:
             out.append(np.zeros(0, np.uint64))
         at += n
@@ -87,9 +85,8 @@ def signature(own: np.ndarray) -> int:
     """64 bits that stand for the whole set."""
     if not len(own):
         return 0
-    both = np.array([own.sum(dtype=np.uint64), np.bitwise_xor.reduce(own) + np.uint64(len(own))], np.uint64)
-    mixed = _mix(both)
-    return int((mixed[0] * _Q + mixed[1]).astype(np.int64))
+    total, parity = _mix(np.array([own.sum(dtype=np.uint64)])), _mix(np.array([np.bitwise_xor.reduce(own)]))
+    return int((total * _Q + parity + np.uint64(len(own))).astype(np.int64)[0])
 
 
 Member = tuple[int, int, np.ndarray]
@@ -292,17 +289,17 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = rows.where("doc_id is not null")
     total = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    counted = durable(_counted(known, lambda b: _slices_of_texts(b, words), total // 6 + 1))
+    counted = stored(_counted(known, lambda b: _slices_of_texts(b, words), total // 6 + 1))
     unkeyed = _sets(rows.where("doc_id is null"), words).select("doc_id", F.expr("octet_length(own) div 8").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
 
     possible = (F.col("n") > 0) & (F.col("shared") >= _enough(F.col("n"), percent))
     groups = counted.where("n > 0").groupBy("sign").agg(
         F.min("doc_id").alias("vertex"), F.count(F.lit(1)).alias("rows"), F.max((possible & ~F.col("copied")).cast("int")).alias("live"), F.max("n").alias("n")
     )
-    groups = durable(groups)
+    groups = stored(groups)
     labels = _linked(known, groups.where("live = 1"), words, percent)
     classes = groups.join(labels, groups.vertex == labels.id, "left").where("rows > 1 or id is not null")
-    classes = durable(classes.select(F.col("sign").alias("class"), F.coalesce("label", "vertex").alias("component")))
+    classes = stored(classes.select(F.col("sign").alias("class"), F.coalesce("label", "vertex").alias("component")))
     out = counted.join(classes, counted.sign == classes["class"], "left")
     out = out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
     return out.unionByName(unkeyed)
@@ -313,19 +310,19 @@ def _linked(docs: DataFrame, live: DataFrame, words: int, percent: int) -> DataF
     ids = live.select(F.col("vertex").alias("doc_id"), F.col("sign").alias("live_sign"))
     own = docs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
     sets = _sets(own, words).join(ids, "doc_id").where("sign = live_sign").groupBy("doc_id", "sign").agg(F.first("own").alias("own"))
-    sets = durable(sets)
+    sets = stored(sets)
     total = sets.agg(F.sum(F.octet_length("own"))).first()[0] or 0
     again = _counted(sets.select("doc_id", "sign", "own"), _slices_of_sets, total // 8 + 1)
     again = again.where(F.col("shared") >= _enough(F.col("n"), percent)).select("doc_id", "sign")
-    vertices = durable(sets.join(again, ["doc_id", "sign"]).select(F.col("doc_id").alias("vertex"), "own"))
+    vertices = stored(sets.join(again, ["doc_id", "sign"]).select(F.col("doc_id").alias("vertex"), "own"))
 
     ngrams = _ngrams(vertices)
-    frequent = durable(ngrams.groupBy("h").count().where("count > 1").select(F.col("h").alias("g"), F.col("count").cast("int").alias("df")))
+    frequent = stored(ngrams.groupBy("h").count().where("count > 1").select(F.col("h").alias("g"), F.col("count").cast("int").alias("df")))
     # The order of an n-gram: its frequency, then its hash as a fraction.
     place = F.col("df") + (F.col("h").cast("double") / 2.0**64 + 0.5)
     held = ngrams.join(frequent, ngrams.h == frequent.g).select("vertex", "n", F.struct(place.alias("place"), F.col("h").alias("h")).alias("token"))
     ordered = held.groupBy("vertex", "n").agg(F.sort_array(F.collect_list("token")).alias("tokens")).withColumn("s", F.size("tokens"))
-    ordered = durable(ordered.where(F.col("s") >= _enough(F.col("n"), percent)))
+    ordered = stored(ordered.where(F.col("s") >= _enough(F.col("n"), percent)))
 
     cuts = frequent.select((F.col("df") + (F.col("g").cast("double") / 2.0**64 + 0.5)).alias("place"))
     cuts = cuts.agg(F.percentile_approx("place", [k / ORDER_FRAGMENTS for k in range(1, ORDER_FRAGMENTS)])).first()[0] or []
@@ -335,26 +332,26 @@ def _linked(docs: DataFrame, live: DataFrame, words: int, percent: int) -> DataF
         for k, (a, b) in enumerate(zip(edges, edges[1:]))
     ]
     segments = ordered.select("vertex", F.explode(F.array(*segment)).alias("part")).select("vertex", "part.fragment", "part.own").where(F.size("own") > 0)
-    segments = durable(segments)
+    segments = stored(segments)
 
     length = F.col("n") - _enough(F.col("n"), percent) + 1 - (F.col("n") - F.col("s"))
     lists = ordered.select("vertex", "n", "s", F.explode(F.slice("tokens", F.lit(1), F.greatest(F.lit(0), length).cast("int"))).alias("token"))
-    lists = durable(lists.select("vertex", "n", "s", F.col("token.h").alias("h")))
+    lists = stored(lists.select("vertex", "n", "s", F.col("token.h").alias("h")))
 
-    ids = durable(ordered.select(F.col("vertex").alias("id")).distinct())
+    ids = stored(ordered.select(F.col("vertex").alias("id")).distinct())
     labels, links, checked = ids.select("id", F.col("id").alias("label")), None, None
     for k in range(STAR_ROUNDS + 1):
         now = lists.join(labels, lists.vertex == labels.id).drop("id")
         if k:
             mixed = now.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select(F.col("h").alias("mixed"))
-            now = now.join(durable(mixed), F.col("h") == F.col("mixed"), "left_semi")
-        now = durable(now)
+            now = now.join(mixed, F.col("h") == F.col("mixed"), "left_semi")
+        now = stored(now)
         if now.isEmpty():
             break
         other = now.select(F.col("vertex").alias("b"), F.col("n").alias("m"), F.col("s").alias("t"), "h", F.col("label").alias("other"))
         if k < STAR_ROUNDS:
             mark = F.struct((F.col("b") if k == 0 else F.xxhash64("b", F.lit(k))).alias("turn"), "b", "m", "t", "other")
-            hubs = durable(other.groupBy("h").agg(F.min(mark).alias("hub")).select(F.col("h").alias("g"), "hub.b", "hub.m", "hub.t", "hub.other"))
+            hubs = stored(other.groupBy("h").agg(F.min(mark).alias("hub")).select(F.col("h").alias("g"), "hub.b", "hub.m", "hub.t", "hub.other"))
             met = now.join(hubs, now.h == hubs.g)
         else:
             met = now.join(other, "h").where("vertex < b")
@@ -365,9 +362,10 @@ def _linked(docs: DataFrame, live: DataFrame, words: int, percent: int) -> DataF
         ).distinct()
         if checked is not None:
             pairs = pairs.join(checked, ["a", "b"], "left_anti")
-        pairs = durable(pairs)
-        new = durable(_verified(pairs, segments, percent))
-        checked = pairs.select("a", "b") if checked is None else durable(checked.unionByName(pairs.select("a", "b")))
-        links = new if links is None else durable(links.unionByName(new))
-        labels = connected(ids, links)
+        pairs = stored(pairs)
+        checked = pairs.select("a", "b") if checked is None else checked.unionByName(pairs.select("a", "b"))
+        new = stored(_verified(pairs, segments, percent))
+        if not new.isEmpty():
+            links = new if links is None else links.unionByName(new)
+            labels = connected(ids, links)
     return labels
