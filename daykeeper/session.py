@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +34,31 @@ def build_session(app_name: str = "daykeeper", master: str | None = None, **conf
     return builder.getOrCreate()
 
 
+@functools.lru_cache(maxsize=8)
+def _shipped(app_id: str) -> str:
+    root = Path(__file__).resolve().parent
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as archive:
+        for path in sorted(root.rglob("*.py")):
+            archive.write(path, path.relative_to(root.parent))
+    target = Path(tempfile.mkdtemp(prefix="daykeeper-")) / f"daykeeper-{app_id}.zip"
+    target.write_bytes(packed.getvalue())
+    return str(target)
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Sends this package to the executors, so that Python operators load there from wherever the job starts.
+
+    The archive lies on the driver, whose file server hands it out; once per application. Nothing to do
+    where the package itself was started from an archive.
+    """
+    context = spark.sparkContext
+    name = f"daykeeper-{context.applicationId}.zip"
+    if Path(__file__).is_file() and not any(str(f).endswith(name) for f in context._jsc.sc().listFiles().mkString("\n").split("\n")):
+        context.addPyFile(_shipped(context.applicationId))
+    return spark
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
