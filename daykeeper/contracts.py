@@ -62,9 +62,7 @@ PRIMARY_REPLICA = "google_drive"
 SECONDARY_REPLICA = "r2"
 BUSINESS_KIND = "business"
 EMPTY_SHA256 = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
-SHA256_PATTERN = "^[0-9a-f]{64}$"
-REPORT_MAX_BYTES = 8 * 1024 * 1024
-EVIDENCE_MAX_BYTES = 1024 * 1024
+SHA256_PATTERN = r"^[0-9a-f]{64}\z"
 SPACE_RESERVE_BYTES = 256 * 1024 * 1024
 FREE_ALLOWANCE_BYTES = 10 * 1024**3
 REMOVAL_BATCH_KEYS = 1000

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Hex digits 1 to 60 of a row digest are read as four 60-bit numbers, each summed as
-# three 20-bit limbs; digits 61 to 64 are left for the bucket. BIGINT sums hold 2**43 rows a bucket.
+# three 20-bit limbs; digits 61 to 64 are left for the bucket. BIGINT sums hold 2**43 rows a bucket; beyond, they turn NULL
+# whatever the ANSI setting, so an overflow cannot pass for a fingerprint.
 NUMBER_STARTS = (1, 16, 31, 46)
 NUMBER_DIGITS = 15
 LIMB_BITS = 20
@@ -39,7 +40,7 @@ def digest_numbers(row_sha256: str) -> list[Column]:
 def limb_sums(numbers: list[str]) -> list[Column]:
     """Twelve BIGINT sums over the 20-bit limbs of the digest numbers."""
     return [
-        F.expr(f"sum((shiftright({number}, {shift}) & {LIMB_MASK}L))")
+        F.expr(f"try_sum((shiftright({number}, {shift}) & {LIMB_MASK}L))")
         for number in numbers
         for shift in (0, LIMB_BITS, 2 * LIMB_BITS)
     ]

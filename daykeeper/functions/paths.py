@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def strip_slashes(path: Column) -> Column:
-    return F.regexp_replace(F.coalesce(path, F.lit("")), r"^/+|/+$", "")
+    return F.regexp_replace(F.coalesce(path, F.lit("")), r"^/+|/+\z", "")
 
 
 def _climbs(path: Column) -> Column:
@@ -70,7 +70,7 @@ def in_prefix(key: Column, target: Column | str, is_dir: bool | Column) -> Colum
         bare = target.rstrip("/")
         below, same = F.startswith(key, F.lit(bare + "/")), key == F.lit(target)
     else:
-        below = F.startswith(key, F.concat(F.regexp_replace(target, r"/+$", ""), F.lit("/")))
+        below = F.startswith(key, F.concat(F.regexp_replace(target, r"/+\z", ""), F.lit("/")))
         same = key == target
     if isinstance(is_dir, bool):
         return below if is_dir else same

@@ -39,7 +39,7 @@ def invalid_days(days: DataFrame) -> DataFrame:
 
 def check_listing_entries(entries: DataFrame) -> DataFrame:
     """Name and size rules of raw listing entries (name, is_dir, size_bytes)."""
-    name = F.regexp_replace(F.coalesce("name", F.lit("")), r"^/+|/+$", "")
+    name = F.regexp_replace(F.coalesce("name", F.lit("")), r"^/+|/+\z", "")
     bad_name = (name == "") | F.contains(name, F.lit("/")) | F.contains(name, F.lit("\\"))
     is_dir = F.coalesce("is_dir", F.lit(False))
     size = F.when(is_dir, F.lit(0)).otherwise(F.coalesce("size_bytes", F.lit(-1)))
@@ -73,12 +73,17 @@ def removal_entries(listing: DataFrame, targets: DataFrame) -> DataFrame:
     the equal key. Listing rows meet targets by equal keys: each key offers itself and its ancestor
     folders, so there is no range or cross join.
     """
+    wanted = targets.select("collector", F.regexp_replace("target", r"/+\z", "").alias("target"), "is_dir")
+    # Only depths at which the collector has a target are offered: no row for every ancestor folder.
+    depth = F.size(F.split("target", "/"))
+    depths = wanted.groupBy("collector").agg(F.array_sort(F.collect_set(depth)).alias("_depths"))
     parts = F.split("key", "/")
     ancestors = F.transform(
-        F.sequence(F.lit(1), F.size(parts)), lambda depth: F.array_join(F.slice(parts, 1, depth), "/")
+        F.filter("_depths", lambda n: n <= F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/")
+    )
+    offered = listing.select("collector", "key", "size_bytes").join(depths, "collector").select(
+        "collector", "key", "size_bytes", F.explode(ancestors).alias("target")
     )
-    offered = listing.select("collector", "key", "size_bytes", F.explode(ancestors).alias("target"))
-    wanted = targets.select("collector", F.regexp_replace("target", "/+$", "").alias("target"), "is_dir")
     met = offered.join(wanted, ["collector", "target"])
     return met.where(F.when(F.col("is_dir"), F.col("key") != F.col("target")).otherwise(F.col("key") == F.col("target"))).select(
         "collector", "target", "is_dir", "key", "size_bytes"
@@ -96,7 +101,7 @@ def removal_plan(listing: DataFrame, targets: DataFrame, bucket: str) -> DataFra
         F.sum("size_bytes").alias("total_bytes"),
         F.count_if((F.col("_least") < 0) | (F.col("_listed") > 1)).alias("_bad"),
     )
-    wanted = targets.select("collector", F.regexp_replace("target", "/+$", "").alias("target"), "is_dir")
+    wanted = targets.select("collector", F.regexp_replace("target", r"/+\z", "").alias("target"), "is_dir")
     zero = F.lit(0).cast("bigint")
     return wanted.join(counted, ["collector", "target"], "left").select(
         "collector",
@@ -109,22 +114,19 @@ def removal_plan(listing: DataFrame, targets: DataFrame, bucket: str) -> DataFra
     )
 
 
-def removal_documents(entries: DataFrame, keys: list[str], max_entries: int = 100_000) -> DataFrame:
-    """Plans with the key -> size map in the document, for targets up to ``max_entries`` objects.
+def removal_documents(entries: DataFrame, keys: list[str]) -> DataFrame:
+    """Every plan with the key -> size map in its document.
 
-    Larger targets keep their entries as rows of ``removal_entries``, which is exact for any size.
+    The contract's document holds the whole map, so each is as large as its target; where only the
+    entries are wanted, ``removal_entries`` has them as rows.
     """
-    counted = entries.groupBy(*keys).agg(F.count(F.lit(1)).alias("object_count"))
-    small = counted.where(F.col("object_count") <= max_entries).select(*keys)
-    return (
-        entries.join(small, keys, "left_semi")
-        .groupBy(*keys)
-        .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "size_bytes")))).alias("expected_objects"))
-    )
+    pairs = F.array_sort(F.collect_list(F.struct("key", "size_bytes")))
+    return entries.groupBy(*keys).agg(F.map_from_entries(pairs).alias("expected_objects"))
 
 
 def listing_drift(expected: DataFrame, observed: DataFrame, keys: list[str]) -> DataFrame:
-    """Key -> size differences between plan and listing: ``added``, ``removed`` or ``resized``.
+    """Key -> size differences between plan and listing: ``added``, ``removed``, ``resized``, or
+    ``duplicate`` for a key that either side names more than once.
 
     One shuffle of the tagged union; no row means no drift.
     """
@@ -136,14 +138,15 @@ def listing_drift(expected: DataFrame, observed: DataFrame, keys: list[str]) ->
         return F.max(F.when(F.col("_plan") == planned, F.col("size_bytes")))
 
     merged = tagged.groupBy(*keys, "key").agg(
-        F.bool_or("_plan").alias("_in_plan"),
-        F.bool_or(~F.col("_plan")).alias("_in_now"),
+        F.count_if("_plan").alias("_in_plan"),
+        F.count_if(~F.col("_plan")).alias("_in_now"),
         size(True).alias("expected_size"),
         size(False).alias("observed_size"),
     )
     drift = first_reason(
-        ("added", ~F.col("_in_plan")),
-        ("removed", ~F.col("_in_now")),
+        ("duplicate", (F.col("_in_plan") > 1) | (F.col("_in_now") > 1)),
+        ("added", F.col("_in_plan") == 0),
+        ("removed", F.col("_in_now") == 0),
         ("resized", ~F.col("expected_size").eqNullSafe(F.col("observed_size"))),
     )
     return merged.withColumn("drift", drift).where(F.col("drift").isNotNull()).drop("_in_plan", "_in_now")
@@ -152,7 +155,7 @@ def listing_drift(expected: DataFrame, observed: DataFrame, keys: list[str]) ->
 def residual_after_removal(listing: DataFrame, targets: DataFrame) -> DataFrame:
     """How many objects of each target are still listed."""
     left = removal_entries(listing, targets).groupBy("collector", "target").agg(F.count(F.lit(1)).alias("remaining"))
-    wanted = targets.select("collector", F.regexp_replace("target", "/+$", "").alias("target"))
+    wanted = targets.select("collector", F.regexp_replace("target", r"/+\z", "").alias("target"))
     return wanted.join(left, ["collector", "target"], "left").withColumn(
         "remaining", F.coalesce("remaining", F.lit(0).cast("bigint"))
     )

@@ -44,12 +44,19 @@ def replica_match(
 
 
 def object_meta_match(objects: DataFrame, object_meta: DataFrame) -> DataFrame:
-    """Size and digest of each object against the replica's metadata."""
+    """Size and digest of each object against the replica's metadata.
+
+    A sidecar that is itself invalid or lies under another object's name counts for nothing. Where both
+    sides name the replica, each replica's objects meet their own sidecars.
+    """
+    if "reason" in object_meta.columns:
+        object_meta = object_meta.where(F.col("reason").isNull())
+    keys = ["collector", *[c for c in ("replica",) if c in objects.columns and c in object_meta.columns], "relative_key"]
     meta = object_meta.select(
-        "collector", "relative_key", F.col("size_bytes").alias("meta_size"), F.col("sha256").alias("meta_sha256"),
+        *keys, F.col("size_bytes").alias("meta_size"), F.col("sha256").alias("meta_sha256"),
         F.lit(True).alias("_meta"),
     )
-    joined = objects.join(meta, ["collector", "relative_key"], "left")
+    joined = objects.join(meta, keys, "left")
     wrong = differs(F.coalesce("meta_size", F.lit(-1)), F.col("size_bytes")) | differs(F.col("meta_sha256"), F.col("sha256"))
     return joined.withColumn(
         "reason", first_reason(("meta_missing", F.col("_meta").isNull()), ("meta_mismatch", wrong))
@@ -57,24 +64,36 @@ def object_meta_match(objects: DataFrame, object_meta: DataFrame) -> DataFrame:
 
 
 def verify_objects(objects: DataFrame, observed: DataFrame) -> DataFrame:
-    """Each manifest entry against the observed object, first failed check in fixed order."""
+    """Each manifest entry against the observed object, first failed check in fixed order.
+
+    What the observer says of a file counts: a missing one was not seen, and one that could not be read
+    or holds non-finite numbers fails at the place where the check met it.
+    """
+    if "reason" in observed.columns:
+        observed = observed.where(~F.col("reason").eqNullSafe(F.lit("missing"))).withColumn("_says", F.col("reason"))
+    else:
+        observed = observed.withColumn("_says", F.lit(None).cast("string"))
     seen = observed.select(
         *OBJECT,
         *[F.col(name).alias(f"seen_{name}") for name in ("size_bytes", "sha256", "row_count", "schema_sha256", "content_sha256")],
         F.lit(True).alias("_seen"),
+        "_says",
     )
     joined = objects.join(seen, OBJECT, "left")
+    says = F.coalesce("_says", F.lit(""))
     business = F.col("kind").eqNullSafe(F.lit(BUSINESS_KIND))
     reason = first_reason(
         ("missing", F.col("_seen").isNull()),
         ("size", differs(F.col("seen_size_bytes"), F.col("size_bytes"))),
         ("sha256", differs(F.col("seen_sha256"), F.col("sha256"))),
+        ("unreadable", says.startswith("unreadable")),
         ("rows", differs(F.col("seen_row_count"), F.coalesce("row_count", F.lit(0).cast("bigint")))),
         ("schema", differs(F.col("seen_schema_sha256"), F.col("schema_sha256"))),
         ("content_absent", business & (F.coalesce(F.length("content_sha256"), F.lit(0)) != 64)),
+        ("non_finite", business & (says == "non_finite")),
         ("content", business & differs(F.col("seen_content_sha256"), F.col("content_sha256"))),
     )
-    return joined.withColumn("reason", reason).drop("_seen")
+    return joined.withColumn("reason", reason).drop("_seen", "_says")
 
 
 def replica_object_diff(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -45,27 +45,30 @@ def report_index_counts(reports: DataFrame) -> DataFrame:
     )
 
 
-REPORT_OBJECT = (
-    "array<struct<relative_key: string, kind: string, table_name: string, size_bytes: string, sha256: string, row_count: string>>"
-)
-
-
 def report_objects(reports: DataFrame) -> DataFrame:
-    """The objects of readable reports, one row each, with kind label and short digest."""
-    parsed = reports.where(F.col("reason").isNull()).select(
-        "path", F.posexplode(F.from_json("raw", f"objects {REPORT_OBJECT}")["objects"]).alias("pos", "item")
+    """The objects of readable reports, one row each, with kind label and short digest.
+
+    Entries that are not JSON objects are passed over; the others keep their place in the list.
+    """
+    listed = reports.where(F.col("reason").isNull()).select(
+        "path", F.posexplode(_field("objects", "array<variant>")).alias("pos", "entry")
     )
-    digest = F.coalesce("item.sha256", F.lit(""))
+    parsed = listed.where(F.schema_of_variant("entry").startswith("OBJECT"))
+
+    def item(name: str) -> Column:
+        return F.try_variant_get("entry", f"$.{name}", "string")
+
+    digest = F.coalesce(item("sha256"), F.lit(""))
     dash = F.lit("--")
-    kind = F.col("item.kind")
+    kind = item("kind")
     return parsed.select(
         "path",
         F.col("pos").cast("bigint").alias("pos"),
         F.coalesce(label(KIND_LABELS, kind), dash).alias("kind"),
-        F.coalesce("item.table_name", dash).alias("table_name"),
-        F.coalesce("item.relative_key", dash).alias("relative_key"),
-        safe_int(F.col("item.row_count")).alias("row_count"),
-        safe_int(F.col("item.size_bytes")).alias("size_bytes"),
+        F.coalesce(item("table_name"), dash).alias("table_name"),
+        F.coalesce(item("relative_key"), dash).alias("relative_key"),
+        safe_int(item("row_count")).alias("row_count"),
+        safe_int(item("size_bytes")).alias("size_bytes"),
         F.when(F.length(digest) > 16, F.concat(F.left(digest, F.lit(16)), F.lit("…"))).otherwise(digest).alias("digest"),
     )
 
@@ -77,7 +80,17 @@ def report_object_totals(reports: DataFrame) -> DataFrame:
 
 
 def report_fields(reports: DataFrame, limit: int = 180) -> DataFrame:
-    """Key/value rows of each readable document; nested values stay JSON text."""
-    fields = F.explode(F.from_json("raw", "map<string,string>")).alias("field", "value")
-    rows = reports.where(F.col("reason").isNull()).select("path", fields)
-    return rows.select("path", "field", compact_text(F.coalesce("value", F.lit("None")), limit).alias("value"))
+    """Key/value rows of each readable document; nested values stay JSON text.
+
+    Booleans and null show as ``True``, ``False`` and ``None``. ``rank`` is the place of the field in the
+    order of the document's names, from 1.
+    """
+    named = F.map_entries(F.from_json("raw", "map<string,string>"))
+    fields = F.posexplode(F.array_sort(named)).alias("place", "pair")
+    # The text of a JSON boolean and that of the string "true" are the same; the variant tells them apart.
+    flags = F.map_filter(F.from_json("raw", "map<string,variant>"), lambda _, v: F.schema_of_variant(v) == "BOOLEAN")
+    flags = F.map_keys(flags)
+    rows = reports.where(F.col("reason").isNull()).select("path", flags.alias("flags"), fields)
+    value = F.when(F.array_contains("flags", F.col("pair.key")), F.initcap("pair.value")).otherwise(F.col("pair.value"))
+    shown = compact_text(F.coalesce(value, F.lit("None")), limit)
+    return rows.select("path", F.col("pair.key").alias("field"), (F.col("place") + 1).cast("bigint").alias("rank"), shown.alias("value"))

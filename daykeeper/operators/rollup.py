@@ -239,15 +239,20 @@ def expected_entries(totals: DataFrame, listed: DataFrame) -> DataFrame:
     )
 
 
-def space_preflight(objects: DataFrame, existing: DataFrame, free: DataFrame) -> DataFrame:
+def space_preflight(
+    objects: DataFrame, existing: DataFrame, free: DataFrame, days: DataFrame | None = None
+) -> DataFrame:
     """Bytes still needed per day plus the fixed reserve, against the free bytes of the collector.
 
     ``existing``: collector, archive_date, relative_key, existing_bytes. ``free``: collector, free_bytes.
+    ``days`` (collector, archive_date of the manifests) keeps days without objects: they need nothing.
     """
     here = existing.groupBy(*DAY, "relative_key").agg(F.sum("existing_bytes").alias("_have"))
     need = objects.join(here, [*DAY, "relative_key"], "left").groupBy(*DAY).agg(
         F.sum(F.greatest(F.col("size_bytes") - zero("_have"), F.lit(0).cast("bigint"))).alias("additional_bytes")
     )
+    if days is not None:
+        need = days.select(*DAY).distinct().join(need, DAY, "left").select(*DAY, zero("additional_bytes").alias("additional_bytes"))
     reserve = F.when(F.col("additional_bytes") > 0, F.lit(SPACE_RESERVE_BYTES)).otherwise(F.lit(0)).cast("bigint")
     return (
         need.withColumn("reserve_bytes", reserve)
@@ -283,6 +288,8 @@ def verification_report(
     lists = verified.groupBy(*DAY).agg(
         F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["item"]).alias("objects")
     )
+    # A verified day without objects has an empty list, as its manifest has.
+    nothing = F.filter(F.array(F.col("objects")[0]), lambda _: F.lit(False))
     match = replica_match(manifests)
     passed = days.where(F.col("status") == "verified")
     return (
@@ -300,6 +307,6 @@ def verification_report(
             F.col("left_sha256").alias("drive_manifest_sha256"),
             F.col("right_sha256").alias("r2_manifest_sha256"),
             F.coalesce("replicas_match", F.lit(False)).alias("replicas_match"),
-            "objects",
+            F.coalesce("objects", nothing).alias("objects"),
         )
     )

@@ -139,6 +139,8 @@ def smooth(speed: float | None, instant: float) -> float:
     return instant if speed is None else speed * SPEED_KEEP + instant * SPEED_GAIN
 
 
+#: Updates of other stages say nothing of the speed and are passed over.
+SPEED_STAGES = ("downloading", "switching")
 SAMPLE_MICROS = round(SPEED_SAMPLE_SECONDS * 1e6)
 
 
@@ -170,7 +172,7 @@ def _pieces(progress: DataFrame, chunk_seconds: int) -> DataFrame:
     fixes the sample point whatever came before. A piece is the stretch from such an update on, by
     the time slice of that update, so a hot transfer has as many pieces as time slices.
     """
-    base = progress.select(
+    base = progress.where(F.col("stage").isin(*SPEED_STAGES)).select(
         "transfer_id", "seq", "ts", _micros().alias("micros"), (F.col("stage") == "switching").alias("switching"),
         "network_bytes", "remaining_bytes", time_chunk(F.col("ts"), chunk_seconds).alias("_chunk"),
     )

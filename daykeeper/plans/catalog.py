@@ -838,13 +838,14 @@ def stream_speed(spark, sf):
 def live_day_status(spark, sf):
     events = event_stream(spark, sf)
     updates = events.select(
+        F.concat(F.lit("c"), F.col("user_id") % 3).alias("collector"),
         day_text(F.col("ts")).alias("archive_date"),
         F.when(F.col("user_id") % 2 == 0, F.lit(PRIMARY_REPLICA)).otherwise(F.lit(SECONDARY_REPLICA)).alias("replica"),
         F.col("event_type").alias("status"),
         "ts",
         F.col("event_id").alias("seq"),
     )
-    return upsert_to_table(live_status.live_day_status(updates), "status", ["archive_date", "replica"])
+    return upsert_to_table(live_status.live_day_status(updates), "status", ["collector", "archive_date", "replica"])
 
 
 def checks(spark, sf):

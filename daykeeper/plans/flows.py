@@ -13,7 +13,8 @@ from daykeeper.operators.rollup import all_days, day_status, space_preflight
 from daykeeper.plans import views
 from daykeeper.plans.catalog import chained, query, validated, verdicts
 
-HISTORY_DAYS = 12
+#: Days shown of each collector; the archive's own setting is 45 unless its user says otherwise.
+HISTORY_DAYS = 45
 
 
 @query
@@ -24,7 +25,7 @@ def audit_days(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query
-def dashboard_scan(spark: SparkSession, sf: str) -> DataFrame:
+def dashboard_scan(spark: SparkSession, sf: str, history_days: int = HISTORY_DAYS) -> DataFrame:
     """The newest listed or local days of each collector with their states and labels.
 
     The day limit is joined to the documents before they are validated: the optimizer would not move
@@ -33,7 +34,7 @@ def dashboard_scan(spark: SparkSession, sf: str) -> DataFrame:
     listed = list_days(views.listing(spark, sf), ["replica", "collector"])
     local = views.local_flags(spark, sf)
     days = all_days(listed, local.where("has_root").select(*DAY))
-    shown = recent_days(days, HISTORY_DAYS)
+    shown = recent_days(days, history_days)
     documents = views.manifests(spark, sf).join(shown, DAY, "left_semi")
     status = day_status(days.join(shown, DAY, "left_semi"), validate_manifests(documents), local, chained(spark, sf))
     return status.select(

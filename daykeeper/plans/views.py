@@ -188,7 +188,7 @@ def faulty_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(dom == 15, first.withField("sha256", F.upper(first["sha256"])))
         .otherwise(first)
     )
-    listed = F.concat(F.array(bent), F.slice("objects", 2, 1000))
+    listed = F.concat(F.array(bent), F.slice("objects", F.lit(2), F.size("objects")))
     changed = bodies.withColumns(
         {
             "objects": F.when(dom == 9, F.lit(None))

@@ -10,7 +10,6 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def build_session(app_name: str = "daykeeper", master: str | None = None, **conf: str) -> SparkSession:
@@ -88,11 +87,3 @@ def durable(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: fixes the rows and cuts the lineage; survives executor loss."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """A broadcast hint for a persisted or stored side whose row count was checked; else the side as it is.
-
-    Meant for narrow key tables; beyond the bound Spark shuffles both sides.
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

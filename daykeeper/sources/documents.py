@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daykeeper.contracts import EVIDENCE_MAX_BYTES, REPORT_MAX_BYTES
 from daykeeper.functions.digests import sha256
 from daykeeper.functions.paths import file_name
 from daykeeper.functions.rules import first_reason
@@ -105,7 +104,7 @@ def read_object_meta(spark: SparkSession, path: str, suffix: str) -> DataFrame:
     )
 
 
-def read_reports(spark: SparkSession, path: str, name_glob: str = "*.json", max_bytes: int = REPORT_MAX_BYTES) -> DataFrame:
+def read_reports(spark: SparkSession, path: str, name_glob: str = "*.json", max_bytes: int | None = None) -> DataFrame:
     """All reports below ``path``; unreadable ones stay as rows with a reason."""
     return report_rows(
         read_files(spark, path, name_glob).select(
@@ -115,11 +114,14 @@ def read_reports(spark: SparkSession, path: str, name_glob: str = "*.json", max_
     )
 
 
-def report_rows(files: DataFrame, max_bytes: int = REPORT_MAX_BYTES) -> DataFrame:
-    """Rows with path, modified, length, content -> name, payload (VARIANT), raw text and reason."""
-    fits = F.col("length") <= max_bytes
-    text = F.when(fits, utf8(F.col("content")))
-    parsed = files.withColumn("raw", text).withColumn("payload", F.try_parse_json("raw"))
+def report_rows(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Rows with path, modified, length, content -> name, payload (VARIANT), raw text and reason.
+
+    Documents of any size are read. ``max_bytes`` is a rule of the caller: longer ones get the reason
+    ``too_large`` and keep their payload.
+    """
+    fits = F.lit(True) if max_bytes is None else F.col("length") <= max_bytes
+    parsed = files.withColumn("raw", utf8(F.col("content"))).withColumn("payload", F.try_parse_json("raw"))
     is_object = F.coalesce(F.schema_of_variant("payload").startswith("OBJECT"), F.lit(False))
     return parsed.select(
         "path",
@@ -136,7 +138,7 @@ def report_rows(files: DataFrame, max_bytes: int = REPORT_MAX_BYTES) -> DataFram
     )
 
 
-def read_evidence(spark: SparkSession, path: str, kind: str, name_glob: str = "*.json", max_bytes: int = EVIDENCE_MAX_BYTES) -> DataFrame:
+def read_evidence(spark: SparkSession, path: str, kind: str, name_glob: str = "*.json", max_bytes: int | None = None) -> DataFrame:
     """Evidence documents of one kind: typed columns, file name, file digest and a reason."""
     rows = report_rows(
         read_files(spark, path, name_glob).select(

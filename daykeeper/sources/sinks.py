@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from daykeeper.functions.canonical import canonical_json
-from daykeeper.session import broadcast_if_small
+from daykeeper.sources.tables import read_partitioned
 
 
 def report_text(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -38,7 +38,14 @@ def publish_verified_days(rows: DataFrame, verdicts: DataFrame, data_path: str,
     """
     # Used for the data and for the reports: kept meanwhile, recomputed if an executor is lost.
     passed = verdicts.where(F.col("status") == "verified").persist()
-    days = broadcast_if_small(passed.select("collector", "archive_date"))
+    try:
+        _publish(rows, passed, data_path, report_path)
+    finally:
+        passed.unpersist()
+
+
+def _publish(rows: DataFrame, passed: DataFrame, data_path: str, report_path: str) -> None:
+    days = passed.select("collector", "archive_date")
     kept = rows.join(days, ["collector", "archive_date"], "left_semi")
     (
         kept.hint("rebalance", F.col("collector"), F.col("archive_date"))
@@ -48,13 +55,11 @@ def publish_verified_days(rows: DataFrame, verdicts: DataFrame, data_path: str,
         .parquet(data_path)
     )
     write_report(passed, report_path)
-    passed.unpersist()
 
 
 def read_published(spark, data_path: str, report_path: str) -> DataFrame:
     """Rows of days whose report exists."""
-    reported = spark.read.text(report_path).select("collector", F.col("archive_date").cast("string")).distinct()
-    rows = spark.read.parquet(data_path)
-    return rows.withColumn("archive_date", F.col("archive_date").cast("string")).join(
-        reported, ["collector", "archive_date"], "left_semi"
-    )
+    keys = "collector STRING, archive_date STRING"
+    reported = spark.read.schema(f"value STRING, {keys}").text(report_path).select("collector", "archive_date").distinct()
+    rows = read_partitioned(spark, data_path, ["collector", "archive_date"])
+    return rows.join(reported, ["collector", "archive_date"], "left_semi")

@@ -8,10 +8,12 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from daykeeper.contracts import BUSINESS_KIND
 from daykeeper.functions.canonical import payload_text
 from daykeeper.sources.documents import read_files
+from daykeeper.sources.named import arrow_uri
 
 _HASH_CHUNK = 8 * 1024 * 1024
 
@@ -19,11 +21,12 @@ _HASH_CHUNK = 8 * 1024 * 1024
 def scan_day_tables(spark: SparkSession, root: str, dates: list[str] | None = None) -> DataFrame:
     """Rows of a root of ``collector=/date=`` folders, with file path and row index for file order.
 
-    ``dates`` becomes a partition filter, so other days are not listed for reading.
+    ``collector`` and ``date`` are text, as the folders spell them: ``007`` stays ``007``. ``dates``
+    becomes a partition filter, so other days are not listed for reading.
     """
-    df = spark.read.option("basePath", root).parquet(root)
+    df = read_partitioned(spark, root, ["collector", "date"])
     if dates is not None:
-        df = df.where(F.col("date").cast("string").isin(dates))
+        df = df.where(F.col("date").isin(dates))
     # row_index is only produced when asked for beside the data columns.
     return df.select(
         "*",
@@ -32,6 +35,13 @@ def scan_day_tables(spark: SparkSession, root: str, dates: list[str] | None = No
     )
 
 
+def read_partitioned(spark: SparkSession, root: str, keys: list[str]) -> DataFrame:
+    """A partitioned Parquet table whose partition columns are text instead of inferred types."""
+    inferred = spark.read.option("basePath", root).parquet(root).schema
+    fields = [T.StructField(f.name, T.StringType()) if f.name in keys else f for f in inferred.fields]
+    return spark.read.option("basePath", root).schema(T.StructType(fields)).parquet(root)
+
+
 def list_objects(spark: SparkSession, root: str, name_glob: str | None = None) -> DataFrame:
     """Flat listing below ``root``: key, size, modified. File contents are not read."""
     files = read_files(spark, root, name_glob).select(
@@ -58,13 +68,18 @@ def observe_objects(objects: DataFrame, tasks: int | None = None) -> DataFrame:
     ``objects`` has collector, archive_date, relative_key, kind and ``uri``. Rows are spread over
     tasks by object; each file is streamed once for its digest and once in row batches, so memory
     stays bounded for files of any size. Only business objects get a content digest.
+
+    Where ``objects`` also has what the manifest says (size_bytes, sha256, row_count, schema_sha256), a
+    file is read only up to its first fact that differs: later facts stay NULL, which ``verify_objects``
+    never reaches. A file that is not there or is no Parquet is a finding; any other failure to read
+    (refused, throttled, a scheme without a file system) fails the task, so that it is tried again.
     """
 
     def observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 fact = {name: row[name] for name in ("collector", "archive_date", "relative_key")}
-                fact.update(_observe_file(row["uri"], row["kind"] == BUSINESS_KIND))
+                fact.update(_observe_file(row["uri"], row["kind"] == BUSINESS_KIND, {n: row[n] for n in said}))
                 yield pa.RecordBatch.from_pylist([fact], schema=schema)
 
     schema = pa.schema(
@@ -80,36 +95,48 @@ def observe_objects(objects: DataFrame, tasks: int | None = None) -> DataFrame:
             ("reason", pa.string()),
         ]
     )
-    slim = objects.select("collector", "archive_date", "relative_key", "kind", "uri")
+    said = [n for n in ("size_bytes", "sha256", "row_count", "schema_sha256") if n in objects.columns]
+    slim = objects.select("collector", "archive_date", "relative_key", "kind", "uri", *said)
     keys = ["collector", "archive_date", "relative_key"]
     spread = slim.repartition(tasks, *keys) if tasks else slim.repartition(*keys)
     return spread.mapInArrow(observe, OBSERVED)
 
 
-def _observe_file(uri: str, with_content: bool) -> dict:
+def _observe_file(uri: str, with_content: bool, said: dict) -> dict:
     import pyarrow.fs as pafs
     import pyarrow.parquet as pq
 
     fact: dict = {}
-    try:
-        filesystem, path = pafs.FileSystem.from_uri(uri)
-        info = filesystem.get_file_info(path)
-        if info.type != pafs.FileType.File:
-            return {"reason": "missing"}
-        fact["size_bytes"] = info.size
-        digest = hashlib.sha256()
-        with filesystem.open_input_stream(path) as stream:
-            while chunk := stream.read(_HASH_CHUNK):
-                digest.update(chunk)
-        fact["sha256"] = digest.hexdigest()
-        with filesystem.open_input_file(path) as handle:
+
+    def differs(name: str) -> bool:
+        return said.get(name) is not None and said[name] != fact[name]
+
+    filesystem, path = pafs.FileSystem.from_uri(arrow_uri(uri))
+    info = filesystem.get_file_info(path)
+    if info.type != pafs.FileType.File:
+        return {"reason": "missing"}
+    fact["size_bytes"] = info.size
+    if differs("size_bytes"):
+        return fact
+    digest = hashlib.sha256()
+    with filesystem.open_input_stream(path) as stream:
+        while chunk := stream.read(_HASH_CHUNK):
+            digest.update(chunk)
+    fact["sha256"] = digest.hexdigest()
+    if differs("sha256"):
+        return fact
+    with filesystem.open_input_file(path) as handle:
+        try:
             table = pq.ParquetFile(handle)
             fact["row_count"] = table.metadata.num_rows
             fact["schema_sha256"] = hashlib.sha256(str(table.schema_arrow).encode("utf-8")).hexdigest()
-            if with_content:
+            if with_content and not differs("row_count") and not differs("schema_sha256"):
                 fact["content_sha256"], fact["reason"] = _content_chain(table)
-    except (OSError, pa.ArrowException) as error:
-        fact["reason"] = f"unreadable: {type(error).__name__}"
+        except (OSError, pa.ArrowInvalid) as error:
+            # The bytes were read whole just now: what fails here is their form, unless the store says otherwise.
+            if isinstance(error, OSError) and error.errno is not None:
+                raise
+            fact["reason"] = f"unreadable: {type(error).__name__}"
     return fact
 
 
@@ -136,7 +163,7 @@ def arrow_schema_digest(objects: DataFrame) -> DataFrame:
         for batch in batches:
             digests, counts = [], []
             for uri in batch.column(1).to_pylist():
-                filesystem, path = pafs.FileSystem.from_uri(uri)
+                filesystem, path = pafs.FileSystem.from_uri(arrow_uri(uri))
                 with filesystem.open_input_file(path) as handle:
                     table = pq.ParquetFile(handle)
                     counts.append(table.metadata.num_rows)

@@ -49,4 +49,4 @@ def catch_up_stream(
 
 def read_reports_table(spark: SparkSession, report_path: str) -> DataFrame:
     """The reports written so far."""
-    return spark.read.text(report_path).withColumn("archive_date", F.col("archive_date").cast("string"))
+    return spark.read.schema("value STRING, collector STRING, archive_date STRING").text(report_path)

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from daykeeper.contracts import PUBLISH_SECONDS
-from daykeeper.operators.telemetry import speed_step
+from daykeeper.operators.telemetry import SPEED_STAGES, speed_step
 
 
 def stream_progress(progress: DataFrame) -> DataFrame:
@@ -93,7 +93,8 @@ def stream_speed(stream: DataFrame) -> DataFrame:
         rows = _in_order(frames)
         speeds = []
         for at, stage, moved in zip(rows["micros"], rows["stage"], rows["network_bytes"]):
-            current = speed_step(current, int(at), int(moved), stage == "switching")
+            if stage in SPEED_STAGES:
+                current = speed_step(current, int(at), int(moved), stage == "switching")
             speeds.append(current[2])
         state.update(current)
         out = rows[["transfer_id", "seq"]].copy()

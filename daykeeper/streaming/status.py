@@ -9,12 +9,12 @@ from daykeeper.contracts import CACHE_SECONDS
 
 
 def live_day_status(stream: DataFrame) -> DataFrame:
-    """Newest status per day and replica; run it in update mode.
+    """Newest status per collector, day and replica; run it in update mode.
 
-    ``stream``: archive_date, replica, status, ts, seq (breaks ties). One row of state per pair.
+    ``stream``: collector, archive_date, replica, status, ts, seq (breaks ties). One row of state for each.
     """
     newest = F.struct("ts", "seq")
-    return stream.groupBy("archive_date", "replica").agg(
+    return stream.groupBy("collector", "archive_date", "replica").agg(
         F.max_by("status", newest).alias("status"), F.max("ts").alias("ts")
     )
 

@@ -275,7 +275,7 @@ FROM verdicts""",
 SELECT s.collector, s.archive_date, drive_state, r2_state, local_state, replicas_match,
   CASE WHEN replicas_match = false OR 'error' IN (drive_state, r2_state, local_state) THEN 'error'
     WHEN (replicas_match OR (drive_state = 'cleaned' AND r2_state = 'cleaned')) AND local_state = 'verified' THEN 'ok' ELSE 'warn' END AS severity
-FROM status s QUALIFY row_number() OVER (PARTITION BY collector ORDER BY archive_date DESC) <= 12""",
+FROM status s QUALIFY row_number() OVER (PARTITION BY collector ORDER BY archive_date DESC) <= 45""",
     "fetch_plan": f"""
 SELECT g.collector, g.archive_date, CASE WHEN g.valid_replicas = 0 THEN 'no_replica' END AS gate_reason, g.warnings, s.replica,
   CASE WHEN s.collector IS NULL THEN NULL WHEN m.collector IS NULL THEN 'fetch'
@@ -415,7 +415,7 @@ FROM (SELECT path, unnest(objects) AS item, generate_subscripts(objects, 1) - 1
     "report_object_totals": """
 SELECT path, len(objects) AS objects, list_sum(list_transform(objects, lambda x: x.size_bytes))::BIGINT AS total_bytes FROM reports WHERE prefix = 'verify'""",
     "report_fields": f"""
-SELECT path, field, CASE WHEN value IS NULL THEN 'None' WHEN length(value) <= 180 THEN value ELSE value[:177] || '...' END AS value
+SELECT path, field, row_number() OVER (PARTITION BY path ORDER BY field) AS rank, CASE WHEN value IS NULL THEN 'None' WHEN length(value) <= 180 THEN value ELSE value[:177] || '...' END AS value
 FROM (SELECT path, pair.f AS field, pair.v AS value FROM (SELECT path, unnest([
     {{'f': 'archive_date', 'v': CASE WHEN prefix <> 'note' THEN day END}},
     {{'f': 'objects', 'v': to_json(objects)::VARCHAR}}, {{'f': 'object_count', 'v': count_text}}, {{'f': 'row_count', 'v': row_count::VARCHAR}},
@@ -525,8 +525,8 @@ FROM ({_LIVE}) GROUP BY transfer_id""",
     "stream_throttle": _THROTTLE,
     "stream_speed": f"SELECT transfer_id, seq, round(speed, 3) AS speed FROM ({_SPEED})",
     "live_day_status": """
-SELECT strftime(ts, '%Y-%m-%d') AS archive_date, CASE WHEN user_id % 2 = 0 THEN 'google_drive' ELSE 'r2' END AS replica,
-  arg_max(event_type, event_id) AS status, max(ts) AS ts FROM events GROUP BY 1, 2""",
+SELECT 'c' || user_id % 3 AS collector, strftime(ts, '%Y-%m-%d') AS archive_date, CASE WHEN user_id % 2 = 0 THEN 'google_drive' ELSE 'r2' END AS replica,
+  arg_max(event_type, event_id) AS status, max(ts) AS ts FROM events GROUP BY 1, 2, 3""",
     "fresh_results": """
 SELECT user_id, max(ts) AS checked_at FROM events WHERE ts <= TIMESTAMP '2024-01-30 12:00:00' AND ts > TIMESTAMP '2024-01-30 06:00:00'
   AND event_type NOT IN ('error', 'view') GROUP BY user_id""",

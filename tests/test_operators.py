@@ -94,7 +94,8 @@ def test_directory_removal_keeps_to_its_prefix_and_writes_plan_and_receipt(spark
     entries = listing.removal_entries(df, wanted)
     document = listing.removal_documents(entries, ["target"]).first()["expected_objects"]
     assert document == {ROOT + "date=2026-08-02/manifest.json": 100, ROOT + "date=2026-08-02/business/data.parquet": 200}
-    assert listing.removal_documents(entries, ["target"], max_entries=1).count() == 0
+    many = spark.range(100_001).selectExpr("'t' AS target", "concat('t/', id) AS key", "id AS size_bytes")
+    assert len(listing.removal_documents(many, ["target"]).first()["expected_objects"]) == 100_001
     receipt = evidence.removal_receipt(wanted.where("target LIKE '%-02'"), entries, entries, entries.where("false"), ["collector", "target"]).first()
     assert (receipt["status"], receipt["deleted_objects"], receipt["deleted_bytes"]) == ("completed", 2, 300)
 
