@@ -510,6 +510,10 @@ SELECT collector, archive_date, event_id FROM ev WHERE (collector, archive_date)
     "observe_files": f"""
 SELECT collector, archive_date, count(*) AS row_count, {_chain('payload', 'event_id')} AS content_sha256, true AS sized, 64 AS schema_digits,
   NULL::VARCHAR AS reason FROM rows_drive GROUP BY ALL""",
+    "verify_archive": """
+SELECT collector, archive_date, reason, CASE WHEN reason IS NULL THEN 'verified' ELSE 'failed' END AS status, CASE WHEN reason IS NULL THEN rows ELSE 0 END AS published_rows
+FROM (SELECT collector, archive_date, count(*) AS rows, [NULL, 'missing', 'size', 'sha256', 'unreadable', 'rows', 'schema', 'content_absent',
+    'content', 'row_total', NULL][dayofmonth(archive_date::DATE) % 11 + 1] AS reason FROM ev GROUP BY ALL)""",
     "arrow_schemas": """
 SELECT collector, count(DISTINCT archive_date) AS files, count(*) AS row_count, true AS one_schema FROM ev GROUP BY collector""",
     "catch_up": f"""
