@@ -11,7 +11,7 @@ from datetime import date, datetime, timezone
 from decimal import Decimal
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -77,6 +77,11 @@ def _object(fields: list[tuple[str, str, T.DataType]], depth: int) -> str:
     return f"concat({', '.join(parts)}, '}}')" if parts else "'{}'"
 
 
+def _plain_decimals() -> bool:
+    session = SparkSession.getActiveSession()
+    return session is None or session.conf.get("spark.sql.ansi.enabled", "true").lower() == "true"
+
+
 def canonical_sql(value: str, data_type: T.DataType, depth: int = 0) -> str:
     """SQL of the canonical JSON text of one value; NULL becomes the text ``null``."""
     item = f"x{depth}"
@@ -85,6 +90,8 @@ def canonical_sql(value: str, data_type: T.DataType, depth: int = 0) -> str:
     elif isinstance(data_type, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType)):
         text = f"CAST({value} AS STRING)"
     elif isinstance(data_type, (T.DecimalType, T.DateType)):
+        if isinstance(data_type, T.DecimalType) and data_type.scale > 6 and not _plain_decimals():
+            raise ValueError("decimals of this scale print in scientific form unless spark.sql.ansi.enabled is true")
         text = f"concat('\"', CAST({value} AS STRING), '\"')"
     elif isinstance(data_type, (T.TimestampType, T.TimestampNTZType)):
         text = _timestamp(value, isinstance(data_type, T.TimestampType))

@@ -22,6 +22,7 @@ def previous_day(day: Column) -> Column:
     return F.date_sub(day.cast("date"), 1).cast("string")
 
 
-def utc_yesterday() -> Column:
-    """The UTC day before now, whatever the session time zone."""
-    return F.date_sub(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()).cast("date"), 1).cast("string")
+def utc_yesterday(now: Column | None = None) -> Column:
+    """The UTC day before ``now`` (a timestamp; the clock's, if None), whatever the session time zone."""
+    clock = F.current_timestamp() if now is None else now
+    return F.date_sub(F.to_utc_timestamp(clock, F.current_timezone()).cast("date"), 1).cast("string")

@@ -62,6 +62,7 @@ def day_severity() -> Column:
 
 
 def report_kind(name: Column) -> Column:
+    # File name prefixes of the archive's reports.
     return (
         F.when(F.startswith(name, F.lit("verify-")), F.lit("verify"))
         .when(F.startswith(name, F.lit("plan-")), F.lit("plan"))
@@ -98,6 +99,7 @@ def report_severity(kind: Column, status: Column, broken: Column) -> Column:
 def report_time(stamps: list[Column], modified: Column) -> Column:
     """The first non-empty stamp as ``YYYY-MM-DD hh:mm:ss UTC``, else the file time."""
     text = F.trim(F.coalesce(*[F.nullif(stamp, F.lit("")) for stamp in stamps], F.lit("")))
+    # Fixed value: the form of the reports' time stamps.
     pattern = r"^(\d{4}-\d{2}-\d{2})[T ](\d{2}:\d{2}:\d{2})"
     day, clock = F.regexp_extract(text, pattern, 1), F.regexp_extract(text, pattern, 2)
     own = F.when(day != "", F.concat(day, F.lit(" "), clock))

@@ -9,6 +9,7 @@ from daykeeper.contracts import KIND_LABELS
 from daykeeper.functions.labels import report_date, report_kind, report_severity, report_state, report_time
 from daykeeper.functions.text import compact_text, label, safe_int
 
+# Fields that hold a report's time, in the order they are looked at.
 STAMPS = ["verified_at", "completed_at", "generated_at", "created_at"]
 
 

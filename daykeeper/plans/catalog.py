@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daykeeper.contracts import DEFAULT_CONTRACTS, PRIMARY_REPLICA, SECONDARY_REPLICA
-from daykeeper.functions import labels, paths, text
+from daykeeper.functions import dates, labels, paths, text
 from daykeeper.functions.canonical import canonical_json, canonical_json_exact, nonfinite
 from daykeeper.functions.dates import day_text, previous_day, strict_archive_date
 from daykeeper.functions.digests import schema_fingerprint, sha256
@@ -708,6 +708,11 @@ def compact_text(spark, sf):
     return views.table(spark, sf, "documents").select("doc_id", text.compact_text(F.col("text"), 180).alias("shown"))
 
 
+@query
+def utc_yesterday(spark, sf):
+    return views.table(spark, sf, "events").select("event_id", dates.utc_yesterday(F.col("ts")).alias("day"))
+
+
 @query
 def safe_int(spark, sf):
     way = F.col("event_id") % 5

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from daykeeper.contracts import DEFAULT_CONTRACTS, Contracts
 from daykeeper.operators.manifests import manifest_objects, validate_manifests
 from daykeeper.operators.reconcile import DAY, catch_up_days, select_source, verify_objects
 from daykeeper.operators.rollup import verify_days
@@ -21,28 +22,36 @@ def catch_up_stream(
     markers: Callable[[], DataFrame],
     report_path: str,
     checkpoint: str,
+    contracts: Contracts = DEFAULT_CONTRACTS,
 ) -> None:
     """Verifies the days of newly arrived manifest documents and writes their reports.
 
     ``documents`` is a stream of collector, replica, archive_date, raw, declared_sha256 and
     declared_size. ``observed`` and ``markers`` give the tables as they are at each cycle. A day with
     a verified marker of the same digest is skipped, so a repeated cycle changes nothing; a replayed
-    micro-batch rewrites the same day folders.
+    micro-batch rewrites the same day folders. ``contracts`` names the archive's namespace. Only the days
+    of the batch are taken from ``observed`` and ``markers``.
     """
 
     def cycle(batch: DataFrame, batch_id: int) -> None:
         # The checked manifests are used three times: kept for the cycle, recomputed if lost.
-        checked = validate_manifests(manifest_columns(batch)).persist()
+        checked = validate_manifests(manifest_columns(batch), contracts).persist()
+        try:
+            judge(checked)
+        finally:
+            checked.unpersist()
+
+    def judge(checked: DataFrame) -> None:
+        days = checked.select(*DAY).distinct()
         chosen = select_source(checked)
         available = chosen.select(*DAY, "replica", F.col("raw_sha256").alias("manifest_sha256"))
-        todo = catch_up_days(available, markers()).where(F.col("action") == "fetch").drop("action")
+        todo = catch_up_days(available, markers().join(days, DAY, "left_semi")).where(F.col("action") == "fetch").drop("action")
         fetched = checked.join(todo, [*DAY, "replica"])
         declared = fetched.select(
             *DAY, "manifest_sha256", F.col("object_count").cast("bigint"), F.col("row_count").cast("bigint")
         )
-        verdicts = verify_days(declared, verify_objects(manifest_objects(fetched), observed()))
+        verdicts = verify_days(declared, verify_objects(manifest_objects(fetched), observed().join(days, DAY, "left_semi")))
         write_report(verdicts.where(F.col("status") == "verified"), report_path)
-        checked.unpersist()
 
     run_available(documents, cycle, "append", checkpoint)
 

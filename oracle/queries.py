@@ -133,6 +133,7 @@ SELECT transfer_id, object_name, seq, bytes FROM (
 _LIVE = """
 SELECT transfer_id, object_name, max(CASE WHEN completed THEN object_total ELSE greatest(least(bytes, object_total), 0) END) AS object_bytes,
   max(object_total) AS object_total FROM progress GROUP BY transfer_id, object_name"""
+# Label texts as the archive shows them.
 _STATES = {
     "loading": "... 读取中", "verified": "✓ 已验证", "cleaned": "✓ 已清理", "missing": "○ 缺失",
     "error": "! 异常", "partial": "○ 下载未完成", "unverified": "? 未验证",
@@ -206,6 +207,7 @@ SELECT page_id, CASE WHEN stripped = '' THEN '' WHEN {_SAFE} THEN {_NORMAL} END
   CASE WHEN stripped = '' THEN 'child.txt' WHEN {_SAFE} THEN {_NORMAL} || '/child.txt' END AS child,
   CASE WHEN {_SAFE} AND NOT contains({_NORMAL}, '/') THEN 'top/' || {_NORMAL} END AS below_top
 FROM (SELECT page_id, trim(path, '/') AS stripped FROM {_URLS})""",
+    "utc_yesterday": "SELECT event_id, strftime(ts::DATE - 1, '%Y-%m-%d') AS day FROM events",
     "strict_dates": """
 SELECT o_orderkey, CASE WHEN regexp_full_match(t, '\\d{4}-\\d{2}-\\d{2}') AND try_cast(t AS DATE) IS NOT NULL AND t >= '0001-01-01'
   THEN t END AS archive_date
