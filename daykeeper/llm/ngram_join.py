@@ -263,9 +263,15 @@ def _between(low: float, high: float):
 
 
 def _may_link(percent: int) -> Column:
-    """What sizes and shared n-grams of two documents (n, s and m, t) allow."""
+    """What sizes, shared n-grams and places of a common n-gram (n, s, pos and m, t, at) allow.
+
+    Two documents that link share at least ``need`` n-grams, so the first common one stands, in the order
+    of either, before the last ``need`` - 1: a common n-gram that stands later proves nothing.
+    """
     least = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
-    return least & (F.least("s", "t") * (100 + percent) >= (F.col("n") + F.col("m")) * percent)
+    need = F.floor(((F.col("n") + F.col("m")) * percent + 99 + percent) / (100 + percent))
+    places = (F.col("pos") + need <= F.col("n")) & (F.col("at") + need <= F.col("m"))
+    return least & places & (F.least("s", "t") >= need)
 
 
 def _verified(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
@@ -335,8 +341,10 @@ def _linked(docs: DataFrame, live: DataFrame, words: int, percent: int) -> DataF
     segments = stored(segments)
 
     length = F.col("n") - _enough(F.col("n"), percent) + 1 - (F.col("n") - F.col("s"))
-    lists = ordered.select("vertex", "n", "s", F.explode(F.slice("tokens", F.lit(1), F.greatest(F.lit(0), length).cast("int"))).alias("token"))
-    lists = stored(lists.select("vertex", "n", "s", F.col("token.h").alias("h")))
+    prefix = F.slice("tokens", F.lit(1), F.greatest(F.lit(0), length).cast("int"))
+    lists = ordered.select("vertex", "n", "s", F.posexplode(prefix).alias("pos", "token"))
+    # N-grams that no other document has come first in the order.
+    lists = stored(lists.select("vertex", "n", "s", (F.col("n") - F.col("s") + F.col("pos")).alias("pos"), F.col("token.h").alias("h")))
 
     ids = stored(ordered.select(F.col("vertex").alias("id")).distinct())
     labels, links, checked = ids.select("id", F.col("id").alias("label")), None, None
@@ -348,10 +356,10 @@ def _linked(docs: DataFrame, live: DataFrame, words: int, percent: int) -> DataF
         now = stored(now)
         if now.isEmpty():
             break
-        other = now.select(F.col("vertex").alias("b"), F.col("n").alias("m"), F.col("s").alias("t"), "h", F.col("label").alias("other"))
+        other = now.select(F.col("vertex").alias("b"), F.col("n").alias("m"), F.col("s").alias("t"), F.col("pos").alias("at"), "h", F.col("label").alias("other"))
         if k < STAR_ROUNDS:
-            mark = F.struct((F.col("b") if k == 0 else F.xxhash64("b", F.lit(k))).alias("turn"), "b", "m", "t", "other")
-            hubs = stored(other.groupBy("h").agg(F.min(mark).alias("hub")).select(F.col("h").alias("g"), "hub.b", "hub.m", "hub.t", "hub.other"))
+            mark = F.struct((F.col("b") if k == 0 else F.xxhash64("b", F.lit(k))).alias("turn"), "b", "m", "t", "at", "other")
+            hubs = stored(other.groupBy("h").agg(F.min(mark).alias("hub")).select(F.col("h").alias("g"), "hub.b", "hub.m", "hub.t", "hub.at", "hub.other"))
             met = now.join(hubs, now.h == hubs.g)
         else:
             met = now.join(other, "h").where("vertex < b")

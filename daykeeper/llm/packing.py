@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,15 +17,19 @@ from .common import map_rows
 #: Pieces in a packing partition, on the average.
 PARTITION_PIECES = 50_000
 ROUNDS = 4
-CACHE_ENTRIES = 400_000
-KEPT_LENGTH = 16
+#: Encoded words in a generation of a Python worker's store (some 200 bytes each; two generations are held),
+#: and the longest that are kept.
+CACHE_ENTRIES = 300_000
+KEPT_LENGTH = 20
 
 
 class WordBpe:
     """Token ids of whole texts by a ``tokenizers`` file that drops white space between words.
 
     A text is cut at spaces, tabs and line ends, where no token can cross; each different part is
-    encoded by the library once per slice of texts, and short ones are kept for later slices.
+    encoded by the library once per slice of texts, and short ones are kept for later slices. Plain
+    Latin words go to the library many at a time: every word ends with a token that marks its end, so
+    the ids fall apart into words again.
     """
 
     def __init__(self, path: str, cache_entries: int = CACHE_ENTRIES):
@@ -35,22 +38,63 @@ class WordBpe:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.encode_batch = Tokenizer.from_file(path).encode_batch_fast
+        self.model = Tokenizer.from_file(path)
+        self.last = np.zeros(self.model.get_vocab_size(), bool)
+        for token, k in self.model.get_vocab().items():
+            self.last[k] = token.endswith("</w>")
         self.cache: dict[bytes, bytes] = {}
+        self.last_cache: dict[bytes, bytes] = {}
         self.cache_entries = cache_entries
+        self.marks = {m: self._one(m) if m else b"" for m in (".", ",", "")}
+
+    def _one(self, part: str) -> bytes:
+        return np.array(self.model.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _words(self, words: list[str], block: int = 4_000) -> list[bytes]:
+        out: list[bytes] = []
+        for at in range(0, len(words), block):
+            part = words[at : at + block]
+            ids = np.array(self.model.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
+            if len(ends) == len(part) and ends[-1] == len(ids):
+                flat = ids.tobytes()
+                out += [flat[4 * a : 4 * b] for a, b in zip([0, *ends], ends)]
+            else:
+                out += [self._one(w) for w in part]
+        return out
+
+    def _learn(self, parts: list[bytes]) -> None:
+        plain, other = [], []
+        for raw in parts:
+            part = raw.decode()
+            word, mark = (part[:-1], part[-1]) if part[-1] in ".," else (part, "")
+            if word.isalpha() and (word.isascii() or max(word) <= "\xff"):
+                plain.append((raw, word, mark))
+            else:
+                other.append((raw, part))
+        words = list({word for _, word, _ in plain})
+        ids = dict(zip(words, self._words(words)))
+        marks = self.marks
+        self.cache.update([(raw, ids[word] + marks[mark]) for raw, word, mark in plain])
+        coded = self.model.encode_batch_fast([part for _, part in other], add_special_tokens=False) if other else []
+        self.cache.update([(raw, np.array(e.ids, "<u4").tobytes()) for (raw, _), e in zip(other, coded)])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        parts = [t.encode().split() for t in texts]
-        cache = self.cache
-        if len(cache) > self.cache_entries:
-            cache.clear()
-        new = list(set().union(*parts).difference(cache))
-        coded = [e.ids for e in self.encode_batch([p.decode() for p in new], add_special_tokens=False)] if new else []
-        ends = list(accumulate(map(len, coded), initial=0))
-        flat = np.fromiter(chain.from_iterable(coded), "<u4", ends[-1]).tobytes()
-        for p, a, b in zip(new, ends, ends[1:]):
-            cache[p] = flat[4 * a : 4 * b]
+        parts = []
+        for text in texts:
+            raw = text.encode()
+            # The tokenizer takes A-Z as a-z, but for the names of its special tokens.
+            parts.append(raw.split() if b"<|" in raw else raw.lower().split())
+        if len(self.cache) > self.cache_entries:
+            # What comes again is taken over from the last generation, the rest goes with it.
+            self.last_cache, self.cache = self.cache, {}
+        cache, old = self.cache, self.last_cache
+        new = set().union(*parts).difference(cache)
+        again = new & old.keys()
+        cache.update([(p, old[p]) for p in again])
+        new = list(new - again)
+        self._learn(new)
         out = [b"".join(map(cache.__getitem__, p)) for p in parts]
         for p in new:
             if len(p) > KEPT_LENGTH:
