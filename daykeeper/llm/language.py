@@ -101,13 +101,18 @@ class LanguageModel:
         return names, scores
 
 
-def fit(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> LanguageModel:
-    """One-versus-rest kernel ridge regression on (text, language) rows; every landmark is one of the rows."""
-    languages = sorted({lang for _, lang in rows})
-    kept, flags = [], np.zeros((len(rows), 1 << BITS), np.uint8)
-    for k, (text, _) in enumerate(rows):
-        if presence(text, flags[k]):
-            kept.append(k)
+def fit(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float = RIDGE, block: int = 128) -> LanguageModel:
+    """One-versus-rest kernel ridge regression on (text, language) rows; every landmark is one of the rows.
+
+    Only the landmarks' sets are held; the rows are gone through in blocks, once for the sizes of their
+    sets and once for their kernel values with the landmarks.
+    """
+    sizes = []
+    flags = np.zeros(1 << BITS, np.uint8)
+    for text, _ in rows:
+        flags[:] = 0
+        sizes.append(int(flags.sum()) if presence(text, flags) else 0)
+    kept = [k for k, size in enumerate(sizes) if size]
     languages = sorted({rows[k][1] for k in kept})
     if not kept:
         return LanguageModel([], np.zeros(0, np.int64), np.zeros((0, 0), np.float32), np.zeros((0, 0)))
@@ -116,12 +121,19 @@ def fit(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float =
         by.setdefault(rows[k][1], []).append(k)
     each = max(1, landmarks // len(languages))
     # The longest rows of a language cover most of its n-grams.
-    chosen = [k for lang in languages for k in sorted(by[lang], key=lambda k: (-int(flags[k].sum()), k))[:each]]
-    marks = flags[chosen]
+    chosen = [k for lang in languages for k in sorted(by[lang], key=lambda k: (-sizes[k], k))[:each]]
+
+    def sets(of: list[int]) -> np.ndarray:
+        out = np.zeros((len(of), 1 << BITS), np.uint8)
+        for at, k in enumerate(of):
+            presence(rows[k][0], out[at])
+        return out
+
+    marks = sets(chosen)
     places = np.flatnonzero(marks.any(axis=0))
     size = np.sqrt(marks.sum(axis=1, dtype=np.int64))
     model = LanguageModel(languages, places, (marks[:, places] / size[:, None]).astype(np.float32), np.zeros((0, 0)))
-    cross = model.kernel(flags[kept])
+    cross = np.vstack([model.kernel(sets(kept[at : at + block])) for at in range(0, len(kept), block)])
     inner = model.kernel(marks)
     values, vectors = np.linalg.eigh((inner + inner.T) / 2)
     good = values > 1e-6 * values.max()

@@ -31,8 +31,8 @@ from .common import connected, stored
 #: Words in an n-gram and the similarity in percent.
 WORDS, PERCENT = 5, 80
 #: n-grams in a fragment of the hash range on the average, and bytes of text hashed at a time.
-FRAGMENT_NGRAMS = 2_000_000
-SLICE_BYTES = 12_000_000
+FRAGMENT_NGRAMS = 1_000_000
+SLICE_BYTES = 5_000_000
 #: Fragments of the n-gram order in which overlaps are counted.
 ORDER_FRAGMENTS = 4
 #: Rounds in which a list is compared with a single member, before all pairs across components.
