@@ -15,6 +15,9 @@ in a prefix list are first compared with one of them only, and what these links
 that still hold several components go on with other members, and the last round compares all pairs
 across components. So a large group of near copies costs a few comparisons a member, not all pairs, and
 no component is missed.
+
+For the number of links all pairs inside a component count. ``links`` cuts each component into blocks,
+compares every two blocks in a task of their own and hands on sums per vertex, never pairs.
 """
 
 from __future__ import annotations
@@ -37,6 +40,9 @@ SLICE_BYTES = 5_000_000
 ORDER_FRAGMENTS = 4
 #: Rounds in which a list is compared with a single member, before all pairs across components.
 STAR_ROUNDS = 2
+#: For counted links: vertices of a block at least and at most (a component has 32 blocks in between), bytes
+#: of their sets, and columns of an overlap matrix that are multiplied at a time.
+BLOCK_LEAST, BLOCK_MOST, BLOCK_BYTES, COLUMNS = 128, 2_048, 4_000_000, 4_096
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -292,6 +298,31 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
     are compared with others as one. A null doc_id has a null component and links with nothing. Extra
     columns are not read. Empty table: no rows.
     """
+    counted, classes, _, unkeyed = _classes(docs, words, percent)
+    out = counted.join(classes, counted.sign == classes["class"], "left")
+    out = out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    return out.unionByName(unkeyed)
+
+
+def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The columns of ``components`` and n_links: with how many other rows the row links.
+
+    Copies count one by one: a row links with each further row of its own set and with each row of every
+    set that reaches the threshold. Null doc_ids and empty sets have 0.
+    """
+    counted, classes, vertices, unkeyed = _classes(docs, words, percent)
+    near = _link_counts(vertices, classes, percent).select(F.col("sign").alias("near_sign"), "near")
+    found = classes.join(near, classes["class"] == near.near_sign, "left")
+    found = stored(found.select("class", "component", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_links")))
+    out = counted.join(found, counted.sign == found["class"], "left")
+    n_links = F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
+    out = out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), n_links)
+    return out.unionByName(unkeyed.withColumn("n_links", F.lit(0).cast("long")))
+
+
+def _classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """What is counted per row; (class, component, copies) of the sets that several rows have or that may
+    link; (vertex, sign, own) of those that may link; the finished rows without doc_id."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = rows.where("doc_id is not null")
     total = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -303,16 +334,98 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
         F.min("doc_id").alias("vertex"), F.count(F.lit(1)).alias("rows"), F.max((possible & ~F.col("copied")).cast("int")).alias("live"), F.max("n").alias("n")
     )
     groups = stored(groups)
-    labels = _linked(known, groups.where("live = 1"), words, percent)
+    labels, vertices = _linked(known, groups.where("live = 1"), words, percent)
     classes = groups.join(labels, groups.vertex == labels.id, "left").where("rows > 1 or id is not null")
-    classes = stored(classes.select(F.col("sign").alias("class"), F.coalesce("label", "vertex").alias("component")))
-    out = counted.join(classes, counted.sign == classes["class"], "left")
-    out = out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
-    return out.unionByName(unkeyed)
+    classes = stored(classes.select(F.col("sign").alias("class"), F.coalesce("label", "vertex").alias("component"), F.col("rows").alias("copies")))
+    return counted, classes, vertices, unkeyed
 
 
-def _linked(docs: DataFrame, live: DataFrame, words: int, percent: int) -> DataFrame:
-    """(id, label) of the vertices that link with another; ``live``: vertices that may."""
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many values each set of ``left`` shares with each of ``right``.
+
+    Values of few sets add their pairs one by one; those of many are columns of 0 and 1, multiplied in
+    fragments of COLUMNS whose partial overlaps are summed.
+    """
+    both = np.zeros((len(left), len(right)), np.int64)
+    of_left = np.repeat(np.arange(len(left)), [len(s) for s in left])
+    of_right = np.repeat(np.arange(len(right)), [len(s) for s in right])
+    _, column = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    in_left, in_right = column[: len(of_left)], column[len(of_left) :]
+    held = np.bincount(in_left, minlength=column.max() + 1) * np.bincount(in_right, minlength=column.max() + 1)
+    many = held * 64 > both.size
+    number = np.cumsum(many) - 1
+    for at in range(0, int(many.sum()), COLUMNS):
+        sides = []
+        for rows, columns, height in ((of_left, in_left, len(left)), (of_right, in_right, len(right))):
+            own = many[columns] & (number[columns] >= at) & (number[columns] < at + COLUMNS)
+            side = np.zeros((height, COLUMNS), np.float32)
+            side[rows[own], number[columns[own]] - at] = 1
+            sides.append(side)
+        both += (sides[0] @ sides[1].T).astype(np.int64)
+    few = (held > 0) & ~many
+    own = few[in_left]
+    rows, columns = of_left[own], in_left[own]
+    order = np.argsort(in_right, kind="stable")
+    first = np.searchsorted(in_right[order], columns)
+    runs = np.searchsorted(in_right[order], columns, "right") - first
+    at = 0
+    ends = np.cumsum(runs)
+    while at < len(rows):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 4_000_000, "right")))
+        run = runs[at:end]
+        step = np.arange(run.sum()) - np.repeat(np.cumsum(run) - run, run)
+        met = of_right[order[np.repeat(first[at:end], run) + step]]
+        both += np.bincount(np.repeat(rows[at:end], run) * len(right) + met, minlength=both.size).reshape(both.shape)
+        at = end
+    return both
+
+
+def _link_counts(vertices: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(sign, near): how many rows have a set that links with the set of ``sign`` and is not equal to it.
+
+    Links never leave a component. A block of a component meets itself and each other block in a task;
+    small components share tasks, and what is compared across them does not link.
+    """
+    members = vertices.join(classes, vertices.sign == classes["class"]).select("component", "sign", "copies", "own")
+    members = stored(members)
+    size = F.count(F.lit(1)).alias("size")
+    sizes = members.groupBy("component").agg(size, F.sum(F.octet_length("own")).alias("bytes")).where("size > 1")
+    width = F.least(F.lit(BLOCK_MOST), F.greatest(F.lit(BLOCK_LEAST), F.col("size") / 32))
+    blocks = F.greatest(F.ceil(F.col("size") / width), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
+    sizes = stored(sizes.select(F.col("component").alias("of"), "size", "bytes", blocks.alias("blocks")))
+    small = sizes.where("blocks = 1").agg(F.sum("size"), F.sum("bytes")).first()
+    tasks = max(1, (small[0] or 0) // BLOCK_LEAST, (small[1] or 0) // BLOCK_BYTES)
+
+    placed = members.join(sizes, members.component == sizes.of).withColumn("block", F.pmod(F.xxhash64("sign", F.lit(3)), "blocks").cast("int"))
+    placed = placed.select("component", "sign", "copies", "own", "blocks", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    alone = F.col("blocks") == 1
+    part = F.when(alone, F.pmod(F.xxhash64("component", F.lit(4)), F.lit(tasks))).otherwise(F.col("component"))
+    placed = placed.select(alone.alias("alone"), part.alias("part"), F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "sign", "copies", "own")
+
+    def count(table: pa.Table) -> pa.Table:
+        block, low, high = (table.column(c).to_numpy() for c in ("block", "low", "high"))
+        sign, copies = table.column("sign").to_numpy(), table.column("copies").to_numpy()
+        sets = [np.frombuffer(x, "<u8") for x in table.column("own").to_pylist()]
+        n = np.array([len(s) for s in sets], np.int64)
+        left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        near = np.zeros(len(sets), np.int64)
+        if len(left) and len(right):
+            both = overlaps([sets[k] for k in left], [sets[k] for k in right])
+            linked = both * 100 >= (n[left][:, None] + n[right] - both) * percent
+            if low[0] == high[0]:
+                np.fill_diagonal(linked, False)
+                near[left] = linked @ copies[right]
+            else:
+                near[left], near[right] = linked @ copies[right], copies[left] @ linked
+        return pa.table({"sign": sign, "near": near})
+
+    partial = placed.groupBy("alone", "part", "low", "high").applyInArrow(count, "sign bigint, near bigint")
+    return stored(partial.groupBy("sign").agg(F.sum("near").alias("near")))
+
+
+def _linked(docs: DataFrame, live: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(id, label) of the vertices that link with another and (vertex, sign, own) of those that still may;
+    ``live``: vertices that may."""
     ids = live.select(F.col("vertex").alias("doc_id"), F.col("sign").alias("live_sign"))
     own = docs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
     sets = _sets(own, words).join(ids, "doc_id").where("sign = live_sign").groupBy("doc_id", "sign").agg(F.first("own").alias("own"))
@@ -320,7 +433,7 @@ def _linked(docs: DataFrame, live: DataFrame, words: int, percent: int) -> DataF
     total = sets.agg(F.sum(F.octet_length("own"))).first()[0] or 0
     again = _counted(sets.select("doc_id", "sign", "own"), _slices_of_sets, total // 8 + 1)
     again = again.where(F.col("shared") >= _enough(F.col("n"), percent)).select("doc_id", "sign")
-    vertices = stored(sets.join(again, ["doc_id", "sign"]).select(F.col("doc_id").alias("vertex"), "own"))
+    vertices = stored(sets.join(again, ["doc_id", "sign"]).select(F.col("doc_id").alias("vertex"), "sign", "own"))
 
     ngrams = _ngrams(vertices)
     frequent = stored(ngrams.groupBy("h").count().where("count > 1").select(F.col("h").alias("g"), F.col("count").cast("int").alias("df")))
@@ -376,4 +489,4 @@ def _linked(docs: DataFrame, live: DataFrame, words: int, percent: int) -> DataF
         if not new.isEmpty():
             links = new if links is None else links.unionByName(new)
             labels = connected(ids, links)
-    return labels
+    return labels, vertices

@@ -28,6 +28,11 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.components(load(spark, sf_dir, "documents"))
 
 
+@query
+def op1_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.links(load(spark, sf_dir, "documents"))
+
+
 @query
 def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.span_digests(load(spark, sf_dir, "documents"))

@@ -104,6 +104,31 @@ def test_ngram_join_of_the_tables(spark):
     assert {tuple(r) for r in QUERIES["op1_ngram_join"](spark, SF).collect()} == brute_classes(rows)
 
 
+def brute_links(rows):
+    """n_links per (doc_id, set) of rows (doc_id, text), row by row."""
+    sets = [shingles(t) for _, t in rows]
+    linked = lambda a, b: a and 100 * len(a & b) >= 80 * len(a | b)
+    return sorted((rows[i][0], len(a), sum(bool(linked(a, b)) for j, b in enumerate(sets) if i != j)) for i, a in enumerate(sets))
+
+
+@pytest.mark.parametrize("block", [128, 7])
+def test_ngram_links_equal_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "BLOCK_LEAST", block)
+    monkeypatch.setattr(ngram_join, "COLUMNS", 4_096 if block > 7 else 50)
+    rows = near_copies() + [(3000 + k, "one two three four five six seven") for k in range(9)]
+    table = spark.createDataFrame([*rows, (None, rows[0][1])], "doc_id BIGINT, text STRING")
+    got = ngram_join.links(table).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["n_links"]) for r in got if r["doc_id"] is not None) == brute_links(rows)
+    assert [(r["component_id"], r["n_links"]) for r in got if r["doc_id"] is None] == [(None, 0)]
+    assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got if r["doc_id"] is not None} == brute_classes(sorted(rows))
+    assert max(r["n_links"] for r in got) > 20 and ngram_join.links(table.limit(0)).count() == 0
+
+
+def test_ngram_links_of_the_tables(spark):
+    rows = [(r["doc_id"], r["text"]) for r in load(spark, SF, "documents").collect()]
+    assert sorted((r["doc_id"], r["n_shingles"], r["n_links"]) for r in QUERIES["op1_ngram_links"](spark, SF).collect()) == brute_links(rows)
+
+
 def clusters(seed=1, n=400, width=16):
     rng = np.random.default_rng(seed)
     centres = rng.normal(size=(12, width))
