@@ -16,8 +16,7 @@ from daykeeper.session import scratch_path
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents in which no language can be told: null, empty and letterless texts."""
-    told = language.identify(docs, docs.where("lang is not null"))
-    return told.where(F.col("lang_pred") != language.UNKNOWN).select(*docs.columns)
+    return language.accept(docs, docs.where("lang is not null"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -49,8 +49,7 @@ def _codes(text: str) -> tuple[np.ndarray, bool]:
         out = np.where(high, raw, out)
     keep = out != _SPACE
     keep[1:] |= out[:-1] != _SPACE
-    letter = any(map(str.isalpha, text[:64])) or any(map(str.isalpha, text))
-    return out[keep], letter
+    return out[keep], has_letter(text)
 
 
 def presence(text: str, flags: np.ndarray) -> bool:
@@ -69,6 +68,10 @@ def presence(text: str, flags: np.ndarray) -> bool:
     return True
 
 
+def has_letter(text: str | None) -> bool:
+    return bool(text) and (any(map(str.isalpha, text[:64])) or any(map(str.isalpha, text)))
+
+
 @dataclass
 class LanguageModel:
     """``places``: the n-gram places of any landmark; ``landmarks``: their rows over these, each divided by
@@ -184,3 +187,18 @@ def identify(docs: DataFrame, training: DataFrame, keep: list[str] | None = None
             yield pa.RecordBatch.from_arrays([*columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
 
     return read.mapInArrow(run, schema)
+
+
+def accept(docs: DataFrame, training: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose text has a letter, with all columns.
+
+    That a text has no letter does not depend on ``training``: where nothing can be learned from it, every
+    text with a letter stays.
+    """
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([has_letter(t) for t in batch.column(place).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

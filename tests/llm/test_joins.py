@@ -310,3 +310,13 @@ def test_pipeline_stages(spark, tmp_path):
     assert seen["language"] == [1, 2, 2, 3, 6] and seen["near_duplicates"] == [1, 2, 6] and seen["packing"] == [1, 2, 6]
     masked = spark.read.parquet(str(tmp_path / "personal_data")).where("doc_id = 2").first()
     assert masked["text"].endswith("mail <email>") and masked["n_chars"] == len(masked["text"])
+
+
+def test_pipeline_keeps_documents_where_no_language_can_be_learned(spark, tmp_path):
+    import corpus_pipeline
+
+    schema = "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT"
+    for label in (None, "en"):
+        rows = [(1, "the cat and the dog", None, "s", 1), (2, "1234 ...", label, "s", 1), (3, None, label, None, None), (4, "", None, "s", 0), (5, "日本", None, "s", 2)]
+        out = corpus_pipeline.identify_language(spark, spark.createDataFrame(rows, schema), str(tmp_path))
+        assert sorted(r["doc_id"] for r in out.collect()) == [1, 5] and out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
