@@ -15,7 +15,8 @@ from daykeeper.session import scratch_path
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without documents in which no language can be told: null, empty and letterless texts."""
+    """Without documents in which no language can be told: null, empty and letterless texts, and texts that
+    score below held-out rows of the nearest language (letter noise, languages that no row is labelled with)."""
     return language.accept(docs, docs.where("lang is not null"))
 
 

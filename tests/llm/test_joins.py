@@ -320,3 +320,16 @@ def test_pipeline_keeps_documents_where_no_language_can_be_learned(spark, tmp_pa
         rows = [(1, "the cat and the dog", None, "s", 1), (2, "1234 ...", label, "s", 1), (3, None, label, None, None), (4, "", None, "s", 0), (5, "日本", None, "s", 2)]
         out = corpus_pipeline.identify_language(spark, spark.createDataFrame(rows, schema), str(tmp_path))
         assert sorted(r["doc_id"] for r in out.collect()) == [1, 5] and out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_pipeline_turns_away_noise_and_unlearned_languages(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = load(spark, "/root/testdata/sf0.01", "documents")
+    rng = random.Random(5)
+    noise = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(1, 9))) for _ in range(60)) for _ in range(20)]
+    others = ["съешь ещё этих мягких французских булок да выпей чаю " * 2, "日本語の文章はこのように書かれています。" * 4]
+    odd = [(10**6 + k, text, None, "s", len(text)) for k, text in enumerate(noise + others)]
+    table = docs.select("doc_id", "text", "lang", "source", "n_chars").unionByName(spark.createDataFrame(odd, "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT"))
+    kept = Counter(r["doc_id"] for r in corpus_pipeline.identify_language(spark, table, str(tmp_path)).select("doc_id").collect())
+    assert kept == Counter(r["doc_id"] for r in docs.select("doc_id").collect())
