@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: n-grams of 1 to ORDERS characters fall into 2 ** BITS places; a text's set holds the places it fills.
 ORDERS = 4
 BITS = 17
-#: Rows that the model is fitted on at most, of each language and in all.
+#: Rows that the model is fitted on at most, of each language and in all (more only beyond so many languages).
 FIT_PER_LANGUAGE = 300
 FIT_ROWS = 6_000
 LANDMARKS = 96
@@ -163,15 +163,29 @@ def fit(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float =
 
 
 def training_rows(docs: DataFrame, per_language: int = FIT_PER_LANGUAGE, most_rows: int = FIT_ROWS) -> list[tuple[str, str]]:
-    """About ``per_language`` rows of each language, ``most_rows`` in all, spread evenly by a hash of the text."""
-    usable = docs.where("text is not null and lang is not null").select("text", "lang")
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max(1, most_rows // per_language)).collect()
-    if not counts:
+    """Different (text, lang) rows of every language: ``per_language`` of each (all, where there are fewer), or
+    the same smaller share where that makes more than ``most_rows``; one row of each at least.
+
+    They are the rows with the smallest hashes of the text; copies count once, letterless texts never.
+    """
+    usable = docs.where(F.col("text").rlike(r"\p{L}") & F.col("lang").isNotNull()).select("text", "lang", F.xxhash64("text", F.lit(7)).alias("key"))
+    about = usable.groupBy("lang").agg(F.approx_count_distinct("key").alias("different")).collect()
+    if not about:
         return []
-    rate = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], per_language / r["count"])])[F.col("lang")]
-    place = F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
-    picked = usable.where(place < rate).orderBy(F.xxhash64("text", "lang"), "text").limit(most_rows).collect()
-    return [(r["text"], r["lang"]) for r in picked]
+    share = max(1, min(per_language, most_rows // len(about)))
+    spark = docs.sparkSession
+    # Twice the share and some more are drawn by the approximate count, so that the share is among them.
+    rates = spark.createDataFrame([(r["lang"], (2.0 * share + 40) / max(1, r["different"])) for r in about], "of string, rate double")
+    place = F.pmod("key", F.lit(1 << 30)) / float(1 << 30)
+    drawn = usable.join(F.broadcast(rates), F.col("lang") == F.col("of")).where(place < F.col("rate")).select("lang", "key").distinct().collect()
+    by: dict[str, list[int]] = {}
+    for r in drawn:
+        by.setdefault(r["lang"], []).append(r["key"])
+    chosen = [(lang, key) for lang, keys in by.items() for key in sorted(keys, key=lambda key: (key % (1 << 30), key))[:share]]
+    chosen = spark.createDataFrame(chosen, "of string, chosen long")
+    picked = usable.join(F.broadcast(chosen), (F.col("lang") == F.col("of")) & (F.col("key") == F.col("chosen")))
+    picked = picked.groupBy("lang", "key").agg(F.first("text").alias("text")).collect()
+    return [(r["text"], r["lang"]) for r in sorted(picked, key=lambda r: (r["key"] % (1 << 30), r["key"], r["lang"]))]
 
 
 def identify(docs: DataFrame, training: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -179,8 +193,9 @@ def identify(docs: DataFrame, training: DataFrame, keep: list[str] | None = None
 
     Learns from ``training`` (text, lang) alone; of ``docs`` only text is read for the prediction. Null,
     empty and letterless texts are ``und`` with score 0, and so is everything where there is nothing to
-    learn from. Columns of ``docs`` called lang_pred or score are replaced. The model (at most LANDMARKS
-    rows over 2 ** BITS places, 50 MB) is broadcast.
+    learn from. Every language of ``training`` that has a text with a letter is learned. Columns of ``docs``
+    called lang_pred or score are replaced. The model (LANDMARKS rows over 2 ** BITS places, 50 MB, at most;
+    beyond so many languages one row of each) is broadcast.
     """
     kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("lang_pred", "score")]
     rows = training_rows(training)

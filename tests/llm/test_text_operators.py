@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 from html import unescape
 
 import public_tokenizers
@@ -137,6 +138,24 @@ def test_language_handles_odd_rows(spark, docs):
     assert language.identify(docs.limit(0), docs).count() == 0
 
 
+def test_every_language_is_learned(spark):
+    rng = random.Random(9)
+    rows = []
+    for k in range(30):
+        letters = rng.sample("abcdefghijklmnopqrstuvwxyzäöüßéèñçåø", 9)
+        word = lambda: "".join(rng.choices(letters, k=5))  # noqa: B023, E731
+        rows += [(" ".join(word() for _ in range(40)), f"l{k:02}") for _ in range(40 if k < 25 else 3)]
+    table = spark.createDataFrame([*rows, *[("123", "none")] * 50], "text STRING, lang STRING")
+    learned = language.training_rows(table)
+    assert len(learned) == 25 * 40 + 5 * 3 and set(learned) == set(rows)
+    few = language.training_rows(table, per_language=10, most_rows=90)
+    assert Counter(lang for _, lang in few) == {f"l{k:02}": 3 for k in range(30)}
+    least = language.training_rows(table, per_language=10, most_rows=5)
+    assert Counter(lang for _, lang in least) == {f"l{k:02}": 1 for k in range(30)}
+    got = language.identify(table.where("lang <> 'none'"), table).collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in got) >= 0.98 * len(got) and len({r["lang_pred"] for r in got}) == 30
+
+
 def test_kernel_counts_shared_places():
     import numpy as np
 
