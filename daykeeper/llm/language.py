@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import sys
 import unicodedata
 from collections.abc import Iterator
@@ -18,6 +19,8 @@ BITS = 17
 #: Rows that the model is fitted on at most, of each language and in all (more only beyond so many languages).
 FIT_PER_LANGUAGE = 300
 FIT_ROWS = 6_000
+#: Characters of all these rows together; each gives an even share at most, from its first letter on.
+FIT_CHARS = 60_000_000
 LANDMARKS = 96
 RIDGE = 1e-3
 UNKNOWN = "und"
@@ -122,11 +125,12 @@ def fit(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float =
     Only the landmarks' sets are held; the rows are gone through in blocks, once for the sizes of their
     sets and once for their kernel values with the landmarks.
     """
-    sizes = []
+    sizes, digests = [], []
     flags = np.zeros(1 << BITS, np.uint8)
     for text, _ in rows:
         flags[:] = 0
         sizes.append(int(flags.sum()) if presence(text, flags) else 0)
+        digests.append(hashlib.blake2b(np.packbits(flags), digest_size=16).digest())
     kept = [k for k, size in enumerate(sizes) if size]
     languages = sorted({rows[k][1] for k in kept})
     if not kept:
@@ -135,8 +139,9 @@ def fit(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float =
     for k in kept:
         by.setdefault(rows[k][1], []).append(k)
     each = max(1, landmarks // len(languages))
-    # The longest rows of a language cover most of its n-grams.
-    chosen = [k for lang in languages for k in sorted(by[lang], key=lambda k: (-sizes[k], k))[:each]]
+    # The longest rows of a language cover most of its n-grams; equal sets count once.
+    different = {lang: {digests[k]: k for k in reversed(own)}.values() for lang, own in by.items()}
+    chosen = [k for lang in languages for k in sorted(different[lang], key=lambda k: (-sizes[k], k))[:each]]
 
     def sets(of: list[int]) -> np.ndarray:
         out = np.zeros((len(of), 1 << BITS), np.uint8)
@@ -166,7 +171,8 @@ def training_rows(docs: DataFrame, per_language: int = FIT_PER_LANGUAGE, most_ro
     """Different (text, lang) rows of every language: ``per_language`` of each (all, where there are fewer), or
     the same smaller share where that makes more than ``most_rows``; one row of each at least.
 
-    They are the rows with the smallest hashes of the text; copies count once, letterless texts never.
+    They are the rows with the smallest hashes of the text; copies count once, letterless texts never. The
+    driver gets FIT_CHARS characters of them in all.
     """
     usable = docs.where(F.col("text").rlike(r"\p{L}") & F.col("lang").isNotNull()).select("text", "lang", F.xxhash64("text", F.lit(7)).alias("key"))
     about = usable.groupBy("lang").agg(F.approx_count_distinct("key").alias("different")).collect()
@@ -182,9 +188,12 @@ def training_rows(docs: DataFrame, per_language: int = FIT_PER_LANGUAGE, most_ro
     for r in drawn:
         by.setdefault(r["lang"], []).append(r["key"])
     chosen = [(lang, key) for lang, keys in by.items() for key in sorted(keys, key=lambda key: (key % (1 << 30), key))[:share]]
+    most_chars = max(1, FIT_CHARS // len(chosen))
     chosen = spark.createDataFrame(chosen, "of string, chosen long")
     picked = usable.join(F.broadcast(chosen), (F.col("lang") == F.col("of")) & (F.col("key") == F.col("chosen")))
-    picked = picked.groupBy("lang", "key").agg(F.first("text").alias("text")).collect()
+    picked = picked.groupBy("lang", "key").agg(F.first("text").alias("text"))
+    # A text without a letter near its start gives what follows the first one.
+    picked = picked.select("lang", "key", F.substr("text", F.regexp_instr("text", F.lit(r"\p{L}")), F.lit(most_chars)).alias("text")).collect()
     return [(r["text"], r["lang"]) for r in sorted(picked, key=lambda r: (r["key"] % (1 << 30), r["key"], r["lang"]))]
 
 

@@ -156,6 +156,17 @@ def test_every_language_is_learned(spark):
     assert sum(r["lang"] == r["lang_pred"] for r in got) >= 0.98 * len(got) and len({r["lang_pred"] for r in got}) == 30
 
 
+def test_copies_do_not_crowd_the_fit(spark, monkeypatch):
+    rows = [("uno dos tres cuatro cinco " * 30, "es")] * 500 + [(f"palabra {chr(97 + k)} otra", "es") for k in range(20)] + [(f"word {chr(97 + k)} other", "en") for k in range(20)]
+    learned = language.training_rows(spark.createDataFrame(rows, "text STRING, lang STRING"), per_language=30, most_rows=60)
+    assert len(learned) == 41 and Counter(lang for _, lang in learned) == {"es": 21, "en": 20}
+    model = language.fit([(f"{k} abcd efgh ijkl", "x") for k in range(9)] + [("ab", "x"), ("cd", "y")], landmarks=6)
+    assert len(model.landmarks) == 3
+    monkeypatch.setattr(language, "FIT_CHARS", 50)
+    short = language.training_rows(spark.createDataFrame([("9" * 99 + "abc " * 50, "x"), ("d" * 80, "y")], "text STRING, lang STRING"))
+    assert sorted(short) == [(("abc " * 50)[:25], "x"), ("d" * 25, "y")]
+
+
 def test_kernel_counts_shared_places():
     import numpy as np
 
