@@ -5,7 +5,9 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +51,19 @@ def slices(batches: Iterator[pa.RecordBatch], most_bytes: int = 4_000_000, most_
             at += step
 
 
+def text_slices(batches: Iterator[pa.RecordBatch], column: int, most_bytes: int) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that the texts of ``column`` add up to at most ``most_bytes`` in each (a longer text is
+    alone); cut by the texts' own lengths, so that a few long rows do not ride with thousands of short ones."""
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        total, at = np.cumsum(lengths), 0
+        while at < batch.num_rows:
+            before = int(total[at - 1]) if at else 0
+            end = max(at + 1, int(np.searchsorted(total, before + most_bytes, "right")))
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def _arrow_schema(schema: str) -> list[pa.DataType]:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
