@@ -6,12 +6,14 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 
-from .common import map_rows
+from .common import map_rows, text_slices
 
 # Kinds in the order of the contract, and its patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -68,28 +70,50 @@ def base_spans(text: str) -> list[Span]:
 # --- the random field -------------------------------------------------------------------------
 
 _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\s+|.", re.S)
-_TRIGGER = re.compile(r"[0-9]|[\[({<]\s?(?:at|AT|dot|DOT)\s?[\])}>]|@")
+_TRIGGER = re.compile(r"[0-9]+|[\[({<]\s?(?:at|AT|dot|DOT)\s?[\])}>]|@")
 _AT = re.compile(r"\s?[\[({<]\s?(?:at|AT)\s?[\])}>]\s?|\s?@\s?")
 _DOT = re.compile(r"\s?[\[({<]\s?(?:dot|DOT)\s?[\])}>]\s?")
 _HOST = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}\Z")
 _GROUPED = re.compile(r"\(?[0-9]{2,4}\)?(?:[ .-][0-9]{2,4}){2,4}\Z")
 _PLAIN_PHONE = re.compile(r"\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}\Z|00[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){3,4}\Z")
 _CUES = {"tel", "phone", "call", "fax", "mobile", "telefon", "teléfono", "mail", "email", "contact", "card", "karte", "carte", "tarjeta", "ip", "address"}
-#: Tokens in an entity at most, characters on either side of a trigger that the field reads, and around it.
-SPAN_TOKENS, REACH = 28, 48
+#: Tokens in an entity at most: the bound of the method.
+SPAN_TOKENS = 28
+
+
+def windows(text: str) -> Iterator[list[tuple[int, int]]]:
+    """Tokens of the stretches in which an entity can stand: those up to SPAN_TOKENS before and after digits, at
+    signs and their spelled forms. Stretches that meet are one, and a token is never cut, so the segments of
+    all stretches are those of the whole text."""
+    trigger = _TRIGGER.search(text)
+    while trigger:
+        tokens, ends = [], []
+        stream = _TOKEN.finditer(text, _back(text, trigger.start()))
+        while trigger:
+            while not ends or ends[-1] < trigger.end() or len(ends) < bisect_left(ends, trigger.end()) + SPAN_TOKENS:
+                m = next(stream, None)
+                if m is None:
+                    break
+                tokens.append(m.span())
+                ends.append(m.end())
+            trigger = _TRIGGER.search(text, trigger.end())
+            # A trigger whose stretch begins before this one's end goes on in this one.
+            if trigger and trigger.start() >= ends[-1] and _back(text, trigger.start()) > ends[-1]:
+                break
+        yield tokens
 
 
-def windows(text: str) -> Iterator[tuple[int, int]]:
-    """Stretches around digits, at signs and their spelled forms; they overlap nowhere and cover all of them."""
-    start = end = -1
-    for m in _TRIGGER.finditer(text):
-        if m.start() > end:
-            if start >= 0:
-                yield start, end
-            start = max(end, m.start() - REACH, 0)
-        end = min(len(text), m.end() + REACH)
-    if start >= 0:
-        yield start, end
+def _back(text: str, at: int, reach: int = 300) -> int:
+    """Where the SPAN_TOKENS-th token before ``at`` begins."""
+    while True:
+        first = max(0, at - reach)
+        starts = [m.start() for m in _TOKEN.finditer(text, first, at)]
+        if first == 0:
+            return starts[-SPAN_TOKENS] if len(starts) >= SPAN_TOKENS else 0
+        # The first may be the rest of a token.
+        if len(starts) > SPAN_TOKENS:
+            return starts[-SPAN_TOKENS]
+        reach *= 4
 
 
 def features(kind: str, span: str, before: str, after: str) -> list[str]:
@@ -120,15 +144,17 @@ def features(kind: str, span: str, before: str, after: str) -> list[str]:
     return out
 
 
-def candidates(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int, str, list[str]]]]:
-    """Tokens of a window, and its candidate segments (first token, token after the last, kind, features)."""
-    tokens = [m.span() for m in _TOKEN.finditer(text)]
+def candidates(text: str, tokens: list[tuple[int, int]] | None = None) -> tuple[list[tuple[int, int]], list[tuple[int, int, str, list[str]]]]:
+    """Tokens (given ones, or those of the whole text) and the candidate segments over them (first token, token
+    after the last, kind, features)."""
+    if tokens is None:
+        tokens = [m.span() for m in _TOKEN.finditer(text)]
     found = []
     for a, (left, _) in enumerate(tokens):
         first = text[left]
         if not (first.isalnum() or first in "+("):
             continue
-        if a and first.isalnum() and text[left - 1] in "._%+-" and text[left - 1] != "+" and a > 1 and text[left - 2].isalnum():
+        if left > 1 and first.isalnum() and text[left - 1] in "._%-" and text[left - 2].isalnum():
             continue
         ats = 0
         for b in range(a + 1, min(len(tokens), a + SPAN_TOKENS) + 1):
@@ -286,14 +312,16 @@ def all_spans(text: str, weights: dict[str, float]) -> tuple[list[Span], list[Sp
     """Base spans, and base spans with those that the field adds; an added one overlaps no base span."""
     base = base_spans(text)
     added: list[Span] = []
-    for start, end in windows(text):
-        part = text[start:end]
-        tokens, segments = candidates(part)
+    # The furthest end of the base spans so far: those of two kinds may overlap.
+    starts, furthest = [s[0] for s in base], list(accumulate((s[1] for s in base), max))
+    for tokens in windows(text):
+        _, segments = candidates(text, tokens)
         if not segments:
             continue
         for a, b, kind in decode(len(tokens), segments, weights):
-            s, e = start + tokens[a][0], start + tokens[b - 1][1]
-            if not any(s < y and x < e for x, y, _ in base):
+            s, e = tokens[a][0], tokens[b - 1][1]
+            before = bisect_left(starts, e)
+            if not before or furthest[before - 1] <= s:
                 added.append((s, e, kind))
     return base, sorted(base + added, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
@@ -324,7 +352,11 @@ def find_spans(docs: DataFrame) -> DataFrame:
 
 
 def span_digests(docs: DataFrame) -> DataFrame:
-    """doc_id, counts of the base spans by kind, SHA-256 of the base spans, all spans as text."""
+    """doc_id, counts of the base spans by kind, SHA-256 of the base spans, all spans as text.
+
+    Null and empty texts have none. Repeated rows give repeated rows, an empty table none; further columns
+    never reach Python.
+    """
     weights = trained()
 
     def work():
@@ -360,7 +392,7 @@ def mask_texts(docs: DataFrame) -> DataFrame:
     place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_slices(batches, place, 1_000_000):
             texts = [None if t is None else mask(t, all_spans(t, weights)[1]) for t in batch.column(place).to_pylist()]
             columns = [pa.array(texts, pa.string()) if k == place else c for k, c in enumerate(batch.columns)]
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
