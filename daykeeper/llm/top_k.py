@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from daykeeper.session import durable
@@ -14,9 +15,11 @@ from daykeeper.session import durable
 #: Candidates in a chunk and queries in a block: what one task holds of each at a time.
 CHUNK = 2_048
 BLOCK = 1_024
+#: Queries in a block that is scored by integer arithmetic, of which an entry takes some 100 bytes.
+EXACT_BLOCK = 128
 SLICES = 2
-#: Quantised components from here on could leave the range of a long; their vectors take no part.
-MOST = 1 << 26
+#: Sums of products below this are exact in double precision.
+EXACT = float(1 << 53)
 
 
 def usable(column: str) -> Column:
@@ -26,11 +29,18 @@ def usable(column: str) -> Column:
 
 
 def quantised(vectors: DataFrame, scale: float = 256.0) -> DataFrame:
-    """vec_id and ``q``, floor(scale * x) of every component, without vectors that take no part."""
+    """vec_id and ``q``, floor(scale * x) of every component as a double that holds a whole number, without
+    vectors that take no part. ``reach`` is the largest absolute component."""
     whole = vectors.where(usable("embedding") & F.col("vec_id").isNotNull())
-    q = F.transform("embedding", lambda x: F.floor(x.cast("double") * F.lit(scale)).cast("long"))
-    small = F.forall("embedding", lambda x: F.abs(x.cast("double") * F.lit(scale)) < F.lit(float(MOST)))
-    return whole.where(small).select(F.col("vec_id").cast("long").alias("vec_id"), q.alias("q"))
+
+    def floored(x: Column) -> Column:
+        y = x.cast("double") * F.lit(scale)
+        # From 2 ** 52 on a double is whole; what the scale would carry beyond its range is at its end.
+        clipped = F.greatest(F.least(y, F.lit(sys.float_info.max)), F.lit(-sys.float_info.max))
+        return F.when(F.abs(y) < F.lit(float(1 << 52)), F.floor(y).cast("double")).otherwise(clipped)
+
+    rows = whole.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", floored).alias("q"))
+    return rows.withColumn("reach", F.coalesce(F.array_max(F.transform("q", F.abs)), F.lit(0.0)))
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -44,13 +54,13 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return out
 
 
-def _chunks(rows: DataFrame, width: int) -> DataFrame:
-    """Candidates packed: ids (int64) and components (int32) of up to CHUNK vectors in one row."""
+def _chunks(rows: DataFrame, width: int, kind: str = "<i4") -> DataFrame:
+    """Candidates packed: ids (int64) and components of ``kind`` of up to CHUNK vectors in one row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            matrix = _matrix(batch.column(1), width).astype("<i4")
+            matrix = _matrix(batch.column(1), width).astype(kind)
             parts = range(0, len(ids), CHUNK)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -60,15 +70,15 @@ def _chunks(rows: DataFrame, width: int) -> DataFrame:
                 names=["ids", "parts"],
             )
 
-    return rows.mapInArrow(run, "ids binary, parts binary")
+    return rows.select("vec_id", "q").mapInArrow(run, "ids binary, parts binary")
 
 
-def _blocks(queries: DataFrame, blocks: int, width: int) -> DataFrame:
+def _blocks(queries: DataFrame, blocks: int, width: int, kind: str = "<i4") -> DataFrame:
     """Queries packed by block: ids, components and cutoffs."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        matrix = _matrix(table.column("q").chunk(0), width).astype("<i4")
+        matrix = _matrix(table.column("q").chunk(0), width).astype(kind)
         return pa.table(
             {
                 "block": table.column("block").slice(0, 1),
@@ -104,9 +114,62 @@ def _paired(chunks: DataFrame, blocks: DataFrame, count: int, width: int, slices
                     [pa.array(theirs[query]), pa.array(own[row]), pa.array(score.astype(np.int64))], names=["query_id", "vec_id", "score"]
                 )
 
+    return _met(chunks, blocks, count).mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
+
+
+def _met(chunks: DataFrame, blocks: DataFrame, count: int) -> DataFrame:
     spread = chunks.select("*", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("block"))
-    joined = spread.join(blocks, "block").select("ids", "parts", "q_ids", "q_parts", "q_cuts")
-    return joined.mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
+    return spread.join(blocks, "block").select("ids", "parts", "q_ids", "q_parts", "q_cuts")
+
+
+def _limbs(matrix: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Whole numbers as sums of limbs below 2 ** bits times powers of it, each exact in a double."""
+    sign, rest, out = np.sign(matrix), np.abs(matrix), []
+    while rest.any():
+        low = np.fmod(rest, float(1 << bits))
+        out.append(sign * low)
+        rest = (rest - low) / float(1 << bits)
+    return out
+
+
+def exact_products(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Inner products of rows of whole doubles of any size as longs; beyond their range, the nearest end.
+
+    Products of limbs are exact in double precision; they are added as longs where the sums fit, else
+    as Python's integers.
+    """
+    width = max(1, left.shape[1])
+    bits = (52 - width.bit_length()) // 2
+    reach = float(np.abs(left).max(initial=0)) * float(np.abs(right).max(initial=0)) * width
+    small = reach < 2.0**62
+    total = np.zeros((len(left), len(right)), np.int64 if small else object)
+    theirs = _limbs(right, bits)
+    for i, a in enumerate(_limbs(left, bits)):
+        for j, b in enumerate(theirs):
+            part = (a @ b.T).astype(np.int64)
+            total += part << (bits * (i + j)) if small else part.astype(object) * (1 << bits * (i + j))
+    return total if small else np.clip(total, -(1 << 63), (1 << 63) - 1).astype(np.int64)
+
+
+def _paired_exactly(chunks: DataFrame, blocks: DataFrame, count: int, width: int, k: int) -> DataFrame:
+    """Each chunk's ``k`` best of every query by exact products; chunks and blocks hold doubles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, parts, q_ids, q_parts, _ in zip(*(c for c in batch.columns)):
+                own = np.frombuffer(ids.as_py(), "<i8")
+                theirs = np.frombuffer(q_ids.as_py(), "<i8")
+                score = exact_products(np.frombuffer(parts.as_py(), "<f8").reshape(len(own), width), np.frombuffer(q_parts.as_py(), "<f8").reshape(len(theirs), width))
+                rows, columns = [], []
+                for column in range(len(theirs)):
+                    order = np.lexsort((own, ~score[:, column]))
+                    order = order[own[order] != theirs[column]][:k]
+                    rows.append(order)
+                    columns.append(np.full(len(order), column))
+                row, query = np.concatenate(rows), np.concatenate(columns)
+                yield pa.RecordBatch.from_arrays([pa.array(theirs[query]), pa.array(own[row]), pa.array(score[row, query])], names=["query_id", "vec_id", "score"])
+
+    return _met(chunks, blocks, count).mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -133,18 +196,39 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.
     go. Phase three: what remains is scored exactly, and a chunk hands on its k best that reach the
     cutoff. So no chunk gives more than k rows a query and phase, however many vectors are alike.
 
+    Vectors whose products could leave the exact range of double precision are scored apart, by exact
+    integer arithmetic: all queries against such candidates, and such queries against all others.
+
     Ties go to the smaller vec_id. A row with the query's own vec_id is no candidate. A query id that is
     there several times is asked once, with the smallest of its vectors; repeated candidates each count.
-    Vectors that are null or hold null or non-finite components, or components of 2 ** 26 and more after
-    scaling, take no part, nor do rows without vec_id; missing trailing components count as zero.
+    Vectors that are null or hold null or non-finite components take no part, nor do rows without vec_id;
+    missing trailing components count as zero. A score beyond the range of a long is its nearest end.
     """
     rows = quantised(vectors, scale)
-    asked = quantised(vectors.where(is_query), scale).groupBy("vec_id").agg(F.min("q").alias("q"))
-    width, _ = rows.agg(F.max(F.size("q")), F.count(F.lit(1))).first()
+    asked = quantised(vectors.where(is_query), scale).groupBy("vec_id").agg(F.min(F.struct("q", "reach")).alias("best"))
+    asked = asked.select("vec_id", "best.q", "best.reach")
+    width, reach = rows.agg(F.max(F.size("q")), F.max("reach")).first()
     empty = "query_id bigint, rank int, vec_id bigint, score bigint"
     if not width:
         return vectors.sparkSession.createDataFrame([], empty)
     asked = durable(asked)
+    bound = min(float(1 << 31) - 1, (EXACT / width) ** 0.5)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    if reach < bound:
+        found = _three_phases(rows, asked, width, k, slices, order)
+    else:
+        near, far = F.col("reach") < bound, F.col("reach") >= bound
+        found = _three_phases(rows.where(near), asked.where(near), width, k, slices, order)
+        for candidates, queries in ((rows.where(far), asked), (rows.where(near), asked.where(far))):
+            blocks = max(1, -(-queries.count() // EXACT_BLOCK))
+            packed = _blocks(queries.withColumn("cut", F.lit(0.0)), blocks, width, "<f8")
+            found = found.unionByName(_paired_exactly(_chunks(candidates, width, "<f8"), packed, blocks, width, k))
+    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def _three_phases(rows: DataFrame, asked: DataFrame, width: int, k: int, slices: int, order: WindowSpec) -> DataFrame:
+    """query_id, vec_id, score: every chunk's entries that can be among the ``k`` best of a query."""
     blocks = max(1, -(-asked.count() // BLOCK))
     chunks = durable(_chunks(rows, width))
 
@@ -157,7 +241,6 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.
         return row, query, total[row, query]
 
     first = _paired(chunks, _blocks(asked.withColumn("cut", F.lit(0.0)), blocks, width), blocks, width, slices, gather)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     cutoffs = first.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).where(F.col("place") == k)
     cutoffs = durable(cutoffs.select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("cut")))
     limited = asked.join(cutoffs, "vec_id", "left").select("vec_id", "q", F.coalesce("cut", F.lit(float("-inf"))).alias("cut"))
@@ -173,6 +256,4 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.
         row, query = np.nonzero(_best(total, own, k))
         return row, query, total[row, query]
 
-    found = _paired(chunks, _blocks(limited, blocks, width), blocks, width, slices, resolve)
-    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return _paired(chunks, _blocks(limited, blocks, width), blocks, width, slices, resolve)
