@@ -16,7 +16,8 @@ _MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^
 _HINT = re.compile(r"""(?:class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 
 # Element names of HTML by their part in a page, and words that name a part in a class or id.
-_UNSEEN = {"script", "style", "title", "noscript", "template", "textarea", "svg", "iframe", "select", "option", "button", "object", "math"}
+_RAW = {"script", "style", "title", "textarea", "noscript", "iframe"}
+_UNSEEN = _RAW | {"template", "svg", "select", "option", "button", "object"}
 _INLINE = {
     "a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "s", "samp",
     "small", "span", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr",
@@ -30,6 +31,15 @@ _WORDS = {
     "widget", "form", "search", "login", "pagination", "pager", "toolbar", "copyright", "legal", "disclaimer", "complementary", "contentinfo", "tags", "trending",
 }
 
+#: Words that say that the named part is left out, and words for the place or kind of a box: a class that ends
+#: in one of these is named by its first word, any other by its last (tags-page is a page, page-tags are tags).
+_WITHOUT = {"has", "no", "not", "with", "without", "is", "hide", "hidden"}
+_BOXES = {
+    "area", "bar", "block", "bottom", "box", "buttons", "cell", "col", "column", "container", "content", "group", "holder", "inner", "item", "items", "left", "link", "links", "list",
+    "main", "outer", "panel", "posts", "right", "row", "section", "site", "slot", "text", "top", "unit", "wrap", "wrapper", "zone",
+}
+_COMMENTS = {"comment", "comments", "reply", "replies", "disqus", "respond"}
+
 
 @dataclass
 class Block:
@@ -39,6 +49,7 @@ class Block:
     inside: bool = False
     side: bool = False
     heading: bool = False
+    parts: tuple[int, ...] = ()
 
 
 @dataclass
@@ -46,6 +57,7 @@ class _Open:
     name: str
     inside: bool
     side: bool
+    parts: tuple[int, ...] = ()
 
 
 @dataclass
@@ -53,6 +65,9 @@ class _Reader:
     blocks: list[Block] = field(default_factory=list)
     parts: list[tuple[str, bool]] = field(default_factory=list)
     stack: list[_Open] = field(default_factory=list)
+    #: Of every container with a side part's name: whether it is named for comments; which hold an article.
+    named: list[bool] = field(default_factory=list)
+    wraps: set[int] = field(default_factory=set)
     link: int = 0
 
     def close_block(self) -> None:
@@ -63,19 +78,45 @@ class _Reader:
             linked = sum(len(p.split()) for p, in_link in self.parts if in_link)
             top = self.stack[-1] if self.stack else _Open("", False, False)
             heading = any(o.name in ("h1", "h2", "h3", "h4", "h5", "h6") for o in self.stack[-2:])
-            self.blocks.append(Block(text, linked, max(1, len(text.split())), top.inside, top.side, heading))
+            self.blocks.append(Block(text, linked, max(1, len(text.split())), top.inside, top.side, heading, top.parts))
         self.parts = []
 
 
-def _named_side(attributes: str) -> bool:
-    return any(w in _WORDS for m in _HINT.findall(attributes) for w in re.split(r"[^a-z]+", m.lower()))
+def _side_words(attributes: str) -> set[str]:
+    """The words by which class, id, role or label name a side part."""
+    found = set()
+    for value in _HINT.findall(attributes):
+        for name in value.strip("\"'").split():
+            words = [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower()) if w]
+            if not words or _WITHOUT.intersection(words):
+                continue
+            head = words[-1] if words[-1] not in _BOXES else words[0]
+            if head in _WORDS:
+                found.add(head)
+    return found
+
+
+def _closing(html: str, name: str, at: int) -> int:
+    """Where the unseen element that begins before ``at`` ends. A raw text element without end tag hides the rest
+    of the page, as in browsers; of another, or one that the next of its kind follows first, just the tag is unseen."""
+    for m in re.compile(rf"<(/?){re.escape(name)}\b[^>]*(?:>|\Z)", re.I).finditer(html, at):
+        if m[1]:
+            return m.end()
+        if name not in _RAW:
+            return at
+    return len(html) if name in _RAW else at
+
+
+_LINK_TAG = re.compile(r"<(/?)a\b", re.I)
 
 
 def text_blocks(html: str) -> list[Block]:
     """The page's blocks in order: text between block-level tags, with white space made single.
 
-    Comments, scripts, styles and other unseen elements give none; an unseen element that is never
-    closed hides the rest. A tag that is cut off by the end of the page is dropped.
+    Comments, scripts, styles and other unseen elements give none. A link goes on over blocks until its
+    end tag; one without ends with its block. A container named as a side part by its class or id is a
+    wrapper and not a side part where it holds an article or main element, or more than half of the
+    page's words and is not named for comments. A tag that is cut off by the end of the page is dropped.
     """
     out, at = _Reader(), 0
     while at < len(html):
@@ -91,15 +132,16 @@ def text_blocks(html: str) -> list[Block]:
         name, closing = m[2].lower(), bool(m[1])
         if name in _UNSEEN:
             if not closing and not m[3].endswith("/"):
-                shut = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(html, at)
-                at = shut.end() if shut else len(html)
+                at = _closing(html, name, at)
             continue
         if name in _INLINE:
             if name == "a":
-                out.link = 0 if closing else 1
+                # 2: the end tag comes before the next link, so the link reaches over blocks.
+                after = None if closing else _LINK_TAG.search(html, at)
+                out.link = 0 if closing else 2 if after and after[1] else 1
             continue
         out.close_block()
-        out.link = 0
+        out.link = out.link if out.link == 2 else 0
         if name not in _NESTED:
             continue
         if closing:
@@ -110,12 +152,33 @@ def text_blocks(html: str) -> list[Block]:
         else:
             top = out.stack[-1] if out.stack else _Open("", False, False)
             own = name in ("article", "main")
-            marked = name in _SIDE or (name == "header" and not top.inside) or (not own and name != "body" and bool(m[3]) and _named_side(m[3]))
-            out.stack.append(_Open(name, top.inside or own, top.side or marked))
+            if own:
+                for k in top.parts:
+                    out.wraps.add(k)
+            marked = name in ("nav", "footer", "aside") or (name == "header" and not top.inside)
+            parts = top.parts
+            words = _side_words(m[3]) if m[3] and not own and not marked and name != "body" else set()
+            if words or (name in _SIDE and not marked):
+                parts = (*parts, len(out.named))
+                out.named.append(bool(words & _COMMENTS))
+            out.stack.append(_Open(name, top.inside or own, top.side or marked, parts))
     out.close_block()
+    _settle(out)
     return out.blocks
 
 
+def _settle(out: _Reader) -> None:
+    """Marks the blocks in named containers that are side parts."""
+    held = [0] * len(out.named)
+    for block in out.blocks:
+        for k in block.parts:
+            held[k] += block.words
+    total = sum(b.words for b in out.blocks)
+    side = [k not in out.wraps and (comments or 2 * held[k] <= total) for k, comments in enumerate(out.named)]
+    for block in out.blocks:
+        block.side = block.side or any(side[k] for k in block.parts)
+
+
 #: What the tree sees of a block.
 COLUMNS = ("words", "links", "words_before", "links_before", "words_after", "links_after", "inside", "side", "heading", "article_on_page")
 
@@ -150,6 +213,9 @@ LABELLED = [
     [(0, 0, 0, 3, 3, 0), (1, 0, 0, 4, 0, 1), (1, 0, 0, 6, 5, 1), (0, 0, 0, 5, 5, 0), (0, 0, 0, 8, 0, 0)],
     [(0, 0, 0, 60, 0, 1)],
     [(0, 0, 0, 3, 3, 0), (0, 0, 0, 90, 1, 1), (0, 0, 0, 70, 1, 1)],
+    # teasers that are links as a whole, behind the text
+    [(0, 1, 0, 2, 2, 0), (0, 0, 1, 2, 0, 1), (0, 0, 0, 60, 0, 1), (0, 0, 0, 40, 0, 1), (0, 0, 1, 3, 3, 0), (0, 0, 0, 8, 8, 0), (0, 0, 0, 6, 6, 0)],
+    [(0, 0, 1, 4, 0, 1), (0, 0, 0, 35, 1, 1), (0, 0, 0, 25, 0, 1), (0, 0, 0, 12, 12, 0), (0, 0, 0, 30, 30, 0), (0, 0, 0, 9, 9, 0), (0, 1, 0, 4, 2, 0)],
     # no article element: long text without links is main, as is a short block between such
     [(0, 1, 0, 2, 2, 0), (0, 0, 0, 3, 3, 0), (0, 0, 1, 7, 0, 1), (0, 0, 0, 80, 2, 1), (0, 0, 0, 6, 0, 1), (0, 0, 0, 70, 0, 1), (0, 1, 0, 60, 0, 0), (0, 0, 0, 4, 4, 0)],
     [(0, 0, 0, 1, 1, 0), (0, 0, 0, 2, 2, 0), (0, 0, 0, 12, 11, 0), (0, 0, 1, 5, 0, 1), (0, 0, 0, 45, 0, 1), (0, 0, 0, 22, 1, 1), (0, 1, 0, 35, 0, 0), (0, 0, 0, 5, 2, 0)],
