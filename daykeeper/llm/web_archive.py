@@ -25,6 +25,9 @@ REVISIT_BYTES = 100
 ARCHIVE_BYTES = 256 << 20
 BLOCK_LINES = 1_000
 FILE_LINES = 8_000
+#: Index files at most: their first keys (each a key and a name) are sent to every executor. With more captures
+#: than this many files of FILE_LINES hold, the files grow, and the directories in them.
+MOST_FILES = 50_000
 
 _CONTROL = re.compile(r"[\x00-\x20\x7f]")
 
@@ -37,6 +40,11 @@ def capture_key(url: str | None, page_id) -> str:
     return f"{clean} {page_id}"
 
 
+def _page_name(page_id) -> str:
+    """A page's name in records; a null page_id has one that no text can have."""
+    return "<urn:page>" if page_id is None else f"<urn:page:{page_id}>"
+
+
 def write_record(page_id, url: str | None, payload: bytes, digest: str, refers_to, date: str) -> bytes:
     """One gzip member. A revisit holds the HTTP head alone, whose Content-Length is the full payload's."""
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
@@ -45,13 +53,13 @@ def write_record(page_id, url: str | None, payload: bytes, digest: str, refers_t
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: <urn:page:{page_id}>",
+        f"WARC-Record-ID: {_page_name(page_id)}",
         f"WARC-Date: {date}",
         f"WARC-Target-URI: {_CONTROL.sub(lambda m: f'%{ord(m[0]):02X}', url or '')}",
         f"WARC-Payload-Digest: sha256:{digest}",
     ]
     if revisit:
-        lines += [f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        lines += [f"WARC-Refers-To: {_page_name(refers_to)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return gzip.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n", 6, mtime=0)
 
@@ -68,7 +76,7 @@ def read_record(raw: bytes) -> dict:
     kind = named["WARC-Type"]
     if kind == "response" and (len(payload) != size or hashlib.sha256(payload).hexdigest() != digest):
         raise ValueError(f"damaged record {named['WARC-Record-ID']}")
-    page = lambda name: named[name].removeprefix("<urn:page:").removesuffix(">") if name in named else None
+    page = lambda name: named[name][len("<urn:page:") : -1] if named.get(name, "<urn:page>") != "<urn:page>" else None
     return {"page": page("WARC-Record-ID"), "record_type": kind, "payload_bytes": size, "payload_digest": digest, "refers_to": page("WARC-Refers-To")}
 
 
@@ -84,7 +92,7 @@ def _marked(pages: DataFrame, revisit_bytes: int) -> DataFrame:
     groups = large.groupBy("payload_digest").agg(F.min("page_id").alias("first_page"), F.count(F.lit(1)).alias("n")).where("n > 1")
     groups = durable(groups.select(F.col("payload_digest").alias("digest"), "first_page"))
     joined = rows.join(groups, rows.payload_digest == groups.digest, "left")
-    return joined.withColumn("refers_to", F.when(F.col("page_id") != F.col("first_page"), F.col("first_page")))
+    return joined.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("first_page")), F.col("first_page")))
 
 
 def write_archives(pages: DataFrame, folder: str, revisit_bytes: int = REVISIT_BYTES, date: str = "1970-01-01T00:00:00Z", archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
@@ -127,6 +135,10 @@ def write_archives(pages: DataFrame, folder: str, revisit_bytes: int = REVISIT_B
     return durable(chosen.mapInArrow(run, "key string, file string, offset bigint, length bigint"))
 
 
+def index_files(captures: int, file_lines: int = FILE_LINES, most: int = MOST_FILES) -> int:
+    return max(1, min(most, -(-captures // file_lines)))
+
+
 def write_index(captures: DataFrame, folder: str, file_lines: int = FILE_LINES, block_lines: int = BLOCK_LINES) -> DataFrame:
     """Sorted index files of compressed blocks, each with a directory of the first key of every block.
 
@@ -134,7 +146,7 @@ def write_index(captures: DataFrame, folder: str, file_lines: int = FILE_LINES,
     page, so a range partitioning splits even the pages of a single url.
     """
     base = arrow_uri(folder).rstrip("/")
-    parts = max(1, -(-captures.count() // file_lines))
+    parts = index_files(captures.count(), file_lines)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.fs as pafs
@@ -172,21 +184,15 @@ def write_index(captures: DataFrame, folder: str, file_lines: int = FILE_LINES,
     return durable(ordered.mapInArrow(run, "first_key string, index_file string, directory_at bigint, directory_length bigint"))
 
 
-#: Index files whose first keys are sent to every executor (each a key and a name); one for 8,000 captures.
-MOST_FILES = 100_000
-
-
 def look_up(index: DataFrame, lookups: DataFrame, folder: str) -> DataFrame:
     """file, offset, length of every capture of the ``key``s in ``lookups``.
 
-    The first keys of the index files are the top level (checked against MOST_FILES); a task finds the
+    The first keys of the index files are the top level (``write_index`` makes at most MOST_FILES); a task finds the
     file by binary search, reads its directory, finds the block by binary search and reads that range.
     ``lookups`` are sorted, so that each block is read once per task.
     """
     base = arrow_uri(folder).rstrip("/")
-    top = sorted(tuple(r) for r in index.limit(MOST_FILES + 1).collect())
-    if len(top) > MOST_FILES:
-        raise ValueError("write larger index files (file_lines)")
+    top = sorted(tuple(r) for r in index.collect())
     shared = lookups.sparkSession.sparkContext.broadcast(top)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,8 +277,7 @@ def read_archives(places: DataFrame, folder: str, page_type: str) -> DataFrame:
         [("page", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.string())]
     )
     raw = places.select("file", "offset", "length").mapInArrow(run, "page string, record_type string, payload_bytes bigint, payload_digest string, refers_to string")
-    page = F.when(F.col("page") != "None", F.col("page")).cast(page_type)
-    return raw.select(page.alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(page_type).alias("refers_to"))
+    return raw.select(F.col("page").cast(page_type).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(page_type).alias("refers_to"))
 
 
 def archive_round_trip(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES, file_lines: int = FILE_LINES) -> DataFrame:
@@ -287,9 +292,10 @@ def archive_round_trip(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES, fil
     records, index = scratch_path(spark, "warc"), scratch_path(spark, "cdx")
     captures = write_archives(pages, records, revisit_bytes)
     directory = write_index(captures, index, file_lines)
-    parts = max(1, -(-captures.count() // file_lines))
+    rows = captures.count()
+    parts = index_files(rows, file_lines)
     keys = captures.select("key").distinct()
     keys = keys.repartitionByRange(parts, "key").sortWithinPartitions("key")
     places = durable(look_up(directory, keys, index))
-    ordered = places.repartitionByRange(parts, "file", "offset").sortWithinPartitions("file", "offset")
+    ordered = places.repartitionByRange(max(1, -(-rows // file_lines)), "file", "offset").sortWithinPartitions("file", "offset")
     return read_archives(ordered, records, dict(pages.dtypes)["page_id"])
