@@ -71,6 +71,14 @@ def _arrow_schema(schema: str) -> list[pa.DataType]:
     return [f.type for f in to_arrow_schema(StructType.fromDDL(schema))]
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` is called so (upper or lower case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def crc_of(value) -> int:
     return zlib.crc32(str(value).encode())
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected, stored
+from .common import connected, free_name, stored
 
 #: Words in an n-gram and the similarity in percent.
 WORDS, PERCENT = 5, 80
@@ -68,7 +68,7 @@ def ngram_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray]:
     h = np.fromiter(map(xxh64_intdigest, flat), np.uint64, len(flat))
     rolled = np.zeros(max(0, len(h) - words + 1), np.uint64)
     for k in range(words):
-        rolled = rolled * _P + h[k : len(h) - words + 1 + k]
+        rolled = rolled * _P + h[k : k + len(rolled)]
     rolled = _mix(rolled)
     out, at = [], 0
     for ws in cut:
@@ -304,6 +304,23 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
     return out.unionByName(unkeyed)
 
 
+def keep_first(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """``docs`` without near-duplicates: of every component the row with the smallest doc_id.
+
+    Rows without doc_id stay; of rows that repeat a doc_id and its text, one stays. All columns are kept,
+    whatever their names. Empty table: no rows.
+    """
+    key, copies, sign = (free_name(docs, n) for n in ("kept_id", "copies", "text_sign"))
+    classes = components(docs, words, percent)
+    kept = classes.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias(copies))
+    kept = kept.select(F.col("doc_id").alias(key), copies)
+    joined = docs.join(kept, F.col("doc_id").cast("long") == F.col(key))
+    alone = joined.where(F.col(copies) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
+    repeated = joined.where(F.col(copies) > 1).withColumn(sign, F.sha2(F.coalesce("text", F.lit("")), 256))
+    repeated = repeated.dropDuplicates(["doc_id", sign]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return alone.unionByName(repeated).unionByName(docs.where("doc_id is null"))
+
+
 def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The columns of ``components`` and n_links: with how many other rows the row links.
 

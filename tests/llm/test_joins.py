@@ -1,8 +1,11 @@
 """Joins, search, packing, archives and the pipeline against brute force on small tables."""
 
+import hashlib
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -183,7 +186,7 @@ def test_search_equals_brute_force(spark, monkeypatch, chunk):
     rng = np.random.default_rng(2)
     v = np.concatenate([rng.normal(size=(150, 8)), np.repeat(rng.normal(size=(1, 8)), 80, axis=0), np.zeros((5, 8))]).astype(np.float32)
     rows = [(k, [float(x) for x in row], "c") for k, row in enumerate(v)]
-    odd = [(1000, None, "c"), (1001, [float("nan")] * 8, "c"), (1050, [None] * 8, "c"), (None, [1.0] * 8, "c"), (1052, [float(1 << 30)] * 8, "c")]
+    odd = [(1000, None, "c"), (1001, [float("nan")] * 8, "c"), (1050, [None] * 8, "c"), (None, [1.0] * 8, "c")]
     table = spark.createDataFrame(rows + odd, "vec_id BIGINT, embedding ARRAY<FLOAT>, score STRING")
     q = np.floor(256 * v.astype(float)).astype(int)
     want = set()
@@ -197,6 +200,23 @@ def test_search_equals_brute_force(spark, monkeypatch, chunk):
     assert top_k.search(few, F.col("vec_id") == 0).count() == 2
 
 
+def test_search_scores_vectors_of_any_size(spark):
+    rng = np.random.default_rng(5)
+    sizes = [1.0, 300_000.0, 1e9, 1e4]
+    rows = [(k, [float(x) for x in (rng.normal(size=6) * sizes[k % 4]).astype(np.float32)]) for k in range(120)]
+    rows += [(200, [3e38] * 6), (210, [-3e38] * 6), (220, [float(1 << 24)]), (230, [])]
+    probe = [(0, [300_000.0, 0.0]), (1, [1.0, 0.0]), (2, [2.0, 0.0]), (50, [5.0, 0.0])]
+    for table, step in ((rows, 10), (probe, 50), (rows[1:120:4] + rows[120:], 1)):
+        whole = {k: [math.floor(256 * Fraction(x)) for x in v] + [0] * (6 - len(v)) for k, v in table}
+        want = []
+        for k in whole:
+            if k % step == 0:
+                scored = [(-max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(whole[k], whole[j])))), j) for j in whole if j != k]
+                want += [(k, place + 1, j, -score) for place, (score, j) in enumerate(sorted(scored)[:5])]
+        frame = spark.createDataFrame(table, "vec_id BIGINT, embedding ARRAY<FLOAT>")
+        assert sorted(map(tuple, top_k.search(frame, F.col("vec_id") % step == 0).collect())) == sorted(want)
+
+
 def check_packed(rows, capacity):
     by = defaultdict(list)
     for r in rows:
@@ -268,7 +288,6 @@ def test_bounds_never_exceed_the_optimum():
 
 
 def test_archive_round_trip(spark):
-    import hashlib
 
     long, other = "<p>" + "x" * 200, "é" * 60
     rows = [(5, "http://b.org/1", long), (3, "http://a.org/1", long), (9, None, long), (7, "http://a.org/2", other), (8, "x\ny://h/\r\n", other), (1, "u", "short"), (2, "u", "short"), (4, "u", None), (6, "u", ""), (3, "http://a.org/1", long)]
@@ -284,6 +303,28 @@ def test_archive_round_trip(spark):
     assert web_archive.archive_round_trip(pages.limit(0)).count() == 0
 
 
+def test_sets_of_few_words_in_all():
+    for count in range(12):
+        for words in range(1, 7):
+            sets = ngram_join.ngram_sets([" ".join(f"w{k}" for k in range(count)), None, ""], words)
+            assert [len(s) for s in sets] == [max(1, count - words + 1) if count else 0, 0, 0]
+
+
+def test_archives_of_pages_without_id(spark, monkeypatch):
+    long, other = "p" * 200, "q" * 200
+    rows = [(None, "u", long), (4, "v", long), (None, "w", other), (None, "w", other), (None, None, "x")]
+    got = sorted((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in web_archive.archive_round_trip(spark.createDataFrame(rows, "page_id BIGINT, url STRING, html STRING")).collect() if r["page_id"])
+    assert got == [(4, 200, "response", None)]
+    by_size = [(r["payload_bytes"], r["record_type"], r["refers_to"]) for r in web_archive.archive_round_trip(spark.createDataFrame(rows, "page_id BIGINT, url STRING, html STRING")).collect() if r["page_id"] is None]
+    assert sorted(by_size, key=str) == sorted([(200, "revisit", 4), (200, "response", None), (200, "response", None), (1, "response", None)], key=str)
+    named = spark.createDataFrame([("None", "u", long), (None, "u", other), ("a>b", "u", other)], "page_id STRING, url STRING, html STRING")
+    assert sorted(((r["page_id"], r["record_type"]) for r in web_archive.archive_round_trip(named).collect()), key=str) == [("None", "response"), ("a>b", "response"), (None, "revisit")]
+
+
+def test_index_files_are_bounded_without_an_end():
+    assert [web_archive.index_files(n) for n in (0, 1, 8_000, 8_001, 10**12)] == [1, 1, 1, 2, web_archive.MOST_FILES]
+
+
 def test_damaged_records_are_noticed():
     raw = web_archive.write_record(1, "u", b"payload", "0" * 64, None, "1970-01-01T00:00:00Z")
     with pytest.raises(ValueError):

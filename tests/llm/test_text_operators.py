@@ -99,6 +99,44 @@ def test_the_field_adds_spans_and_keeps_base_ones():
     assert personal_data.mask("a@b.c d", [(0, 5, "email")]) == "<email> d"
 
 
+def test_spans_do_not_depend_on_windows():
+    weights = personal_data.trained()
+    rng = random.Random(12)
+    made = [t for t, _ in personal_data.examples(150, seed=77)]
+    texts = [(" ".join(rng.choices(["word", "a", "x-y", "nine", "\n"], k=rng.randrange(60)))).join(rng.sample(made, 6)) for _ in range(60)]
+    texts += ["5 " + "w" * k + " word" * 8 + " jane.doe [at] mail3 [dot] org" for k in range(12)] + ["1 " * 300, "n" * 60 + ".b [at] mail3 [dot] org", "7" * 700 + " " + "z" * 900 + " 8"]
+    for text in texts:
+        tokens, segments = personal_data.candidates(text)
+        read = [t for w in personal_data.windows(text) for t in w]
+        assert read == sorted(set(read)) and set(read) <= set(tokens)
+        whole = [(tokens[a][0], tokens[b - 1][1], k) for a, b, k in personal_data.decode(len(tokens), segments, weights)]
+        base = personal_data.base_spans(text)
+        added = [s for s in whole if not any(s[0] < y and x < s[1] for x, y, _ in base)]
+        assert sorted(base + added) == sorted(personal_data.all_spans(text, weights)[1])
+    for k in range(12):
+        text = texts[60 + k]
+        assert [text[s:e] for s, e, kind in personal_data.all_spans(text, weights)[1] if kind == "email"] == ["jane.doe [at] mail3 [dot] org"]
+    assert personal_data.mask(texts[73], personal_data.all_spans(texts[73], weights)[1]) == "<email>"
+
+
+def test_decoding_equals_enumeration():
+    rng = random.Random(3)
+    for _ in range(300):
+        n = rng.randrange(1, 9)
+        spans = sorted({(a, rng.randrange(a + 1, n + 1)) for a in (rng.randrange(n) for _ in range(8))})
+        segments = [(a, b, "email", [f"{a},{b}"]) for a, b in spans]
+        weights = {s[3][0]: rng.choice([-1.0, 0.5, 1.0, 2.0, 3.5]) for s in segments}
+
+        def best(at):
+            if at == n:
+                return 0.0
+            return max([best(at + 1)] + [weights[s[3][0]] + best(s[1]) for s in segments if s[0] == at])  # noqa: B023
+
+        got = personal_data.decode(n, segments, weights)
+        assert sum(weights[f"{a},{b}"] for a, b, _ in got) == best(0)
+        assert all(x[1] <= y[0] for x, y in zip(got, got[1:]))
+
+
 def test_segment_scores_sum_to_one_over_all_segmentations():
     tokens, segments = personal_data.candidates("call 212-555-0199 or 10.0.0.1 x")
     weights = personal_data.trained()
@@ -197,6 +235,19 @@ def test_main_text_of_other_pages(spark):
     assert main_text.main_text(page) == "Title here " + "word " * 40 + "x < y z " + ("more " * 30).strip()
     assert main_text.main_text("<article>a<b>b</b> c<!-- no --><p>d</article") == "ab c d"
     assert main_text.main_text("<article><p>one</p><div class='ad'>buy</div><p>two") == "one two"
+    body = "<h2>Head line</h2><p>" + "word " * 60 + "</p><p>" + "more " * 40 + "</p>"
+    want = "Head line " + "word " * 60 + ("more " * 40).strip()
+    for name in ("class='content has-sidebar'", "id='page' class='no-comments'", "class=header-image", "class='social-studies'", "id=tags-page", "class='form'", "id='search-results menu'"):
+        assert main_text.main_text(f"<body><nav><a>a</a></nav><div {name}>{body}</div><footer>f</footer>") == want, name
+        assert main_text.main_text(f"<body><div class='sidebar'><article>{body}</article></div>") == want
+    for name in ("class='ad-slot'", "id=commentsList", "class='site-footer'", "class='main-menu'", "class='cookie-notice box'", "class='related-posts'"):
+        page = f"<nav><a>a</a></nav><div id=content>{body}</div><div {name}><p>" + "other words here " * 8 + "</p></div>"
+        assert main_text.main_text(page) == want, name
+    assert main_text.main_text(f"<div id=content>{body}</div><div class=comments><p>" + "I like it " * 90 + "</p></div>") == want
+    assert main_text.main_text(f"<div id=c>{body}</div><a href=x><div><h3>Other story</h3><p>Read this one as well</p></div></a><a href=y><div><p>And also read this one</p></div></a>") == want
+    assert main_text.main_text("<article><button>Buy <p>one <math><mi>x</mi> = 2</math></p><option>two<p>three</article>") == "Buy one x = 2 two three"
+    assert main_text.main_text("<article><p>a</p><button>no</button><svg><text>no</text></svg><p>b <a href=x>c<p>d</article>") == "a b c d"
+    assert main_text.main_text("<article><p>a</p><script>b</article>") == "a"
     odd = spark.createDataFrame([(1, None, None, "t"), (2, "u", "", "t"), (3, "u", "<p", "t"), (3, "u", "<p", "t"), (None, "u", "<script>", "t")], "page_id BIGINT, url STRING, html STRING, text STRING")
     got = main_text.extract(odd).collect()
     assert len(got) == 5 and {(r["text"], r["n_chars"]) for r in got} == {("", 0)}
