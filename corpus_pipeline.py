@@ -25,14 +25,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Documents without doc_id stay; of rows that repeat a doc_id and its text, one stays.
     """
-    classes = ngram_join.components(docs)
-    kept = classes.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
-    kept = kept.select(F.col("doc_id").alias("kept_id"), "rows")
-    joined = docs.join(kept, docs.doc_id == kept.kept_id)
-    alone = joined.where("rows = 1").select(*docs.columns)
-    repeated = joined.where("rows > 1").withColumn("_text_key", F.sha2(F.coalesce("text", F.lit("")), 256))
-    repeated = repeated.dropDuplicates(["doc_id", "_text_key"]).select(*docs.columns)
-    return alone.unionByName(repeated).unionByName(docs.where("doc_id is null"))
+    return ngram_join.keep_first(docs)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,6 +35,8 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document's pieces of at most 4096 tokens with their sequence and offset; null and empty texts have the
+    end id alone. Further columns are not read. Repeated rows are packed each; an empty table gives no rows."""
     return packing.pack(packing.pieces_of(docs, public_tokenizers.path("word_bpe_49k.json")))
 
 
