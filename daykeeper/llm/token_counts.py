@@ -16,6 +16,10 @@ from .common import text_slices
 
 #: Characters of text in a batch, in a piece of a long text before the next safe boundary, and bytes read at a time.
 BATCH_CHARS, PIECE_CHARS, SLICE_BYTES = 250_000, 20_000, 1_000_000
+#: Parts whose lengths a Python worker keeps in each of two generations, and the longest that is kept (bytes).
+KEPT_PARTS, KEPT_BYTES = 250_000, 24
+#: Words that go to the library as one text.
+BLOCK_WORDS = 4_000
 
 #: One space between two characters that are not white space.
 _SINGLE = re.compile(r"(?<=\S) (?=\S)")
@@ -42,10 +46,54 @@ class JsonCounter:
         self.model.no_padding()
         with open(path, encoding="utf-8") as stream:
             settings = json.load(stream)
-        self.drop = 0
         self.cuts = _SINGLE if _parts_at_spaces(settings) else None
+        # A byte-level file keeps the space at the head of what follows; the other kind drops it.
+        byte_level = (settings.get("pre_tokenizer") or {}).get("type") == "ByteLevel"
+        self.head = " " if byte_level else ""
+        self.drops_space = bool(self.cuts) and not byte_level
+        steps = settings.get("normalizer") or {}
+        self.lowers = self.drops_space and any(s["type"] == "Lowercase" for s in steps.get("normalizers", [steps]))
+        suffix, vocabulary = settings["model"].get("end_of_word_suffix"), self.model.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool) if suffix else None
+        if suffix:
+            self.last[[k for token, k in vocabulary.items() if token.endswith(suffix)]] = True
+        self.names = [t["content"].encode().lower() for t in settings.get("added_tokens") or []]
+
+    def parts(self, text: str) -> list[bytes]:
+        """What stands between safe boundaries. Where white space is dropped, every run of its ASCII characters is
+        one; where letters are lowered, A-Z may be beforehand, but for the names of added tokens."""
+        if not self.drops_space:
+            return _split(text, self.cuts, self.head)
+        raw = text.encode()
+        lowered = raw.lower() if self.lowers else raw
+        return (raw if any(name in lowered for name in self.names) else lowered).split()
+
+    def stem(self, part: bytes) -> bytes | None:
+        """A part of which just a mark is taken off that is always a pre-token of its own after a letter."""
+        return part[:-1] if self.drops_space and part[-1:] in (b".", b",") and part[-2:-1].isalpha() else None
 
     def lengths(self, texts: list[str]) -> list[int]:
+        """Words of plain letters go to the library as one text a block, where the file marks a word's last token;
+        the number of marks shows whether each was one word. All else is a text of its own."""
+        if not self.drops_space or self.last is None:
+            return self._each(texts)
+        out = np.zeros(len(texts), np.int64)
+        plain = np.array([t.isalpha() and (t.isascii() or max(t) <= "\xff") for t in texts], bool)
+        words = np.flatnonzero(plain)
+        rest = [np.flatnonzero(~plain)]
+        for at in range(0, len(words), BLOCK_WORDS):
+            block = words[at : at + BLOCK_WORDS]
+            coded = self.model.encode_batch_fast([" ".join([texts[k] for k in block.tolist()])], add_special_tokens=False)[0]
+            ends = np.flatnonzero(self.last[np.array(coded.ids, np.int64)])
+            if len(ends) == len(block) and ends[-1] == len(coded) - 1:
+                out[block] = np.diff(ends, prepend=-1)
+            else:
+                rest.append(block)
+        others = np.concatenate(rest)
+        out[others] = self._each([texts[k] for k in others.tolist()])
+        return out.tolist()
+
+    def _each(self, texts: list[str]) -> list[int]:
         return [len(e) for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
 
@@ -89,33 +137,45 @@ class PieceCounter:
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.drop = 1
+        self.head = ""
         crossing = any("▁" in self.model.id_to_piece(k).lstrip("▁") for k in range(self.model.get_piece_size()))
         # A space is put before every text, spaces are kept as they are, and other characters too.
         kept = self.model.encode(" a") != self.model.encode("a") and self.model.normalize("\ufb01 \u2460").endswith("\ufb01▁\u2460")
         prefixed = self.model.encode("a b") == self.model.encode("a") + self.model.encode("b")
         self.cuts = _SINGLE_MARK if kept and prefixed and not crossing else None
 
+    def parts(self, text: str) -> list[bytes]:
+        return _split(text, self.cuts, self.head)
+
+    def stem(self, part: bytes) -> bytes | None:
+        return None
+
     def lengths(self, texts: list[str]) -> list[int]:
         return [len(ids) for ids in self.model.encode(texts, num_threads=1)]
 
 
+def _split(text: str, cuts: re.Pattern | None, head: str) -> list[bytes]:
+    first, *others = cuts.split(text) if cuts else [text]
+    return [first.encode(), *[(head + p).encode() for p in others]]
+
+
 def counter(path: str) -> JsonCounter | PieceCounter:
     return JsonCounter(path) if path.endswith(".json") else PieceCounter(path)
 
 
-def pieces(text: str, cuts: re.Pattern | None, drop: int, most: int = PIECE_CHARS) -> list[str]:
-    """The text cut at the first safe boundary at or after every ``most`` characters; whole where there is none."""
+def pieces(text: str, cuts: re.Pattern | None, head: str = "", most: int = PIECE_CHARS) -> list[str]:
+    """The text cut at the first safe boundary at or after every ``most`` characters; whole where there is none.
+    ``head`` takes the place of the space at the boundary."""
     if cuts is None or len(text) <= most:
         return [text]
-    out, at, step = [], 0, max(1, most)
-    while len(text) - at > step:
-        found = cuts.search(text, at + step)
+    out, at, start = [], 0, ""
+    while len(text) - at > most:
+        found = cuts.search(text, at + most)
         if not found:
             break
-        out.append(text[at : found.start()])
-        at = found.start() + drop
-    out.append(text[at:])
+        out.append(start + text[at : found.start()])
+        at, start = found.end(), head
+    out.append(start + text[at:])
     return out
 
 
@@ -134,16 +194,44 @@ def balanced(sizes: list[int], most: int = BATCH_CHARS) -> list[tuple[int, int]]
     return out
 
 
-def lengths_of(texts: list[str], coder, most: int = PIECE_CHARS, batch: int = BATCH_CHARS) -> list[int]:
-    """Tokens of each text: those of its pieces, encoded batch by batch, added up."""
+class Lengths:
+    """Lengths of parts, kept while they come again: what the last generation does not use goes with it."""
+
+    def __init__(self, coder, kept: int = KEPT_PARTS):
+        self.coder, self.kept = coder, kept
+        self.known: dict[bytes, int] = {}
+        self.last: dict[bytes, int] = {}
+
+    def of(self, texts: list[str], batch: int = BATCH_CHARS) -> list[int]:
+        """Tokens of each text: its parts between all safe boundaries, each different one encoded once a batch."""
+        parts = [self.coder.parts(t) for t in texts]
+        if len(self.known) > self.kept:
+            self.last, self.known = self.known, {}
+        known, last = self.known, self.last
+        new = set().union(*parts).difference(known)
+        known.update([(p, last[p]) for p in new & last.keys()])
+        new = list(new.difference(known))
+        stems = {p: stem for p in new if (stem := self.coder.stem(p))}
+        coded = list({stems.get(p, p) for p in new}.difference(known) | {p[-1:] for p in stems})
+        for first, end in balanced([len(p) for p in coded], batch):
+            known.update(zip(coded[first:end], self.coder.lengths([p.decode() for p in coded[first:end]])))
+        known.update([(p, known[stem] + known[p[-1:]]) for p, stem in stems.items()])
+        out = [sum(map(known.__getitem__, p)) for p in parts]
+        for part in [p for p in {*new, *coded} if len(p) > KEPT_BYTES]:
+            del known[part]
+        return out
+
+
+def lengths_of(texts: list[str], lengths: Lengths, most: int = PIECE_CHARS, batch: int = BATCH_CHARS) -> list[int]:
+    """Tokens of each text: those of its pieces, batch by batch, added up."""
     parts, owner = [], []
     for k, text in enumerate(texts):
-        cut = pieces(text, coder.cuts, coder.drop, most)
+        cut = pieces(text, lengths.coder.cuts, lengths.coder.head, most)
         parts += cut
         owner += [k] * len(cut)
     out = [0] * len(texts)
     for first, end in balanced([len(p) for p in parts], batch):
-        for k, n in zip(owner[first:end], coder.lengths(parts[first:end])):
+        for k, n in zip(owner[first:end], lengths.of(parts[first:end], batch)):
             out[k] += n
     return out
 
@@ -161,9 +249,9 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 2048, make:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = make(tokenizer_path)
+        lengths = Lengths(make(tokenizer_path))
         for batch in text_slices(batches, 1, SLICE_BYTES):
-            counts = np.array(lengths_of([t or "" for t in batch.column(1).to_pylist()], coder), np.int64)
+            counts = np.array(lengths_of([t or "" for t in batch.column(1).to_pylist()], lengths), np.int64)
             size = pc.fill_null(pc.binary_length(batch.column(1)), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), size, pa.array(counts), pa.array(counts > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"]

@@ -111,8 +111,11 @@ def test_counts_equal_the_library_with_cuts_everywhere(name):
     assert coder.cuts is not None
     rng = random.Random(6)
     texts = ["".join(rng.choices("ab Z  ▁'s1é\n\t日😀́ \x1c<|>Σ", k=rng.randrange(60))) for _ in range(3_000)]
-    texts += [f"{a}{s}{b}" for a in ("a", "don't", "1", "<|endoftext|>", "▁", "é") for s in (" ", "  ", "  ", " \n") for b in ("'s", "b", "́", "<|startoftext|>", "1")]
-    assert token_counts.lengths_of(texts, coder, most=0, batch=50) == library_counts(texts, path)
+    texts += [f"{a}{s}{b}" for a in ("a", "a.", "é,", "don't.", "<|ENDOFTEXT|>.", "1", "<|endoftext|>", "▁", "é") for s in (" ", "  ", "  ", " \n") for b in ("'s", "b", "́", "<|startoftext|>", "1")]
+    want = library_counts(texts, path)
+    assert token_counts.lengths_of(texts, token_counts.Lengths(coder, kept=200), most=0, batch=50) == want
+    coder.cuts, coder.drops_space = None, False
+    assert token_counts.lengths_of(texts, token_counts.Lengths(coder)) == want
 
 
 def test_counts_of_rows(spark, docs):
@@ -127,9 +130,9 @@ def test_counts_of_rows(spark, docs):
 
 def test_pieces_and_batches_lose_nothing():
     text = "abc de  f " * 400
-    cut = token_counts.pieces(text, token_counts._SINGLE, 0, 50)
+    cut = token_counts.pieces(text, token_counts._SINGLE, " ", 50)
     assert "".join(cut) == text and len(cut) > 50 and all(len(p) < 60 for p in cut)
-    assert token_counts.pieces("x" * 900, token_counts._SINGLE, 0, 50) == ["x" * 900]
+    assert token_counts.pieces("x" * 900, token_counts._SINGLE, "", 50) == ["x" * 900]
     rng = random.Random(2)
     sizes = [rng.randrange(1, 20_000) for _ in range(500)] + [900_000]
     ranges = token_counts.balanced(sizes)
