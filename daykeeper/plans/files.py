@@ -20,6 +20,7 @@ from daykeeper.sources import documents as docs
 from daykeeper.sources.named import arrow_uri, write_named
 from daykeeper.sources.sinks import publish_verified_days, read_published, write_report
 from daykeeper.sources.tables import arrow_schema_digest, list_objects, observe_objects, scan_day_tables
+from daykeeper.sources.tree import list_folders
 from daykeeper.streaming.catchup import catch_up_stream, read_reports_table
 
 ROW = ["event_id", "event_type", "props", "ts", "user_id", "value"]
@@ -50,6 +51,23 @@ def read_manifests(spark, sf):
     )
 
 
+@query
+def read_one_day(spark, sf):
+    """The manifests of one day of one collector, of which alone the files are opened."""
+    root = scratch_path(spark, "manifests")
+    documents = views.manifest_documents(spark, sf)
+    place = F.concat(F.lit("replica="), "replica", F.lit("/collector="), "collector", F.lit("/date="), "archive_date")
+    write_named(documents.select(F.concat(place, F.lit("/manifest.json")).alias("name"), F.col("raw").alias("content")), root)
+    found = docs.read_manifests(spark, root).where("collector = 'c0' and archive_date = '2024-01-03'")
+    return found.select(*DAY, "replica", "raw_sha256", F.size("objects").cast("bigint").alias("entries"))
+
+
+@query
+def list_day_folders(spark, sf):
+    """The days of every collector from folder names alone."""
+    return list_folders(spark, archive_rows(spark, sf)).select("collector", F.col("date").alias("archive_date"))
+
+
 @query
 def scan_days(spark, sf):
     rows = scan_day_tables(spark, archive_rows(spark, sf))
@@ -81,7 +99,7 @@ def read_object_meta(spark, sf):
     suffix = DEFAULT_CONTRACTS.sidecar_suffix
     name = F.concat(F.lit("collector="), "collector", F.lit("/"), "own_key", F.lit(suffix))
     write_named(meta.select(name.alias("name"), text.alias("content")), root)
-    return docs.read_object_meta(spark, root, suffix)
+    return docs.read_object_meta(spark, root, suffix).select("collector", "relative_key", "size_bytes", "sha256", "reason")
 
 
 @query

@@ -9,6 +9,7 @@ from daykeeper.functions.digests import sha256
 from daykeeper.functions.paths import file_name
 from daykeeper.functions.rules import first_reason
 from daykeeper.schemas import EVIDENCE, MANIFEST, SIDECAR
+from daykeeper.sources.folders import read_documents
 
 
 def read_files(spark: SparkSession, path: str, name_glob: str | None = None, recursive: bool = True) -> DataFrame:
@@ -66,29 +67,23 @@ def read_manifests(spark: SparkSession, path: str, name_glob: str = "manifest.js
     """Manifest files with raw bytes, digest, size and parsed document.
 
     ``replica``, ``collector`` and ``archive_date`` come from the ``replica=``, ``collector=`` and
-    ``date=`` segments of the path.
+    ``date=`` folders, in that order, of which any may be missing. Filters on them choose folders before
+    any file is opened.
     """
-    files = read_files(spark, path, name_glob)
-
-    def segment(name: str) -> Column:
-        return F.nullif(F.regexp_extract(F.col("path"), f"/{name}=([^/]+)/", 1), F.lit(""))
-
-    keyed = files.select(
-        segment("collector").alias("collector"),
-        segment("replica").alias("replica"),
-        segment("date").alias("archive_date"),
-        F.col("content").alias("raw"),
-    )
-    return manifest_columns(keyed)
+    files = read_documents(spark, path, glob=name_glob)
+    return manifest_columns(files.select("collector", "replica", F.col("date").alias("archive_date"), F.col("content").alias("raw")))
 
 
 def read_object_meta(spark: SparkSession, path: str, suffix: str) -> DataFrame:
-    """Sidecar files; the embedded key must equal the sidecar's own path below ``path``."""
-    files = read_files(spark, path, f"*{suffix}")
+    """Sidecar files; the embedded key must equal the sidecar's own path below ``path``. Filters on ``replica``,
+    ``collector`` and ``archive_date`` choose folders before any file is opened."""
+    files = read_documents(spark, path, glob=f"*{suffix}")
     inside = F.regexp_extract(F.col("path"), r"/(date=\d{4}-\d{2}-\d{2}/.*)$", 1)
     meta = F.from_json(utf8(F.col("content")), SIDECAR)
     rows = files.select(
-        F.regexp_extract(F.col("path"), "/collector=([^/]+)/", 1).alias("collector"),
+        F.coalesce("collector", F.lit("")).alias("collector"),
+        "replica",
+        F.col("date").alias("archive_date"),
         F.substring(inside, F.lit(1), F.length(inside) - len(suffix)).alias("relative_key"),
         meta.alias("meta"),
     )
@@ -101,17 +96,23 @@ def read_object_meta(spark: SparkSession, path: str, suffix: str) -> DataFrame:
             ("meta_invalid", F.col("meta.relative_key").isNull()),
             ("meta_path", F.col("meta.relative_key") != F.col("relative_key")),
         ).alias("reason"),
+        "replica",
+        "archive_date",
     )
 
 
-def read_reports(spark: SparkSession, path: str, name_glob: str = "*.json", max_bytes: int | None = None) -> DataFrame:
-    """All reports below ``path``; unreadable ones stay as rows with a reason."""
-    return report_rows(
-        read_files(spark, path, name_glob).select(
-            F.col("path"), F.col("modificationTime").alias("modified"), "length", "content"
-        ),
-        max_bytes,
-    )
+def _named_documents(spark: SparkSession, path: str, name_glob: str, collector: str | None, prefix: str | None) -> DataFrame:
+    files = read_documents(spark, path, "collector?", name_glob)
+    files = files if collector is None else files.where(F.col("collector") == collector)
+    return files if prefix is None else files.where(F.startswith("name", F.lit(prefix)))
+
+
+def read_reports(
+    spark: SparkSession, path: str, name_glob: str = "*.json", max_bytes: int | None = None, collector: str | None = None, prefix: str | None = None
+) -> DataFrame:
+    """All reports below ``path``; unreadable ones stay as rows with a reason. ``collector`` and ``prefix`` of the file
+    name (as ``plan-2024-01-02``) leave other files unopened."""
+    return report_rows(_named_documents(spark, path, name_glob, collector, prefix).select("path", "modified", "length", "content"), max_bytes)
 
 
 def report_rows(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
@@ -138,15 +139,13 @@ def report_rows(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
     )
 
 
-def read_evidence(spark: SparkSession, path: str, kind: str, name_glob: str = "*.json", max_bytes: int | None = None) -> DataFrame:
-    """Evidence documents of one kind: typed columns, file name, file digest and a reason."""
-    rows = report_rows(
-        read_files(spark, path, name_glob).select(
-            F.col("path"), F.col("modificationTime").alias("modified"), "length", "content"
-        ),
-        max_bytes,
-    )
-    return evidence_columns(rows, kind)
+def read_evidence(
+    spark: SparkSession, path: str, kind: str, name_glob: str = "*.json", max_bytes: int | None = None, collector: str | None = None, prefix: str | None = None
+) -> DataFrame:
+    """Evidence documents of one kind: typed columns, file name, file digest and a reason. ``collector`` and ``prefix``
+    as in ``read_reports``."""
+    rows = _named_documents(spark, path, name_glob, collector, prefix).select("path", "modified", "length", "content")
+    return evidence_columns(report_rows(rows, max_bytes), kind)
 
 
 def evidence_columns(rows: DataFrame, kind: str) -> DataFrame:

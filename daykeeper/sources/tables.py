@@ -12,8 +12,8 @@ from pyspark.sql import types as T
 
 from daykeeper.contracts import BUSINESS_KIND
 from daykeeper.functions.canonical import payload_text
-from daykeeper.sources.documents import read_files
 from daykeeper.sources.named import arrow_uri
+from daykeeper.sources.tree import list_tree
 
 _HASH_CHUNK = 8 * 1024 * 1024
 
@@ -43,17 +43,8 @@ def read_partitioned(spark: SparkSession, root: str, keys: list[str]) -> DataFra
 
 
 def list_objects(spark: SparkSession, root: str, name_glob: str | None = None) -> DataFrame:
-    """Flat listing below ``root``: key, size, modified. File contents are not read."""
-    files = read_files(spark, root, name_glob).select(
-        F.col("path"), "length", "modificationTime"
-    )
-    bare = root.rstrip("/").split(":", 1)[-1].lstrip("/")
-    key = F.regexp_replace(F.regexp_replace("path", r"^[a-z0-9]+:/*", ""), "^" + _literal(bare) + "/+", "")
-    return files.select(key.alias("key"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"))
-
-
-def _literal(text: str) -> str:
-    return "\\Q" + text.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+    """Flat listing below ``root``: key, size, modified. File contents are not read; folders are listed in tasks."""
+    return list_tree(spark, root, name_glob)
 
 
 OBSERVED = (

@@ -490,6 +490,9 @@ FROM (SELECT t.collector, t.target, count(e.key) AS n, sum(e.size_bytes)::BIGINT
     "read_manifests": """
 SELECT collector, archive_date, replica, raw_sha256, raw_size, contract_version, status, true AS retention_delete_allowed, object_count,
   len(objects) AS entries FROM manifests""",
+    "read_one_day": """
+SELECT collector, archive_date, replica, raw_sha256, len(objects) AS entries FROM manifests WHERE collector = 'c0' AND archive_date = '2024-01-03'""",
+    "list_day_folders": "SELECT DISTINCT collector, archive_date FROM ev",
     "scan_days": f"""
 SELECT collector, archive_date, count(*) AS row_count, {_chain('payload', 'event_id')} AS content_sha256 FROM rows_drive GROUP BY ALL""",
     "list_files": "SELECT collector, archive_date, 1::BIGINT AS files, true AS sized FROM days",
