@@ -117,8 +117,9 @@ def removal_plan(listing: DataFrame, targets: DataFrame, bucket: str) -> DataFra
 def removal_documents(entries: DataFrame, keys: list[str]) -> DataFrame:
     """Every plan with the key -> size map in its document.
 
-    The contract's document holds the whole map, so each is as large as its target; where only the
-    entries are wanted, ``removal_entries`` has them as rows.
+    The contract's document holds the whole map, so each row is as large as its target.
+    ``sources.large_documents.write_map_documents`` writes documents of any size as files; where only
+    the entries are wanted, ``removal_entries`` has them as rows.
     """
     pairs = F.array_sort(F.collect_list(F.struct("key", "size_bytes")))
     return entries.groupBy(*keys).agg(F.map_from_entries(pairs).alias("expected_objects"))

@@ -544,6 +544,55 @@ SELECT DISTINCT user_id FROM events WHERE ts <= TIMESTAMP '2024-01-30 12:00:00'
   WHERE ts <= TIMESTAMP '2024-01-30 12:00:00' AND ts > TIMESTAMP '2024-01-30 06:00:00' AND event_type NOT IN ('error', 'view'))""",
 }
 
+_DELETE_PLANS = f"""
+(SELECT collector, path, entries, total, '{{"collector_id":"' || collector || '","contract_version":"archive-cloud-file-delete-plan/v1","expected_objects":{{' ||
+   listed || '}},"generated_at":"2024-02-01T00:00:00Z","is_dir":' || is_dir || ',"object_count":' || entries || ',"path":"' || path || '","profile_id":"p-' ||
+   collector || '","provider":"r2","status":"awaiting_confirmation","target":"s3://archive-bucket/' || path || CASE WHEN is_dir THEN '/' ELSE '' END ||
+   '","total_bytes":' || total || '}}' AS plan
+ FROM (SELECT collector, target AS path, is_dir, count(*) AS entries, sum(size_bytes)::BIGINT AS total, string_agg('"' || key || '":' || size_bytes, ',' ORDER BY key) AS listed
+   FROM {_ENTRIES} GROUP BY collector, target, is_dir))"""
+STATEMENTS["delete_plan_files"] = f"""
+SELECT collector, path, entries, total, entries AS listed, strlen(plan) AS length, sha256(plan) AS file_sha256, sha256(plan) AS read_sha256,
+  NULL::VARCHAR AS reason FROM {_DELETE_PLANS}"""
+STATEMENTS["delete_evidence"] = f"""
+SELECT r.collector AS collector_id, r.target AS path, deleted_objects, deleted_bytes, sha256(plan) AS plan_sha256, sha256(to_json({{
+  'collector_id': r.collector, 'completed_at': '2024-02-01T00:00:00Z', 'contract_version': 'archive-cloud-file-delete-receipt/v1',
+  'deleted_bytes': deleted_bytes, 'deleted_objects': deleted_objects, 'is_dir': true, 'path': path,
+  'plan_file': 'plan-r2-' || translate(path, '/=', '_-') || '.json', 'plan_sha256': sha256(plan), 'profile_id': 'p-' || r.collector, 'provider': 'r2',
+  'status': 'completed', 'target': 's3://archive-bucket/' || path || '/'}})::VARCHAR) AS receipt_sha256
+FROM ({STATEMENTS['removal_receipt']}) r JOIN {_DELETE_PLANS} p ON p.collector = r.collector AND p.path = r.target WHERE r.status = 'completed'"""
+_PLAN_FILES = f"""
+(SELECT p.collector, p.archive_date, p.profile_id, p.manifest_sha256, p.local_tree_sha256, to_json({{'archive_date': p.archive_date,
+  'client_credentials_remain_read_only': true, 'collector_id': p.collector, 'contract_version': p.contract_version,
+  'deletion_mode': 'manual_provider_console', 'expected_remote_entries': {{'cloudflare_r2': r2_entries, 'google_drive': drive_entries,
+    'note': 'Drive 数量包含每个对象及 manifest 的元数据 sidecar'}}, 'generated_at': '2024-02-01T00:00:00Z',
+  'local_tree_sha256': p.local_tree_sha256, 'local_verified_at': p.archive_date || 'T06:00:00Z', 'manifest_sha256': p.manifest_sha256,
+  'object_count': object_count, 'parquet_bytes': parquet_bytes, 'profile_id': p.profile_id, 'retention_evidence': {{'dropped_at': r.dropped_at,
+    'file_sha256': r.file_sha256, 'partitions': ['p1'], 'source_file': 'retention/' || p.collector || '/' || p.archive_date || '.json', 'status': r.status,
+    'verified_manifest_sha256': r.verified_manifest_sha256}}, 'row_count': row_count, 'status': 'ready',
+  'targets': {{'cloudflare_r2': r2_target, 'google_drive': drive_target}}}})::VARCHAR AS plan
+ FROM ({STATEMENTS['cleanup_plan']}) p JOIN checked_retention r ON r.collector = p.collector AND r.archive_date = p.archive_date)"""
+_CHECKPOINT_FILES = f"""
+(SELECT *, 'plan-' || archive_date || '-1.json' AS plan_file, sha256(plan) AS plan_sha256, to_json({{'archive_date': archive_date,
+  'cloudflare_r2_absent': true, 'collector_id': collector, 'contract_version': 'archive-windows-cloud-cleanup-checkpoint/v1',
+  'google_drive_still_present': true, 'local_tree_sha256': local_tree_sha256, 'manifest_sha256': manifest_sha256,
+  'operator_confirmation': 'first copy removed', 'plan_file': 'plan-' || archive_date || '-1.json', 'plan_sha256': sha256(plan),
+  'profile_id': profile_id, 'status': 'r2_absence_verified', 'verified_at': '2024-02-01T00:00:00Z'}})::VARCHAR AS checkpoint FROM {_PLAN_FILES})"""
+_RECEIPT_FILES = f"""
+(SELECT *, 'receipt-' || archive_date || '-1.json' AS receipt_file, to_json({{'archive_date': archive_date, 'collector_id': collector,
+  'completed_at': '2024-02-01T00:00:00Z', 'contract_version': 'archive-windows-cloud-cleanup-receipt/v1',
+  'google_drive_trash_emptied_attested': true, 'local_tree_sha256': local_tree_sha256, 'local_verified_at': archive_date || 'T06:00:00Z',
+  'manifest_sha256': manifest_sha256, 'operator_confirmations': {{'cloudflare_r2': 'first copy removed', 'google_drive': 'second copy removed'}},
+  'plan_file': plan_file, 'plan_sha256': plan_sha256, 'profile_id': profile_id, 'r2_checkpoint_file': 'checkpoint-r2-' || archive_date || '-1.json',
+  'r2_checkpoint_sha256': sha256(checkpoint), 'remote_absence': {{'cloudflare_r2': true, 'google_drive': true, 'verified_at': '2024-02-01T00:00:00Z'}},
+  'status': 'completed'}})::VARCHAR AS receipt FROM {_CHECKPOINT_FILES})"""
+STATEMENTS["removal_evidence"] = f"""
+SELECT f.collector, f.archive_date, receipt_file, sha256(receipt) AS receipt_sha256, plan_sha256, sha256(checkpoint) AS checkpoint_sha256,
+  sha256(to_json({{'archive_date': f.archive_date, 'collector_id': f.collector, 'completed_at': '2024-02-01T00:00:00Z',
+    'contract_version': 'archive-cloud-cleanup-marker/v1', 'manifest_sha256': f.manifest_sha256, 'profile_id': profile_id,
+    'receipt_file': receipt_file, 'receipt_sha256': sha256(receipt), 'status': 'completed'}})::VARCHAR) AS marker_sha256
+FROM {_RECEIPT_FILES} f"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {name: sql(text) for name, text in STATEMENTS.items()}
