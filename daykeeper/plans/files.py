@@ -21,7 +21,7 @@ from daykeeper.sources.named import arrow_uri, write_named
 from daykeeper.sources.sinks import publish_verified_days, read_published, write_report
 from daykeeper.sources.tables import arrow_schema_digest, list_objects, observe_objects, scan_day_tables
 from daykeeper.sources.tree import list_folders
-from daykeeper.streaming.catchup import catch_up_stream, read_reports_table
+from daykeeper.streaming.catchup import Cycle, catch_up_stream, gated_catch_up, read_decisions, read_reports_table
 
 ROW = ["event_id", "event_type", "props", "ts", "user_id", "value"]
 
@@ -270,6 +270,48 @@ def catch_up(spark, sf):
     return read_reports_table(spark, written)
 
 
+def gated_cycle(spark: SparkSession, sf: str, require_both: bool) -> DataFrame:
+    """The gated cycle over three micro-batches: the second replica of a day comes with the first, or later, or never.
+
+    One row per day that was decided on, with the number of its rows that are visible afterwards.
+    """
+    root = scratch_path(spark, "arrivals")
+    documents = views.manifest_documents(spark, sf)
+    first = (F.col("replica") == PRIMARY_REPLICA) | (F.col("dom") % 4 == 0)
+    step = F.when(first, 0).when(F.col("dom") % 4 == 1, 1).otherwise(2)
+    timed = documents.withColumn("step", step).withColumn("arrived", F.timestamp_add("HOUR", F.col("step") * 30, F.lit("2024-03-01 00:00:00").cast("timestamp")))
+    arrivals = durable(timed.drop("dom"))
+    schema = arrivals.drop("step").schema
+    for k in range(3):
+        arrivals.where(F.col("step") == k).drop("step").coalesce(1).write.mode("append").parquet(root)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(root)
+    rows = views.event_rows(spark, sf).select(*DAY, *ROW)
+    cycle = Cycle(
+        observed=lambda: views.observed(spark, sf),
+        markers=lambda: views.markers(spark, sf).where("dom % 3 <> 0"),
+        rows=lambda days: rows.join(days.select(*DAY), DAY, "left_semi"),
+        data_path=scratch_path(spark, "caught-up"),
+        report_path=scratch_path(spark, "caught-up-reports"),
+        decisions_path=scratch_path(spark, "caught-up-decisions"),
+        contracts=DEFAULT_CONTRACTS,
+        require_both=require_both,
+    )
+    gated_catch_up(stream, cycle, scratch_path(spark, "caught-up-state"), wait_seconds=40 * 3600, keep_seconds=3600)
+    published = read_published(spark, cycle.data_path, cycle.report_path).groupBy(*DAY).agg(F.count(F.lit(1)).alias("published_rows"))
+    decided = read_decisions(spark, cycle.decisions_path).join(published, DAY, "left")
+    return decided.select(*DAY, "gate", "replica", "decision", "reason", F.coalesce("published_rows", F.lit(0).cast("bigint")).alias("published_rows"))
+
+
+@query
+def catch_up_gated(spark, sf):
+    return gated_cycle(spark, sf, require_both=True)
+
+
+@query
+def catch_up_relaxed(spark, sf):
+    return gated_cycle(spark, sf, require_both=False)
+
+
 @query
 def day_table_counts(spark, sf):
     """Rows per day of archived tables of one replica, against the days either side lists."""

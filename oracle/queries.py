@@ -594,5 +594,25 @@ SELECT f.collector, f.archive_date, receipt_file, sha256(receipt) AS receipt_sha
 FROM {_RECEIPT_FILES} f"""
 
 
+def _caught_up(refusal: str) -> str:
+    return f"""
+SELECT g.collector, g.archive_date, CASE WHEN g.documents = 2 THEN 'both' ELSE 'waited' END AS gate, CASE WHEN g.why IS NULL THEN 'google_drive' END AS replica,
+  CASE WHEN g.why IS NOT NULL THEN 'refused' WHEN m.collector IS NULL AND v.reason IS NULL THEN 'verified' WHEN m.collector IS NULL THEN 'failed'
+    WHEN m.status = 'verified' AND m.manifest_sha256 = g.sha THEN 'already_verified' ELSE 'conflict' END AS decision,
+  CASE WHEN g.why IS NOT NULL THEN g.why WHEN m.collector IS NULL THEN v.reason END AS reason,
+  CASE WHEN g.why IS NULL AND m.collector IS NULL AND v.reason IS NULL THEN e.rows ELSE 0 END AS published_rows
+FROM (SELECT collector, archive_date, count(*) AS documents, max(raw_sha256) FILTER (replica = 'google_drive') AS sha, {refusal} AS why
+  FROM manifests GROUP BY collector, archive_date) g
+LEFT JOIN (SELECT * FROM markers WHERE dom % 3 <> 0) m ON m.collector = g.collector AND m.archive_date = g.archive_date
+JOIN verdicts v ON v.collector = g.collector AND v.archive_date = g.archive_date
+JOIN (SELECT collector, archive_date, count(*) AS rows FROM ev GROUP BY ALL) e ON e.collector = g.collector AND e.archive_date = g.archive_date"""
+
+
+STATEMENTS["catch_up_gated"] = _caught_up(
+    "CASE WHEN count(*) FILTER (reason IS NULL) <> 2 THEN 'replica_missing' WHEN count(DISTINCT raw_sha256) FILTER (reason IS NULL) > 1 THEN 'replicas_differ' END"
+)
+STATEMENTS["catch_up_relaxed"] = _caught_up("CASE WHEN count(*) FILTER (reason IS NULL) = 0 THEN 'no_replica' END")
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: sql(text) for name, text in STATEMENTS.items()}
