@@ -99,12 +99,19 @@ def transfer_rollup(attempts: DataFrame) -> DataFrame:
     )
 
 
-def transfer_high_water(progress: DataFrame, chunk_seconds: int = DAY_SECONDS) -> DataFrame:
+def planned_bytes(entries: DataFrame) -> DataFrame:
+    """transfer_id, bytes_total of each transfer from the manifest entries it fetches (transfer_id, size_bytes)."""
+    return entries.groupBy("transfer_id").agg(F.sum("size_bytes").cast("bigint").alias("bytes_total"))
+
+
+def transfer_high_water(progress: DataFrame, totals: DataFrame, chunk_seconds: int = DAY_SECONDS) -> DataFrame:
     """Monotone progress: bytes per object, bytes of the transfer and overall position.
 
-    ``progress``: transfer_id, object_name, seq, ts, bytes, object_total, completed. Two chunked
-    scans: the running maximum of clamped bytes per object, then the running sum of its increments
-    over the transfer.
+    ``progress``: transfer_id, object_name, seq, ts, bytes, object_total, completed. ``totals``:
+    transfer_id, bytes_total of all that the manifest lists, whether an update has named it yet or not
+    (``planned_bytes``); a transfer of nothing is at its end, one without a total has no position. Two
+    chunked scans: the running maximum of clamped bytes per object, then the running sum of its
+    increments over the transfer.
     """
     clamped = F.greatest(F.least(F.col("bytes"), F.col("object_total")), F.lit(0).cast("bigint"))
     reached = F.when(F.col("completed"), F.col("object_total")).otherwise(clamped)
@@ -116,15 +123,9 @@ def transfer_high_water(progress: DataFrame, chunk_seconds: int = DAY_SECONDS) -
     summed = chunked_running(
         highs.withColumn("_step", step), ["transfer_id"], "_chunk", ["ts", "seq"], {"sum_bytes": ("sum", F.col("_step"))}
     )
-    totals = (
-        progress.groupBy("transfer_id", "object_name")
-        .agg(F.max("object_total").alias("_total"))
-        .groupBy("transfer_id")
-        .agg(F.sum("_total").alias("bytes_total"))
-    )
-    capped = F.least("sum_bytes", "bytes_total")
+    capped = F.when(F.col("bytes_total").isNotNull(), F.least("sum_bytes", "bytes_total"))
     share = F.when(F.col("bytes_total") == 0, F.lit(1.0)).otherwise(capped / F.col("bytes_total"))
-    return summed.join(totals, "transfer_id").select(
+    return summed.join(totals.select("transfer_id", "bytes_total"), "transfer_id", "left").select(
         "transfer_id",
         "object_name",
         "seq",

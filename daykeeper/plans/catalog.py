@@ -560,7 +560,7 @@ def latest_valid_evidence(spark, sf):
 
 @query
 def transfer_high_water(spark, sf):
-    return telemetry.transfer_high_water(views.progress(spark, sf))
+    return telemetry.transfer_high_water(views.progress(spark, sf), telemetry.planned_bytes(views.transfer_entries(spark, sf)))
 
 
 def sped_up(spark, sf):
@@ -825,7 +825,7 @@ def stream_progress(spark, sf):
 
 @query
 def stream_transfer_totals(spark, sf):
-    return live.transfer_totals(stream_progress(spark, sf))
+    return live.transfer_totals(stream_progress(spark, sf), telemetry.planned_bytes(views.transfer_entries(spark, sf)))
 
 
 @query

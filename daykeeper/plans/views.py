@@ -384,6 +384,15 @@ def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return progress_of(table(spark, sf_dir, "events"))
 
 
+@shared
+def transfer_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of each transfer: an object of every kind, whether there were updates of it or not."""
+    size = lambda name: F.lit(20_000_000 + len(name) * 1_000_000).cast("bigint")
+    held = F.array(*[F.struct(F.lit(name).alias("object_name"), size(name).alias("size_bytes")) for name in KINDS])
+    users = table(spark, sf_dir, "events").select(F.col("user_id").alias("transfer_id")).distinct()
+    return users.select("transfer_id", F.explode(held).alias("o")).select("transfer_id", "o.*")
+
+
 def progress_of(events: DataFrame) -> DataFrame:
     """Progress updates of an event table or stream: a transfer per user, an object per event type.
 

