@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -39,11 +40,39 @@ def micros_of(ts: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", epoch, ts.cast("timestamp_ntz"))
 
 
+@dataclass(frozen=True)
+class Ending:
+    """When the state of a key goes: ``idle_seconds`` of event time after its last update, or ``settle_seconds`` after
+    one that completes it. Updates more than ``late_seconds`` behind the newest are dropped as late; one that comes
+    after its key's state went starts the key anew."""
+
+    idle_seconds: float = 3600.0
+    settle_seconds: float = 60.0
+    late_seconds: float = 0.0
+
+    def hold(self, state: GroupState, last_micros: int, complete: bool) -> None:
+        after = self.settle_seconds if complete else self.idle_seconds
+        state.setTimeoutTimestamp(max(last_micros // 1000 + int(after * 1000), state.getCurrentWatermarkMs() + 1))
+
+
 def _stateful(
-    stream: DataFrame, keys: list[str], columns: list[str], out: T.StructType, state: T.StructType, fold: Callable
+    stream: DataFrame, keys: list[str], columns: list[str], out: T.StructType, state: T.StructType, fold: Callable, ending: Ending | None = None, mode: str = "append"
 ) -> DataFrame:
-    slim = stream.select(*keys, micros_of(F.col("ts")).alias("micros"), *columns)
-    return slim.groupBy(*keys).applyInPandasWithState(fold, out, state, "append", GroupStateTimeout.NoTimeout)
+    """``fold(key, frames, state)`` over the updates of each key; with an ``ending`` it is not called for a key whose
+    time is over, and must say by ``ending.hold`` when that is."""
+    if ending is None:
+        slim = stream.select(*keys, micros_of(F.col("ts")).alias("micros"), *columns)
+        return slim.groupBy(*keys).applyInPandasWithState(fold, out, state, mode, GroupStateTimeout.NoTimeout)
+
+    def until_over(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
+        yield from fold(key, frames, held)
+
+    timed = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", f"{ending.late_seconds} seconds")
+    slim = timed.select(*keys, F.unix_micros("ts").alias("micros"), *columns, "ts")
+    return slim.groupBy(*keys).applyInPandasWithState(until_over, out, state, mode, GroupStateTimeout.EventTimeTimeout)
 
 
 def _in_order(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
@@ -51,8 +80,32 @@ def _in_order(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return pd.concat(frames, ignore_index=True).sort_values(["micros", "seq"], kind="stable")
 
 
-def throttle(stream: DataFrame, seconds: float = PUBLISH_SECONDS) -> DataFrame:
-    """Drops an object's updates closer than ``seconds`` to its last kept one, unless complete."""
+def ending_progress(stream: DataFrame, ending: Ending = Ending()) -> DataFrame:  # noqa: B008 - frozen
+    """``stream_progress`` whose state ends: high water of each object after every micro-batch; run it in update mode.
+
+    A key's frames are folded one by one, so a hot object is never one frame.
+    """
+    keys = ["transfer_id", "object_name"]
+    schema = T.StructType([stream.schema[k] for k in keys] + [T.StructField("object_bytes", T.LongType()), T.StructField("object_total", T.LongType())])
+
+    def rise(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        high, whole, last, complete = (*state.get,) if state.exists else (0, 0, 0, False)
+        for frame in frames:
+            reached = frame["bytes"].clip(lower=0).where(frame["bytes"] <= frame["object_total"], frame["object_total"])
+            reached = reached.where(~frame["completed"], frame["object_total"])
+            high, whole = max(high, int(reached.max())), max(whole, int(frame["object_total"].max()))
+            last, complete = max(last, int(frame["micros"].max())), complete or bool(frame["completed"].any())
+        state.update((high, whole, last, complete))
+        ending.hold(state, last, complete)
+        yield pd.DataFrame([(*key, high, whole)], columns=schema.names)
+
+    held = T.StructType([T.StructField("high", T.LongType()), T.StructField("total", T.LongType()), T.StructField("last", T.LongType()), T.StructField("complete", T.BooleanType())])
+    return _stateful(stream, keys, ["bytes", "object_total", "completed"], schema, held, rise, ending, "update")
+
+
+def throttle(stream: DataFrame, seconds: float = PUBLISH_SECONDS, ending: Ending | None = None) -> DataFrame:
+    """Drops an object's updates closer than ``seconds`` to its last kept one, unless complete. With an ``ending`` an
+    object's state goes; without, it stays for the life of the stream."""
     keys = ["transfer_id", "object_name"]
     gap = round(seconds * 1e6)
     schema = T.StructType(
@@ -68,15 +121,18 @@ def throttle(stream: DataFrame, seconds: float = PUBLISH_SECONDS) -> DataFrame:
             last = int(at) if shown else last
             kept.append(shown)
         state.update((last,))
+        if ending:
+            ending.hold(state, int(rows["micros"].iloc[-1]), bool((rows["bytes"] >= rows["object_total"]).iloc[-1]))
         out = rows[kept]
         yield out[["transfer_id", "object_name", "seq", "bytes"]]
 
     state = T.StructType([T.StructField("last", T.LongType())])
-    return _stateful(stream, keys, ["seq", "bytes", "object_total"], schema, state, keep)
+    return _stateful(stream, keys, ["seq", "bytes", "object_total"], schema, state, keep, ending)
 
 
-def stream_speed(stream: DataFrame) -> DataFrame:
-    """Smoothed speed after each update of a transfer, live."""
+def stream_speed(stream: DataFrame, ending: Ending | None = None) -> DataFrame:
+    """Smoothed speed after each update of a transfer, live. With an ``ending`` a silent transfer's state goes, and
+    an update after that is its first again."""
     schema = T.StructType(
         [stream.schema["transfer_id"], stream.schema["seq"], T.StructField("speed", T.DoubleType())]
     )
@@ -97,8 +153,10 @@ def stream_speed(stream: DataFrame) -> DataFrame:
                 current = speed_step(current, int(at), int(moved), stage == "switching")
             speeds.append(current[2])
         state.update(current)
+        if ending:
+            ending.hold(state, int(rows["micros"].iloc[-1]), False)
         out = rows[["transfer_id", "seq"]].copy()
         out["speed"] = pd.array(speeds, dtype="Float64")
         yield out
 
-    return _stateful(stream, ["transfer_id"], ["seq", "stage", "network_bytes"], schema, state_schema, follow)
+    return _stateful(stream, ["transfer_id"], ["seq", "stage", "network_bytes"], schema, state_schema, follow, ending)
