@@ -21,6 +21,7 @@ from daykeeper.sources.named import arrow_uri, write_named
 from daykeeper.sources.sinks import publish_verified_days, read_published, write_report
 from daykeeper.sources.tables import arrow_schema_digest, list_objects, observe_objects, scan_day_tables
 from daykeeper.sources.tree import list_folders
+from daykeeper.sources.versions import publish_versions, read_versions, write_version
 from daykeeper.streaming.catchup import Cycle, catch_up_stream, gated_catch_up, read_decisions, read_reports_table
 
 ROW = ["event_id", "event_type", "props", "ts", "user_id", "value"]
@@ -140,6 +141,18 @@ def publish_days(spark, sf):
     return read_published(spark, data, written).select(*DAY, "event_id")
 
 
+@query
+def publish_by_pointer(spark, sf):
+    """Verified days, of which some are published again with fewer rows and some stop half-way."""
+    root = scratch_path(spark, "versions")
+    rows = views.event_rows(spark, sf).select(*DAY, "dom", "event_id")
+    judged = durable(verdicts(spark, sf))
+    publish_versions(rows.drop("dom"), judged, root)
+    publish_versions(rows.where("dom % 2 = 0 and event_id % 2 = 0").drop("dom"), judged.where(F.dayofmonth(F.col("archive_date").cast("date")) % 2 == 0), root)
+    write_version(rows.where("event_id % 3 = 0").drop("dom"), judged, root)
+    return read_versions(spark, root).select(*DAY, "event_id")
+
+
 def archived_objects(spark: SparkSession, sf: str) -> DataFrame:
     """The archived files as object rows with a URI."""
     root = archive_rows(spark, sf)

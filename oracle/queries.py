@@ -511,6 +511,9 @@ SELECT collector AS collector_id, archive_date, file_name, status, local_tree_sh
     "write_reports": f"SELECT collector, archive_date, {_VERDICT} AS value FROM verdicts v",
     "publish_days": """
 SELECT collector, archive_date, event_id FROM ev WHERE (collector, archive_date) IN (SELECT (collector, archive_date) FROM verdicts WHERE reason IS NULL)""",
+    "publish_by_pointer": """
+SELECT collector, archive_date, event_id FROM ev WHERE (collector, archive_date) IN (SELECT (collector, archive_date) FROM verdicts WHERE reason IS NULL)
+  AND (dayofmonth(archive_date::DATE) % 2 = 1 OR event_id % 2 = 0)""",
     "observe_files": f"""
 SELECT collector, archive_date, count(*) AS row_count, {_chain('payload', 'event_id')} AS content_sha256, true AS sized, 64 AS schema_digits,
   NULL::VARCHAR AS reason FROM rows_drive GROUP BY ALL""",
