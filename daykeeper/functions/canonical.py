@@ -113,8 +113,22 @@ def canonical_sql(value: str, data_type: T.DataType, depth: int = 0) -> str:
     return f"coalesce({text}, 'null')"
 
 
+def has_binary(data_type: T.DataType) -> bool:
+    """Whether bytes occur at any depth."""
+    if isinstance(data_type, T.StructType):
+        return any(has_binary(f.dataType) for f in data_type.fields)
+    if isinstance(data_type, T.ArrayType):
+        return has_binary(data_type.elementType)
+    if isinstance(data_type, T.MapType):
+        return has_binary(data_type.keyType) or has_binary(data_type.valueType)
+    return isinstance(data_type, T.BinaryType)
+
+
 def canonical_json(df: DataFrame, columns: list[str] | None = None) -> Column:
-    """The canonical payload of each row, as one native string expression."""
+    """The canonical payload of each row, as one native string expression; bytes, which have no native form, go
+    through ``canonical_json_exact``."""
+    if any(has_binary(df.schema[name].dataType) for name in columns or df.columns):
+        return canonical_json_exact(df, columns)
     schema = {field.name: field.dataType for field in df.schema.fields}
     return F.expr(_object([(name, _quoted(name), schema[name]) for name in columns or df.columns], 0))
 

@@ -167,7 +167,7 @@ def capacity_percent(used: Column, total: Column) -> Column:
 def dashboard_metrics(status: DataFrame, usage: DataFrame, allowance: int = FREE_ALLOWANCE_BYTES) -> DataFrame:
     """Verified days per replica and local, matched days, and capacity per collector.
 
-    ``usage``: collector, drive_used, drive_total, r2_used.
+    ``usage``: collector, drive_used, drive_total, r2_used, local_used, local_total (of the local disk).
     """
     counted = status.groupBy("collector").agg(
         F.count(F.lit(1)).alias("days"),
@@ -180,6 +180,7 @@ def dashboard_metrics(status: DataFrame, usage: DataFrame, allowance: int = FREE
         *counted.columns,
         capacity_percent(zero("drive_used"), F.col("drive_total")).alias("drive_percent"),
         capacity_percent(zero("r2_used"), F.lit(allowance).cast("bigint")).alias("r2_percent"),
+        capacity_percent(zero("local_used"), F.col("local_total")).alias("local_percent"),
     )
 
 

@@ -477,8 +477,10 @@ def dashboard_metrics(spark, sf):
         F.sum(F.when(F.col("replica") == SECONDARY_REPLICA, F.col("size_bytes"))).alias("r2_used"),
     )
     usage = sizes.withColumn("drive_total", F.when(F.col("collector") != "c1", F.lit(1_000_000)).otherwise(F.lit(0)).cast("bigint"))
+    disk = F.when(F.col("collector") != "c2", F.lit(800_000)).otherwise(F.lit(0)).cast("bigint")
+    usage = usage.withColumns({"local_used": F.floor(F.col("drive_used") / 2).cast("bigint"), "local_total": disk})
     metrics = rollup.dashboard_metrics(statuses(spark, sf), usage, allowance=500_000)
-    rounded = [F.round(name, 6).alias(name) for name in ("drive_percent", "r2_percent")]
+    rounded = [F.round(name, 6).alias(name) for name in ("drive_percent", "r2_percent", "local_percent")]
     return metrics.select(*[name for name in metrics.columns if not name.endswith("_percent")], *rounded)
 
 

@@ -314,7 +314,8 @@ SELECT collector, target, string_agg(key || '=' || size_bytes, ',' ORDER BY key)
     "dashboard_metrics": """
 SELECT s.collector, s.days, s.drive_days, s.r2_days, s.local_days, s.matched_days,
   round(CASE WHEN s.collector = 'c1' THEN 0.0 ELSE least(u.drive_used / 1000000.0 * 100.0, 100.0) END, 6) AS drive_percent,
-  round(least(u.r2_used / 500000.0 * 100.0, 100.0), 6) AS r2_percent
+  round(least(u.r2_used / 500000.0 * 100.0, 100.0), 6) AS r2_percent,
+  round(CASE WHEN s.collector = 'c2' THEN 0.0 ELSE least(floor(u.drive_used / 2) / 800000.0 * 100.0, 100.0) END, 6) AS local_percent
 FROM (SELECT collector, count(*) AS days, count(*) FILTER (drive_state = 'verified') AS drive_days,
     count(*) FILTER (r2_state = 'verified') AS r2_days, count(*) FILTER (local_state = 'verified') AS local_days,
     count(*) FILTER (replicas_match) AS matched_days FROM status GROUP BY collector) s

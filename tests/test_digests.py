@@ -167,3 +167,9 @@ def test_tree_digest_follows_manifest_order(spark):
     want = hashlib.sha256(json.dumps(material, ensure_ascii=False, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
     got = tree_digest(df.withColumn("day", F.lit("d")).repartition(3), ["day"]).first()["tree_sha256"]
     assert got == want
+
+
+def test_bytes_have_a_payload(spark):
+    df = spark.createDataFrame([(1, bytearray(b"\x00a'"), [bytearray(b"x")]), (2, None, None)], "k INT, b BINARY, l ARRAY<BINARY>")
+    got = {r["k"]: r["p"] for r in df.select("k", canonical_json(df).alias("p")).collect()}
+    assert got[1] == payload_text({"k": 1, "b": b"\x00a'", "l": [b"x"]}) and got[2] == '{"b":null,"k":2,"l":null}'
