@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from daykeeper.contracts import DEFAULT_CONTRACTS, Contracts
 from daykeeper.functions.rules import Rule, differs, first_reason
+from daykeeper.operators.manifests import validate_manifests
 from daykeeper.operators.reconcile import DAY
+from daykeeper.sources.documents import manifest_columns
 
 PROFILE_DAY = ["profile_id", "collector", "archive_date"]
 
@@ -118,11 +120,14 @@ def removal_eligibility(
     local_markers: DataFrame,
     verdicts: DataFrame,
     receipts: DataFrame,
+    snapshots: DataFrame | None = None,
 ) -> DataFrame:
     """First reason per day why its remote copies may not be planned for removal, or NULL.
 
     ``manifests``: validated rows of both replicas. ``retention`` and ``local_markers``: checked rows
     (``reason``), one per day. ``verdicts``: verify_days output. ``receipts``: receipt_chain output.
+    With ``snapshots`` (``local_snapshots`` output) the local manifest's bytes must also pass: a day
+    without one, or with one that its marker does not describe, is blocked.
     """
     valid = F.col("reason").isNull()
     pairs = manifests.groupBy(*DAY).agg(
@@ -145,6 +150,12 @@ def removal_eligibility(
     passed = verdicts.select(*DAY, F.col("status").alias("_verdict"))
     done = receipts.select(*DAY).distinct().withColumn("_done", F.lit(True))
     joined = pairs.join(kept, DAY, "left").join(local, DAY, "left").join(passed, DAY, "left").join(done, DAY, "left")
+    read: list[Rule] = []
+    if snapshots is not None:
+        seen = snapshots.select(*DAY, F.lit(True).alias("_read"), F.col("reason").alias("_read_reason"))
+        joined = joined.join(seen, DAY, "left")
+        broken = F.col("_read").isNull() | F.col("_read_reason").isNotNull()
+        read = [("local_manifest", broken)]
     reason = first_reason(
         ("already_cleaned", F.col("_done").isNotNull()),
         ("retention_missing", F.col("_retained").isNull()),
@@ -152,12 +163,32 @@ def removal_eligibility(
         ("replicas_differ", (F.col("_valid") != 2) | differs(F.col("_low"), F.col("_high"))),
         ("retention_digest", differs(F.col("_retention_sha"), F.col("_low"))),
         ("local_marker", F.col("_local").isNull() | F.col("_local_reason").isNotNull()),
+        *read,
         ("local_differs", differs(F.col("_local_sha"), F.col("_low"))),
         ("verification_failed", differs(F.col("_verdict"), F.lit("verified"))),
     )
     return joined.select(*DAY, F.col("_low").alias("manifest_sha256"), reason.alias("reason"))
 
 
+def local_snapshots(markers: DataFrame, documents: DataFrame, contracts: Contracts = DEFAULT_CONTRACTS) -> DataFrame:
+    """The local manifest of each marked day, judged by its marker: DAY, manifest_sha256, reason.
+
+    ``markers``: rows of ``check_marker``, one per day. ``documents``: DAY and the bytes ``raw`` of the local
+    manifest, at most one per day. The marker's own reason comes first, then a manifest that cannot be
+    read, then the manifest's rules, with the marker's digest as the declared one.
+    """
+    said = markers.select(*DAY, F.col("manifest_sha256").alias("declared_sha256"), F.col("reason").alias("_marker"))
+    found = said.join(documents.select(*DAY, "raw"), DAY, "left")
+    held = found.withColumns({"replica": F.lit("local"), "declared_size": F.octet_length("raw").cast("bigint")})
+    judged = validate_manifests(manifest_columns(held), contracts)
+    reason = F.coalesce(
+        F.when(F.col("_marker").isNotNull(), F.concat(F.lit("marker_"), "_marker")),
+        F.when(F.col("raw").isNull(), F.lit("unreadable")),
+        F.col("reason"),
+    )
+    return judged.select(*DAY, F.col("raw_sha256").alias("manifest_sha256"), reason.alias("reason"))
+
+
 def cleanup_plan(
     eligible: DataFrame,
     totals: DataFrame,

@@ -144,13 +144,18 @@ def listing_drift(expected: DataFrame, observed: DataFrame, keys: list[str]) ->
         size(True).alias("expected_size"),
         size(False).alias("observed_size"),
     )
-    drift = first_reason(
-        ("duplicate", (F.col("_in_plan") > 1) | (F.col("_in_now") > 1)),
-        ("added", F.col("_in_plan") == 0),
-        ("removed", F.col("_in_now") == 0),
+    drift = drift_reason(F.col("_in_plan"), F.col("_in_now"))
+    return merged.withColumn("drift", drift).where(F.col("drift").isNotNull()).drop("_in_plan", "_in_now")
+
+
+def drift_reason(in_plan: Column, in_now: Column) -> Column:
+    """How a key differs, from the times each side names it and the two sizes; NULL if it does not."""
+    return first_reason(
+        ("duplicate", (in_plan > 1) | (in_now > 1)),
+        ("added", in_plan == 0),
+        ("removed", in_now == 0),
         ("resized", ~F.col("expected_size").eqNullSafe(F.col("observed_size"))),
     )
-    return merged.withColumn("drift", drift).where(F.col("drift").isNotNull()).drop("_in_plan", "_in_now")
 
 
 def residual_after_removal(listing: DataFrame, targets: DataFrame) -> DataFrame:

@@ -267,9 +267,15 @@ def verification_report(
     verified: DataFrame,
     manifests: DataFrame,
     contracts: Contracts = DEFAULT_CONTRACTS,
+    transfers: DataFrame | None = None,
+    verified_at: Column | None = None,
 ) -> DataFrame:
     """The report of each verified day: header, replica digests and the object list.
 
+    With ``transfers`` (``transfer_rollup`` output) also what the run copied: the source, or ``mixed``, the
+    sources tried and those that gave an object, and the bytes moved; a day of which nothing was copied
+    has a NULL source, empty lists and no bytes. With ``verified_at`` the time of the check.
+
     ``replicas_match`` is false, not NULL, when a replica is absent. The object list of a day is as
     long as its manifest, which is one document.
     """
@@ -293,7 +299,7 @@ def verification_report(
     nothing = F.filter(F.array(F.col("objects")[0]), lambda _: F.lit(False))
     match = replica_match(manifests)
     passed = days.where(F.col("status") == "verified")
-    return (
+    report = (
         passed.join(lists, DAY, "left")
         .join(match, DAY, "left")
         .select(
@@ -311,3 +317,22 @@ def verification_report(
             F.coalesce("objects", nothing).alias("objects"),
         )
     )
+    if verified_at is not None:
+        report = report.withColumn("verified_at", verified_at)
+    if transfers is None:
+        return report
+    none = F.array().cast("array<string>")
+    moved = transfers.select(
+        *DAY,
+        F.col("active_source").alias("download_replica"),
+        F.col("sources_attempted").alias("download_sources_attempted"),
+        F.col("sources_completed").alias("download_sources_completed"),
+        F.col("network_bytes").alias("downloaded_bytes_this_run"),
+    )
+    return report.join(moved, DAY, "left").withColumns(
+        {
+            "download_sources_attempted": F.coalesce("download_sources_attempted", none),
+            "download_sources_completed": F.coalesce("download_sources_completed", none),
+            "downloaded_bytes_this_run": F.coalesce("downloaded_bytes_this_run", F.lit(0).cast("bigint")),
+        }
+    )

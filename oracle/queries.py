@@ -617,6 +617,45 @@ STATEMENTS["catch_up_gated"] = _caught_up(
 )
 STATEMENTS["catch_up_relaxed"] = _caught_up("CASE WHEN count(*) FILTER (reason IS NULL) = 0 THEN 'no_replica' END")
 
+STATEMENTS["content_difference"] = """
+SELECT collector, archive_date, event_id, row_sha256, sum(l)::BIGINT AS left_copies, sum(r)::BIGINT AS right_copies
+FROM (SELECT collector, archive_date, event_id, sha256(payload) AS row_sha256, 1 AS l, 0 AS r FROM rows_drive
+  UNION ALL SELECT collector, archive_date, event_id, sha256(payload), 0, 1 FROM rows_r2)
+GROUP BY ALL HAVING sum(l) <> sum(r)"""
+STATEMENTS["snapshot_drift"] = STATEMENTS["listing_drift"]
+_LOCAL = """
+(SELECT k.collector, k.archive_date, d.doc AS raw, CASE WHEN k.reason IS NOT NULL THEN 'marker_' || k.reason
+  WHEN d.doc IS NULL THEN 'unreadable' WHEN sha256(d.doc) <> k.manifest_sha256 THEN 'sha256' ELSE d.reason END AS reason
+ FROM checked_markers k LEFT JOIN (SELECT collector, archive_date, reason,
+     CASE WHEN dom % 8 = 0 THEN substr(raw, 1, length(raw) - 1) ELSE raw END AS doc
+   FROM manifests WHERE replica = 'google_drive' AND dom % 21 <> 0) d USING (collector, archive_date))"""
+STATEMENTS["local_snapshots"] = f"SELECT collector, archive_date, sha256(raw) AS manifest_sha256, reason FROM {_LOCAL}"
+STATEMENTS["removal_eligibility_local"] = f"""
+SELECT e.collector, e.archive_date, e.manifest_sha256,
+  CASE WHEN (e.reason IS NULL OR e.reason IN ('local_differs', 'verification_failed'))
+    AND (s.collector IS NULL OR s.reason IS NOT NULL) THEN 'local_manifest' ELSE e.reason END AS reason
+FROM {_ELIGIBLE} e LEFT JOIN {_LOCAL} s ON s.collector = e.collector AND s.archive_date = e.archive_date"""
+_TRIED = """
+(SELECT collector, archive_date, relative_key, attempt, size_bytes * attempt AS moved, row_count % 3 <> 0 OR attempt = 2 AS ok,
+  CASE WHEN (attempt = 1) <> (row_count % 7 = 0) THEN 'r2' ELSE 'google_drive' END AS source
+ FROM objects, (VALUES (1), (2)) AS a(attempt) WHERE dom % 5 <> 0 AND (attempt = 1 OR row_count % 3 = 0))"""
+_MOVED = f"""
+(SELECT collector, archive_date, string_agg(source, ',' ORDER BY tried_at) AS attempted,
+  string_agg(source, ',' ORDER BY done_at) FILTER (done_at IS NOT NULL) AS completed, sum(moved)::BIGINT AS moved
+ FROM (SELECT collector, archive_date, source, min(relative_key || '#' || attempt) AS tried_at,
+     min(relative_key) FILTER (ok) AS done_at, sum(moved) AS moved FROM {_TRIED} GROUP BY ALL) GROUP BY ALL)"""
+STATEMENTS["transfer_report"] = f"""
+SELECT v.collector, v.archive_date, 'archive-windows-archive-verification/v1' AS contract_version, 'verified' AS status, v.manifest_sha256,
+  v.object_count, v.row_count, v.tree AS tree_sha256, false AS retention_delete_allowed, m.left_sha256 AS drive_manifest_sha256,
+  m.right_sha256 AS r2_manifest_sha256, coalesce(m.replicas_match, false) AS replicas_match, o.objects,
+  v.archive_date || 'T03:04:05Z' AS verified_at, CASE WHEN contains(t.completed, ',') THEN 'mixed' ELSE t.completed END AS download_replica,
+  coalesce(t.attempted, '') AS download_sources_attempted, coalesce(t.completed, '') AS download_sources_completed,
+  coalesce(t.moved, 0) AS downloaded_bytes_this_run
+FROM verdicts v JOIN {_MATCH} m USING (collector, archive_date)
+JOIN (SELECT collector, archive_date, sha256(string_agg(concat_ws(':', relative_key, seen_row_count), ',' ORDER BY relative_key)) AS objects
+  FROM verified GROUP BY ALL) o USING (collector, archive_date)
+LEFT JOIN {_MOVED} t ON t.collector = v.collector AND t.archive_date = v.archive_date WHERE v.reason IS NULL"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {name: sql(text) for name, text in STATEMENTS.items()}
