@@ -217,24 +217,31 @@ def observed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @shared
 def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flat listing of both replicas with one boundary sibling folder per collector of the first day."""
-    parts = []
-    for side in (PRIMARY_REPLICA, SECONDARY_REPLICA):
-        held = objects(spark, sf_dir, side)
-        base = F.concat(F.lit(f"{ROOT}/collector="), "collector", F.lit("/"))
-        parts.append(held.select("collector", F.lit(side).alias("replica"), F.concat(base, "relative_key").alias("key"), "size_bytes", "modified"))
-        days = held.groupBy(*DAY, "dom").agg(F.max("modified").alias("modified"), F.sum("row_count").alias("rows"))
-        day = F.concat(base, F.lit("date="), "archive_date")
-        parts.append(
-            days.select("collector", F.lit(side).alias("replica"), F.concat(day, F.lit("/manifest.json")).alias("key"), (F.col("rows") + 100).alias("size_bytes"), "modified")
-        )
-        parts.append(
-            days.where("dom = 1").select("collector", F.lit(side).alias("replica"), F.concat(day, F.lit("0/stray.parquet")).alias("key"), F.lit(7).cast("bigint").alias("size_bytes"), "modified")
-        )
-    union = parts[0]
-    for part in parts[1:]:
-        union = union.unionByName(part)
-    return union
+    """Flat listing of both replicas with one boundary sibling folder per collector of the first day.
+
+    A day's few objects become its listed names together, so each replica's objects are made once.
+    """
+    sides = [_listed(objects(spark, sf_dir, side), side) for side in (PRIMARY_REPLICA, SECONDARY_REPLICA)]
+    return sides[0].unionByName(sides[1])
+
+
+def _listed(held: DataFrame, side: str) -> DataFrame:
+    days = held.groupBy(*DAY, "dom").agg(
+        F.collect_list(F.struct(F.col("relative_key").alias("name"), "size_bytes", "modified")).alias("names"),
+        F.max("modified").alias("modified"),
+        F.sum("row_count").alias("rows"),
+    )
+    day = F.concat(F.lit("date="), "archive_date")
+    manifest = F.struct(F.concat(day, F.lit("/manifest.json")).alias("name"), (F.col("rows") + 100).alias("size_bytes"), "modified")
+    stray = F.struct(F.concat(day, F.lit("0/stray.parquet")).alias("name"), F.lit(7).cast("bigint").alias("size_bytes"), "modified")
+    more = F.when(F.col("dom") == 1, F.array(manifest, stray)).otherwise(F.array(manifest))
+    return days.select("collector", F.explode(F.concat("names", more)).alias("o")).select(
+        "collector",
+        F.lit(side).alias("replica"),
+        F.concat(F.lit(f"{ROOT}/collector="), "collector", F.lit("/"), F.col("o.name")).alias("key"),
+        F.col("o.size_bytes").alias("size_bytes"),
+        F.col("o.modified").alias("modified"),
+    )
 
 
 @shared

@@ -656,6 +656,10 @@ JOIN (SELECT collector, archive_date, sha256(string_agg(concat_ws(':', relative_
   FROM verified GROUP BY ALL) o USING (collector, archive_date)
 LEFT JOIN {_MOVED} t ON t.collector = v.collector AND t.archive_date = v.archive_date WHERE v.reason IS NULL"""
 
+STATEMENTS["audit_valid_days"] = f"""
+SELECT a.* FROM ({STATEMENTS["audit_days"]}) a
+JOIN manifests k ON k.collector = a.collector AND k.archive_date = a.archive_date AND k.replica = 'google_drive' AND k.reason IS NULL"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {name: sql(text) for name, text in STATEMENTS.items()}
