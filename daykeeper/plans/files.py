@@ -17,6 +17,7 @@ from daykeeper.plans import views
 from daykeeper.plans.catalog import presence, query, verdicts
 from daykeeper.session import durable, scratch_path
 from daykeeper.sources import documents as docs
+from daykeeper.sources.large_objects import observe_large_objects
 from daykeeper.sources.named import arrow_uri, write_named
 from daykeeper.sources.sinks import publish_verified_days, read_published, write_report
 from daykeeper.sources.tables import arrow_schema_digest, list_objects, observe_objects, scan_day_tables
@@ -186,6 +187,16 @@ def observe_files(spark, sf):
     )
 
 
+@query
+def observe_large_files(spark, sf):
+    """The same facts with every file's row groups in tasks of their own."""
+    seen = observe_large_objects(archived_objects(spark, sf))
+    return seen.select(
+        *DAY, "row_count", "content_sha256", (F.col("size_bytes") > 0).alias("sized"),
+        F.length("schema_sha256").alias("schema_digits"), "reason",
+    )
+
+
 #: What happens to the one file of a day, or to what its manifest says, by day of month modulo 11.
 DAMAGE = {
     1: "missing", 2: "size", 3: "sha256", 4: "unreadable", 5: "rows", 6: "schema", 7: "content_absent", 8: "content", 9: "row_total",

@@ -16,6 +16,8 @@ from daykeeper.sources.named import arrow_uri
 from daykeeper.sources.tree import list_tree
 
 _HASH_CHUNK = 8 * 1024 * 1024
+#: Files up to this size are read once and held while they are observed; longer ones are read twice.
+_HELD_BYTES = 64 * 1024 * 1024
 
 
 def scan_day_tables(spark: SparkSession, root: str, dates: list[str] | None = None) -> DataFrame:
@@ -57,8 +59,9 @@ def observe_objects(objects: DataFrame, tasks: int | None = None) -> DataFrame:
     """Observed facts of Parquet files, in the contract's exact form.
 
     ``objects`` has collector, archive_date, relative_key, kind and ``uri``. Rows are spread over
-    tasks by object; each file is streamed once for its digest and once in row batches, so memory
-    stays bounded for files of any size. Only business objects get a content digest.
+    tasks by object; a file of up to 64 MB is read once, a longer one is streamed once for its digest and once
+    in row batches, so memory stays bounded for files of any size. Only business objects get a content digest.
+    Where one object holds most rows, ``large_objects.observe_large_objects`` spreads its row groups.
 
     Where ``objects`` also has what the manifest says (size_bytes, sha256, row_count, schema_sha256), a
     file is read only up to its first fact that differs: later facts stay NULL, which ``verify_objects``
@@ -110,13 +113,18 @@ def _observe_file(uri: str, with_content: bool, said: dict) -> dict:
     if differs("size_bytes"):
         return fact
     digest = hashlib.sha256()
+    held = None
     with filesystem.open_input_stream(path) as stream:
-        while chunk := stream.read(_HASH_CHUNK):
-            digest.update(chunk)
+        if info.size <= _HELD_BYTES:
+            held = stream.read_buffer()
+            digest.update(held)
+        else:
+            while chunk := stream.read(_HASH_CHUNK):
+                digest.update(chunk)
     fact["sha256"] = digest.hexdigest()
     if differs("sha256"):
         return fact
-    with filesystem.open_input_file(path) as handle:
+    with filesystem.open_input_file(path) if held is None else pa.BufferReader(held) as handle:
         try:
             table = pq.ParquetFile(handle)
             fact["row_count"] = table.metadata.num_rows

@@ -622,6 +622,7 @@ SELECT collector, archive_date, event_id, row_sha256, sum(l)::BIGINT AS left_cop
 FROM (SELECT collector, archive_date, event_id, sha256(payload) AS row_sha256, 1 AS l, 0 AS r FROM rows_drive
   UNION ALL SELECT collector, archive_date, event_id, sha256(payload), 0, 1 FROM rows_r2)
 GROUP BY ALL HAVING sum(l) <> sum(r)"""
+STATEMENTS["observe_large_files"] = STATEMENTS["observe_files"]
 STATEMENTS["snapshot_drift"] = STATEMENTS["listing_drift"]
 _LOCAL = """
 (SELECT k.collector, k.archive_date, d.doc AS raw, CASE WHEN k.reason IS NOT NULL THEN 'marker_' || k.reason
