@@ -12,9 +12,12 @@ from pyspark.sql import functions as F
 
 from daykeeper.session import durable
 
-#: Candidates in a chunk and queries in a block: what one task holds of each at a time.
+#: Candidates in a chunk and queries in a block: what one task scores of each at a time.
 CHUNK = 2_048
 BLOCK = 1_024
+#: Blocks of queries that travel together, and chunks that meet such a group in one cell of the grid.
+GROUP = 16
+CELL = 16
 #: Queries in a block that is scored by integer arithmetic, of which an entry takes some 100 bytes.
 EXACT_BLOCK = 128
 SLICES = 2
@@ -74,7 +77,7 @@ def _chunks(rows: DataFrame, width: int, kind: str = "<i4") -> DataFrame:
 
 
 def _blocks(queries: DataFrame, blocks: int, width: int, kind: str = "<i4") -> DataFrame:
-    """Queries packed by block: ids, components and cutoffs."""
+    """Queries packed in ``blocks`` rows: ids, components and cutoffs."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -105,21 +108,32 @@ def _paired(chunks: DataFrame, blocks: DataFrame, count: int, width: int, slices
                 own = np.frombuffer(ids.as_py(), "<i8")
                 theirs = np.frombuffer(q_ids.as_py(), "<i8")
                 left = np.frombuffer(parts.as_py(), "<i4").reshape(len(own), width).astype(float)
-                right = np.frombuffer(q_parts.as_py(), "<i4").reshape(len(theirs), width).astype(float)
-                local = [left[:, a:b] @ right[:, a:b].T for a, b in zip(edges, edges[1:])]
-                for part in local[:1]:
-                    part[own[:, None] == theirs[None, :]] = -np.inf
-                row, query, score = work(own, theirs, local, np.frombuffer(q_cuts.as_py(), "<f8"))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(theirs[query]), pa.array(own[row]), pa.array(score.astype(np.int64))], names=["query_id", "vec_id", "score"]
-                )
+                asked = np.frombuffer(q_parts.as_py(), "<i4").reshape(len(theirs), width)
+                cuts = np.frombuffer(q_cuts.as_py(), "<f8")
+                for at in range(0, len(theirs), BLOCK):
+                    some = theirs[at : at + BLOCK]
+                    right = asked[at : at + BLOCK].astype(float)
+                    local = [left[:, a:b] @ right[:, a:b].T for a, b in zip(edges, edges[1:])]
+                    local[0][own[:, None] == some[None, :]] = -np.inf
+                    row, query, score = work(own, some, local, cuts[at : at + BLOCK])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(some[query]), pa.array(own[row]), pa.array(score.astype(np.int64))], names=["query_id", "vec_id", "score"]
+                    )
 
     return _met(chunks, blocks, count).mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
 
 
 def _met(chunks: DataFrame, blocks: DataFrame, count: int) -> DataFrame:
-    spread = chunks.select("*", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("block"))
-    return spread.join(blocks, "block").select("ids", "parts", "q_ids", "q_parts", "q_cuts")
+    """Every chunk beside every packed row of queries, in a grid of cells.
+
+    A chunk is copied once for each of the ``count`` packed rows, and each of those once for the CELL
+    chunks of a cell: neither side once for every single row of the other.
+    """
+    parts = max(1, -(-chunks.count() // CELL))
+    spread = chunks.select("*", F.pmod(F.xxhash64("ids"), F.lit(parts)).cast("int").alias("part"))
+    spread = spread.select("*", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("block"))
+    dealt = blocks.select("*", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    return spread.join(dealt, ["block", "part"]).select("ids", "parts", "q_ids", "q_parts", "q_cuts")
 
 
 def _limbs(matrix: np.ndarray, bits: int) -> list[np.ndarray]:
@@ -222,14 +236,14 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.
         for candidates, queries in ((rows.where(far), asked), (rows.where(near), asked.where(far))):
             blocks = max(1, -(-queries.count() // EXACT_BLOCK))
             packed = _blocks(queries.withColumn("cut", F.lit(0.0)), blocks, width, "<f8")
-            found = found.unionByName(_paired_exactly(_chunks(candidates, width, "<f8"), packed, blocks, width, k))
+            found = found.unionByName(_paired_exactly(durable(_chunks(candidates, width, "<f8")), packed, blocks, width, k))
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def _three_phases(rows: DataFrame, asked: DataFrame, width: int, k: int, slices: int, order: WindowSpec) -> DataFrame:
     """query_id, vec_id, score: every chunk's entries that can be among the ``k`` best of a query."""
-    blocks = max(1, -(-asked.count() // BLOCK))
+    blocks = max(1, -(-asked.count() // (BLOCK * GROUP)))
     chunks = durable(_chunks(rows, width))
 
     def gather(own, theirs, local, _):

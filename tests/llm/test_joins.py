@@ -183,6 +183,10 @@ def test_near_vectors_of_nothing(spark):
 def test_search_equals_brute_force(spark, monkeypatch, chunk):
     monkeypatch.setattr(top_k, "CHUNK", chunk)
     monkeypatch.setattr(top_k, "BLOCK", chunk)
+    if chunk == 30:
+        # A grid of many cells instead of one.
+        monkeypatch.setattr(top_k, "GROUP", 1)
+        monkeypatch.setattr(top_k, "CELL", 1)
     rng = np.random.default_rng(2)
     v = np.concatenate([rng.normal(size=(150, 8)), np.repeat(rng.normal(size=(1, 8)), 80, axis=0), np.zeros((5, 8))]).astype(np.float32)
     rows = [(k, [float(x) for x in row], "c") for k, row in enumerate(v)]
