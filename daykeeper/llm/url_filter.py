@@ -109,7 +109,6 @@ def _by_join(pages: DataFrame, rules: list[tuple[str, str, str]], default: str)
     spark = pages.sparkSession
     schema = "suffix string, rule_path string, rule_verdict string, rule_text string"
     table = spark.createDataFrame([(h.translate(_LOWER), p, v, f"{h}{p}") for h, p, v in rules], schema)
-    rest = F.when(F.col("url").contains("://"), F.substring_index(F.concat(F.col("url"), F.lit("")), "://", -1))
     at = F.instr("url", "://")
     rest = F.when(at > 0, F.expr("substring(url, instr(url, '://') + 3)")).otherwise("")
     split = (
@@ -117,15 +116,18 @@ def _by_join(pages: DataFrame, rules: list[tuple[str, str, str]], default: str)
         .withColumn("raw", F.regexp_extract("rest", r"^[^/?#]*", 0))
         .withColumn("host", F.translate("raw", string.ascii_uppercase, string.ascii_lowercase))
         .withColumn("path", F.regexp_extract(F.expr("substring(rest, char_length(raw) + 1)"), r"^[^?#]*", 0))
-        .select(F.monotonically_increasing_id().alias("row"), "page_id", "host", "path")
+        .select("page_id", "host", "path")
     )
     labels = F.split("host", r"\.", -1)
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
-    offered = split.withColumn("suffix", F.explode(suffixes)).join(table, "suffix", "left")
+    # Equal places are judged once, whatever number of pages has them.
+    places = split.select("host", "path").distinct()
+    offered = places.withColumn("suffix", F.explode(suffixes)).join(table, "suffix")
     fits = F.col("path").startswith(F.col("rule_path"))
     rank = F.struct(
         F.char_length("rule_text").alias("n"), F.char_length("suffix").alias("h"), (F.col("rule_verdict") == "block").alias("b"),
         F.col("rule_text").alias("rule"), F.col("rule_verdict").alias("verdict"),
     )
-    best = offered.groupBy("row", "page_id", "host", "path").agg(F.max(F.when(fits, rank)).alias("best"))
-    return best.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    best = offered.where(fits).groupBy("host", "path").agg(F.max(rank).alias("best"))
+    judged = split.join(best, ["host", "path"], "left")
+    return judged.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
