@@ -12,12 +12,15 @@ from pyspark.sql import types as T
 
 from daykeeper.contracts import BUSINESS_KIND
 from daykeeper.functions.canonical import payload_text
+from daykeeper.session import durable
 from daykeeper.sources.named import arrow_uri
 from daykeeper.sources.tree import list_tree
 
 _HASH_CHUNK = 8 * 1024 * 1024
 #: Files up to this size are read once and held while they are observed; longer ones are read twice.
 _HELD_BYTES = 64 * 1024 * 1024
+#: Objects, or row groups of objects, that one task opens.
+OBJECTS_TOGETHER = 16
 
 
 def scan_day_tables(spark: SparkSession, root: str, dates: list[str] | None = None) -> DataFrame:
@@ -55,11 +58,18 @@ OBSERVED = (
 )
 
 
+def spread_objects(named: DataFrame, keys: list[str], together: int = OBJECTS_TOGETHER) -> DataFrame:
+    """Rows that name what a task is to read, in tasks of about ``together``. The names are a few bytes each: shuffled
+    by size alone, thousands of objects would meet in one task. They are kept, as counting them must not make them twice."""
+    kept = durable(named)
+    return kept.repartition(max(1, -(-kept.count() // together)), *keys)
+
+
 def observe_objects(objects: DataFrame, tasks: int | None = None) -> DataFrame:
     """Observed facts of Parquet files, in the contract's exact form.
 
-    ``objects`` has collector, archive_date, relative_key, kind and ``uri``. Rows are spread over
-    tasks by object; a file of up to 64 MB is read once, a longer one is streamed once for its digest and once
+    ``objects`` has collector, archive_date, relative_key, kind and ``uri``. Rows are spread by object over
+    ``tasks``, or over as many as their number asks for; a file of up to 64 MB is read once, a longer one is streamed once for its digest and once
     in row batches, so memory stays bounded for files of any size. Only business objects get a content digest.
     Where one object holds most rows, ``large_objects.observe_large_objects`` spreads its row groups.
 
@@ -92,7 +102,7 @@ def observe_objects(objects: DataFrame, tasks: int | None = None) -> DataFrame:
     said = [n for n in ("size_bytes", "sha256", "row_count", "schema_sha256") if n in objects.columns]
     slim = objects.select("collector", "archive_date", "relative_key", "kind", "uri", *said)
     keys = ["collector", "archive_date", "relative_key"]
-    spread = slim.repartition(tasks, *keys) if tasks else slim.repartition(*keys)
+    spread = slim.repartition(tasks, *keys) if tasks else spread_objects(slim, keys)
     return spread.mapInArrow(observe, OBSERVED)
 
 
@@ -172,5 +182,5 @@ def arrow_schema_digest(objects: DataFrame) -> DataFrame:
                 names=["relative_key", "row_count", "schema_sha256"],
             )
 
-    slim = objects.select("relative_key", "uri").repartition("relative_key")
+    slim = spread_objects(objects.select("relative_key", "uri"), ["relative_key"], 16 * OBJECTS_TOGETHER)
     return slim.mapInArrow(footer, "relative_key STRING, row_count BIGINT, schema_sha256 STRING")
