@@ -14,7 +14,7 @@ from daykeeper.functions.canonical import payload_text
 from daykeeper.operators.reconcile import OBJECT
 from daykeeper.session import durable
 from daykeeper.sources.named import arrow_uri
-from daykeeper.sources.tables import observe_objects
+from daykeeper.sources.tables import OBJECTS_TOGETHER, observe_objects, spread_objects
 
 #: Bytes of a piece of the chain; a longer row is a piece of its own.
 PIECE_BYTES = 1 << 20
@@ -33,8 +33,8 @@ def _ddl(schema: pa.Schema) -> str:
 def content_by_row_group(objects: DataFrame) -> DataFrame:
     """The contract's content digest of each Parquet file: OBJECT, content_sha256, reason.
 
-    ``objects``: OBJECT and ``uri``, one row per object. A row group is decoded and encoded by a task of its
-    own; its length-prefixed payloads leave in pieces of about ``PIECE_BYTES``. Pieces are shuffled by
+    ``objects``: OBJECT and ``uri``, one row per object. Row groups are decoded and encoded apart from each
+    other, in as many tasks as their number asks for; a row group's length-prefixed payloads leave in pieces of about ``PIECE_BYTES``. Pieces are shuffled by
     object and sorted (with spill), and one task per object only hashes them, one Arrow batch after the
     other, whose bytes Spark bounds. The chain itself is sequential by contract. A NaN, an infinity or a
     row group that cannot be decoded gives a NULL digest and the first such reason in file order.
@@ -58,8 +58,9 @@ def content_by_row_group(objects: DataFrame) -> DataFrame:
                 for number, (data, reason) in enumerate(_payload_pieces(row["uri"], row["row_group"])):
                     yield pa.RecordBatch.from_pylist([{**key, "piece": number, "data": data, "reason": reason}], schema=_PIECE)
 
-    found = objects.select(*OBJECT, "uri").repartition(*OBJECT).mapInArrow(groups, _ddl(_GROUP))
-    made = found.repartition(*OBJECT, "row_group").mapInArrow(pieces, _ddl(_PIECE))
+    # Footers alone are short work; a row group is decoded and encoded row by row.
+    found = spread_objects(objects.select(*OBJECT, "uri"), [*OBJECT], 16 * OBJECTS_TOGETHER).mapInArrow(groups, _ddl(_GROUP))
+    made = spread_objects(found, [*OBJECT, "row_group"]).mapInArrow(pieces, _ddl(_PIECE))
     ordered = made.repartition(*OBJECT).sortWithinPartitions(*OBJECT, "row_group", "piece")
     chained = ordered.mapInArrow(_chain, _ddl(_CHAINED)).withColumn("_found", F.lit(True))
     # A file without row groups has the digest of no bytes.
