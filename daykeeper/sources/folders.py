@@ -17,6 +17,8 @@ from daykeeper.sources.named import arrow_uri
 
 #: Exact days of one partition, partitions of a folder whose days are not known, bytes of documents in a batch.
 DAYS_TOGETHER, SPLITS, BATCH_BYTES = 64, 8, 8_000_000
+#: Folders whose days are not known: so many of them are a partition together, once there are ``MANY_FOLDERS``.
+FOLDERS_TOGETHER, MANY_FOLDERS = 32, 64
 
 _TESTS = {
     EqualTo: lambda x, v: x == v,
@@ -46,14 +48,14 @@ class Wanted:
 
 
 @dataclass
-class Folder(InputPartition):
-    """A folder with the values of the levels above the last, and which folders of the last level to read: those
-    named, or a share of those that are there."""
+class Folders(InputPartition):
+    """Folders with the values of the levels above the last, and which folders of the last level to read: those
+    named, or a share (of ``shares``) of those that are there."""
 
-    path: str
-    values: tuple[str | None, ...]
+    places: tuple[tuple[str, tuple[str | None, ...]], ...]
     named: tuple[str, ...] | None
     share: int = 0
+    shares: int = 1
 
 
 class DocumentReader(DataSourceReader):
@@ -99,37 +101,41 @@ class DocumentReader(DataSourceReader):
             return [(folder, None)] if wanted.takes(None) or not wanted.tests else []
         return [(path, value) for path, value in found if wanted.takes(value)]
 
-    def partitions(self) -> list[Folder]:
+    def partitions(self) -> list[Folders]:
         store, base = self._store()
         above: list[tuple[str, tuple[str | None, ...]]] = [(base, ())]
         for level in range(len(self.levels) - 1):
             above = [(path, (*values, value)) for folder, values in above for path, value in self._below(store, folder, level)]
-        out = []
         exact = self.wanted[self.levels[-1]].exact if self.levels else None
-        for path, values in above:
-            if not self.levels:
-                out.append(Folder(path, values, None))
-            elif exact is not None:
-                out += [Folder(path, values, tuple(exact[k : k + self.days])) for k in range(0, len(exact), self.days)]
-            else:
-                out += [Folder(path, values, None, k) for k in range(self.splits)]
-        return out or [Folder("", (), ())]
-
-    def _folders(self, store, part: Folder) -> list[tuple[str, tuple[str | None, ...]]]:
-        import zlib
-
-        if part.named == ():
-            return []
+        # Few folders are read in shares of their days, many in groups of folders: a task for each share of each
+        # folder would have next to nothing to do.
         if not self.levels:
-            return [(part.path, ())]
-        found = self._below(store, part.path, len(self.levels) - 1)
-        if part.named is not None:
-            found = [(path, value) for path, value in found if value in part.named]
+            out = [Folders((place,), None) for place in above]
+        elif exact is not None:
+            together = max(1, self.days // max(1, len(exact)))
+            chosen = [tuple(exact[k : k + self.days]) for k in range(0, len(exact), self.days)]
+            out = [Folders(places, days) for places in _together(above, together) for days in chosen]
+        elif len(above) < MANY_FOLDERS:
+            out = [Folders((place,), None, k, self.splits) for place in above for k in range(self.splits)]
         else:
-            found = [(path, value) for path, value in found if zlib.crc32((value or "").encode()) % self.splits == part.share]
-        return [(path, (*part.values, value)) for path, value in found]
+            # At least as many partitions as a few folders would have.
+            together = max(1, min(FOLDERS_TOGETHER, len(above) // MANY_FOLDERS))
+            out = [Folders(places, None) for places in _together(above, together)]
+        return out or [Folders((), ())]
 
-    def read(self, partition: Folder) -> Iterator[pa.RecordBatch]:
+    def _folders(self, store, part: Folders) -> Iterator[tuple[str, tuple[str | None, ...]]]:
+        import zlib
+
+        for folder, values in part.places:
+            if not self.levels:
+                yield folder, ()
+                continue
+            for path, value in self._below(store, folder, len(self.levels) - 1):
+                wanted = value in part.named if part.named is not None else zlib.crc32((value or "").encode()) % part.shares == part.share
+                if wanted:
+                    yield path, (*values, value)
+
+    def read(self, partition: Folders) -> Iterator[pa.RecordBatch]:
         import pyarrow.fs as pafs
 
         store, base = self._store()
@@ -157,6 +163,10 @@ class DocumentReader(DataSourceReader):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), fields)], names=[n for n, _ in fields])
 
 
+def _together(places: list, number: int) -> list[tuple]:
+    return [tuple(places[k : k + number]) for k in range(0, len(places), number)]
+
+
 def read_file(store, path: str) -> bytes:
     with store.open_input_stream(path) as stream:
         return stream.read()
@@ -166,8 +176,8 @@ class Documents(DataSource):
     """``spark.read.format("daykeeper_documents")``: a row for each file, with its folder levels.
 
     Options: ``path``; ``levels``, the ``key=`` folders from the root down (``key?`` may be missing and is
-    NULL then); ``glob`` of file names; ``recursive`` below the last level; ``days_together`` and
-    ``splits``, which size the partitions. Filters on levels and on ``name`` (equality, IN, comparisons,
+    NULL then); ``glob`` of file names; ``recursive`` below the last level; ``days_together`` (named days) and
+    ``splits`` (of a folder, while there are few), which size the partitions. Filters on levels and on ``name`` (equality, IN, comparisons,
     prefix) are pushed down: folders that do not pass are never listed, files never opened.
     """
 
