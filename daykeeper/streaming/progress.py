@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import math
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from daykeeper.contracts import PUBLISH_SECONDS
 from daykeeper.operators.telemetry import SPEED_STAGES, speed_step
 
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Objects without an end are folded together in so many buckets; each keeps a state entry of its own.
+OBJECT_BUCKETS = 4096
+
 
 def stream_progress(progress: DataFrame) -> DataFrame:
     """High water of each object; run it in update mode. Late and repeated updates do no harm.
@@ -103,28 +109,74 @@ def ending_progress(stream: DataFrame, ending: Ending = Ending()) -> DataFrame:
     return _stateful(stream, keys, ["bytes", "object_total", "completed"], schema, held, rise, ending, "update")
 
 
+def shown_updates(updates: Iterable[tuple], last: int | None, gap: int) -> tuple[list[int], int | None]:
+    """Which of an object's updates (micros, bytes, object_total, in order) are shown, and when the last one was."""
+    kept = []
+    for k, (at, moved, total) in enumerate(updates):
+        if min(max(moved, 0), total) >= total or last is None or at - last >= gap:
+            last = int(at)
+            kept.append(k)
+    return kept, last
+
+
+def _number(value: int | None) -> float:
+    """As in a data frame: what is missing compares as false."""
+    return math.nan if value is None else value
+
+
+class Throttle(StatefulProcessor):
+    """Keeps the updates that are shown, of all objects of a bucket. The state of an object is when it last showed one,
+    an entry of its own: a micro-batch reads and writes only the objects that it names."""
+
+    def __init__(self, columns: list[str], object_schema: str, gap: int):
+        self.columns, self.object_schema, self.gap = columns, object_schema, gap
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.shown = handle.getMapState("shown", self.object_schema, "last BIGINT")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803 - Spark's names
+        # A bucket's rows of one micro-batch; the source's rate limit and the number of buckets bound them.
+        objects: dict[tuple, list[Row]] = {}
+        for row in rows:
+            objects.setdefault((row["transfer_id"], row["object_name"]), []).append(row)
+        known = self.shown.exists()
+        for name, updates in objects.items():
+            updates.sort(key=lambda r: (r["micros"] is None, r["micros"] or 0, r["seq"] is None, r["seq"] or 0))
+            before = self.shown.getValue(name) if known else None
+            numbers = [(_number(r["micros"]), _number(r["bytes"]), _number(r["object_total"])) for r in updates]
+            kept, last = shown_updates(numbers, before[0] if before else None, self.gap)
+            if kept:
+                self.shown.updateValue(name, (last,))
+            for k in kept:
+                yield Row(**{c: updates[k][c] for c in self.columns})
+
+    def close(self) -> None:
+        pass
+
+
 def throttle(stream: DataFrame, seconds: float = PUBLISH_SECONDS, ending: Ending | None = None) -> DataFrame:
     """Drops an object's updates closer than ``seconds`` to its last kept one, unless complete. With an ``ending`` an
-    object's state goes; without, it stays for the life of the stream."""
+    object's state goes; without, it stays for the life of the stream, and as a data frame for each object takes
+    milliseconds, objects are then folded by buckets."""
     keys = ["transfer_id", "object_name"]
     gap = round(seconds * 1e6)
     schema = T.StructType(
         [stream.schema["transfer_id"], stream.schema["object_name"], stream.schema["seq"], T.StructField("bytes", T.LongType())]
     )
+    if ending is None:
+        stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(OBJECT_BUCKETS)).alias("bucket")
+        slim = stream.select(*keys, micros_of(F.col("ts")).alias("micros"), "seq", "bytes", "object_total", bucket)
+        objects = ", ".join(f"{k} {stream.schema[k].dataType.simpleString()}" for k in keys)
+        return slim.groupBy("bucket").transformWithState(Throttle(schema.names, objects, gap), schema, outputMode="append", timeMode="none")
 
     def keep(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None
         rows = _in_order(frames)
-        kept = []
-        for at, moved, total in zip(rows["micros"], rows["bytes"], rows["object_total"]):
-            shown = min(max(moved, 0), total) >= total or last is None or at - last >= gap
-            last = int(at) if shown else last
-            kept.append(shown)
+        kept, last = shown_updates(zip(rows["micros"], rows["bytes"], rows["object_total"]), last, gap)
         state.update((last,))
-        if ending:
-            ending.hold(state, int(rows["micros"].iloc[-1]), bool((rows["bytes"] >= rows["object_total"]).iloc[-1]))
-        out = rows[kept]
-        yield out[["transfer_id", "object_name", "seq", "bytes"]]
+        ending.hold(state, int(rows["micros"].iloc[-1]), bool((rows["bytes"] >= rows["object_total"]).iloc[-1]))
+        yield rows.iloc[kept][schema.names]
 
     state = T.StructType([T.StructField("last", T.LongType())])
     return _stateful(stream, keys, ["seq", "bytes", "object_total"], schema, state, keep, ending)
