@@ -310,9 +310,11 @@ def gated_cycle(spark: SparkSession, sf: str, require_both: bool) -> DataFrame:
         arrivals.where(F.col("step") == k).drop("step").coalesce(1).write.mode("append").parquet(root)
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(root)
     rows = views.event_rows(spark, sf).select(*DAY, *ROW)
+    # What every cycle looks up is tables; made anew from the events, each cycle would digest all of them again.
+    held, marked = durable(views.observed(spark, sf)), durable(views.markers(spark, sf).where("dom % 3 <> 0"))
     cycle = Cycle(
-        observed=lambda: views.observed(spark, sf),
-        markers=lambda: views.markers(spark, sf).where("dom % 3 <> 0"),
+        observed=lambda: held,
+        markers=lambda: marked,
         rows=lambda days: rows.join(days.select(*DAY), DAY, "left_semi"),
         data_path=scratch_path(spark, "caught-up"),
         report_path=scratch_path(spark, "caught-up-reports"),
