@@ -277,8 +277,12 @@ def local_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @shared
 def markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markers_of(drive_digests(spark, sf_dir))
+
+
+def markers_of(digests: DataFrame) -> DataFrame:
     """Local verification markers: stale digest on days % 6, damaged on days % 10."""
-    days = drive_digests(spark, sf_dir).where(~every(13))
+    days = digests.where(~every(13))
     return days.select(
         *DAY,
         "dom",
@@ -291,7 +295,11 @@ def markers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @shared
 def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
-    days = drive_digests(spark, sf_dir).where(~every(19))
+    return retention_of(drive_digests(spark, sf_dir))
+
+
+def retention_of(digests: DataFrame) -> DataFrame:
+    days = digests.where(~every(19))
     return days.select(
         *DAY,
         F.lit(DEFAULT_CONTRACTS.retention).alias("contract_version"),
@@ -359,7 +367,11 @@ def checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @shared
 def receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    days = drive_digests(spark, sf_dir).where("dom <= 10")
+    return receipts_of(drive_digests(spark, sf_dir))
+
+
+def receipts_of(digests: DataFrame) -> DataFrame:
+    days = digests.where("dom <= 10")
     name = F.concat(F.lit("receipt-"), "archive_date", F.lit(".json"))
     return days.select(
         *_identity(),

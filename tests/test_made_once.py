@@ -35,3 +35,13 @@ def test_cycles_look_up_tables_that_are_made_once(spark, monkeypatch):
     made = calls_of(monkeypatch, views, "observed"), calls_of(monkeypatch, views, "markers")
     assert files.gated_cycle(spark, "/root/testdata/sf0.001", True).count()
     assert [len(m) for m in made] == [1, 1]
+
+
+def test_documents_of_a_removal_come_from_given_digests(spark):
+    rows = [("c0", f"2024-01-{d:02}", d, f"m{d}") for d in (1, 6, 10, 11, 13, 19)]
+    digests = spark.createDataFrame(rows, "collector STRING, archive_date STRING, dom INT, manifest_sha256 STRING")
+    days = lambda df: {int(r["archive_date"][-2:]): r for r in df.collect()}
+    markers, receipts, retention = days(views.markers_of(digests)), days(views.receipts_of(digests)), days(views.retention_of(digests))
+    assert (set(markers), set(receipts), set(retention)) == ({1, 6, 10, 11, 19}, {1, 6, 10}, {1, 6, 10, 11, 13})
+    assert markers[1]["manifest_sha256"] == receipts[1]["manifest_sha256"] == retention[1]["verified_manifest_sha256"] == "m1"
+    assert markers[6]["manifest_sha256"] != "m6" and markers[10]["contract_version"] == "broken/v0"
