@@ -7,10 +7,11 @@ between JVM and contract; ``canonical_json_exact`` is the Arrow function for sch
 from __future__ import annotations
 
 import json
-from datetime import date, datetime, timezone
+from datetime import date, datetime, timedelta, timezone
 from decimal import Decimal
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -148,6 +149,11 @@ _encoder = json.JSONEncoder(
 )
 
 
+#: What a JSON string escapes, and the first and last microsecond that a ``datetime`` holds.
+_SPECIAL = r'[\x00-\x1f"\\]'
+_FIRST_MICRO, _LAST_MICRO = ((t - datetime(1970, 1, 1)) // timedelta(microseconds=1) for t in (datetime.min, datetime.max))
+
+
 def payload_text(row: dict) -> str | None:
     """Canonical payload of a plain Python row; None when it holds NaN or infinity."""
     try:
@@ -156,6 +162,71 @@ def payload_text(row: dict) -> str | None:
         return None
 
 
+def payload_rows(batch: pa.RecordBatch) -> list[bytes] | None:
+    """``payload_text`` of every row of an Arrow batch in UTF-8, made column by column; None when a row holds NaN or
+    infinity."""
+    names = batch.schema.names
+    if not names or len(set(names)) < len(names):
+        texts = [payload_text(dict(zip(names, values))) for values in zip(*(column.to_pylist() for column in batch.columns))]
+        return None if None in texts else [text.encode() for text in texts]
+    parts: list = []
+    for name, column in sorted(zip(names, batch.columns), key=lambda field: field[0]):
+        texts = _value_texts(column)
+        if texts is None:
+            return None
+        lead = ("," if parts else "{") + json.dumps(name, ensure_ascii=False) + ":"
+        parts += [_wide(lead), texts.cast(pa.large_string()).fill_null("null")]
+    return pc.binary_join_element_wise(*parts, _wide("}"), _wide("")).cast(pa.large_binary()).to_pylist()
+
+
+def _wide(text: str) -> pa.Scalar:
+    return pa.scalar(text, pa.large_string())
+
+
+def _value_texts(column: pa.Array) -> pa.Array | None:
+    """The JSON text of each value as ``_encoder`` has it inside a row, null or ``null`` where there is none; None when
+    a value is not finite."""
+    kind = column.type
+    if pa.types.is_integer(kind) or pa.types.is_boolean(kind):
+        return column.cast(pa.string())
+    if (pa.types.is_string(kind) or pa.types.is_large_string(kind)) and _is_text(column):
+        text = column.cast(pa.large_string())
+        if not pc.any(pc.match_substring_regex(text, _SPECIAL)).as_py():
+            return _in_quotes(text)
+    elif pa.types.is_decimal128(kind) and 0 <= kind.scale <= 6:
+        # With more places Arrow writes small values with an exponent.
+        return _in_quotes(column.cast(pa.string()))
+    elif kind == pa.timestamp("us") and _in_years(column):
+        text = pc.replace_substring(column.cast(pa.string()), " ", "T")
+        whole = pc.ends_with(text, ".000000")
+        return _in_quotes(pc.if_else(whole, pc.utf8_slice_codeunits(text, 0, 19), text), "Z")
+    values = column.to_pylist()
+    try:
+        texts = [_encoder.encode(value) for value in values]
+    except ValueError:
+        return None
+    return pa.array(texts, pa.large_string())
+
+
+def _is_text(column: pa.Array) -> bool:
+    """Whether all bytes are UTF-8; others have no Python value, which is an error."""
+    try:
+        column.validate(full=True)
+    except pa.ArrowInvalid:
+        return False
+    return True
+
+
+def _in_quotes(text: pa.Array, end: str = "") -> pa.Array:
+    return pc.binary_join_element_wise(_wide('"'), text.cast(pa.large_string()), _wide(f'{end}"'), _wide(""))
+
+
+def _in_years(column: pa.Array) -> bool:
+    """Whether all times lie in the years 1 to 9999; others have no Python value either."""
+    ends = pc.min_max(column.cast(pa.int64())).as_py()
+    return ends["min"] is None or ends["min"] >= _FIRST_MICRO and ends["max"] <= _LAST_MICRO
+
+
 def canonical_json_exact(df: DataFrame, columns: list[str] | None = None) -> Column:
     """As ``canonical_json`` for any schema, floats included, in Arrow batches.
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from daykeeper.contracts import BUSINESS_KIND, EMPTY_SHA256
-from daykeeper.functions.canonical import payload_text
+from daykeeper.functions.canonical import payload_rows
 from daykeeper.operators.reconcile import OBJECT
 from daykeeper.session import durable
 from daykeeper.sources.named import arrow_uri
@@ -82,13 +82,11 @@ def _payload_pieces(uri: str, group: int) -> Iterator[tuple[bytes | None, str |
     try:
         with _opened(uri) as table:
             for batch in table.iter_batches(batch_size=10_000, row_groups=[group]):
-                names = batch.schema.names
-                for values in zip(*(column.to_pylist() for column in batch.columns)):
-                    text = payload_text(dict(zip(names, values)))
-                    if text is None:
-                        yield None, "non_finite"
-                        return
-                    data = text.encode("utf-8")
+                rows = payload_rows(batch)
+                if rows is None:
+                    yield None, "non_finite"
+                    return
+                for data in rows:
                     held += len(data).to_bytes(8, "big") + data
                     if len(held) >= PIECE_BYTES:
                         yield bytes(held), None

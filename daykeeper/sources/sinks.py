@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from daykeeper.functions.canonical import canonical_json
-from daykeeper.sources.tables import read_partitioned
+from daykeeper.sources.tables import read_partitioned, spread_objects
+
+#: Reports that one task writes.
+REPORTS_TOGETHER = 64
 
 
 def report_text(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -18,11 +21,11 @@ def report_text(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 def write_report(df: DataFrame, path: str, columns: list[str] | None = None) -> None:
     """One canonical JSON document per row below ``collector=/archive_date=``.
 
-    The output commit replaces a day's folder as a whole; other days stay.
+    The output commit replaces a day's folder as a whole; other days stay. Reports are spread over tasks by their
+    number: a few hundred bytes each, thousands would meet in one task that opens a file for each.
     """
     (
-        report_text(df, columns)
-        .repartition("collector", "archive_date")
+        spread_objects(report_text(df, columns), ["collector", "archive_date"], REPORTS_TOGETHER)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("collector", "archive_date")

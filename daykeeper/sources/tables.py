@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from daykeeper.contracts import BUSINESS_KIND
-from daykeeper.functions.canonical import payload_text
+from daykeeper.functions.canonical import payload_rows
 from daykeeper.session import durable
 from daykeeper.sources.named import arrow_uri
 from daykeeper.sources.tree import list_tree
@@ -152,12 +152,10 @@ def _observe_file(uri: str, with_content: bool, said: dict) -> dict:
 def _content_chain(table) -> tuple[str | None, str | None]:
     digest = hashlib.sha256()
     for batch in table.iter_batches(batch_size=10_000):
-        names = batch.schema.names
-        for values in zip(*(column.to_pylist() for column in batch.columns)):
-            text = payload_text(dict(zip(names, values)))
-            if text is None:
-                return None, "non_finite"
-            data = text.encode("utf-8")
+        rows = payload_rows(batch)
+        if rows is None:
+            return None, "non_finite"
+        for data in rows:
             digest.update(len(data).to_bytes(8, "big") + data)
     return digest.hexdigest(), None
 
