@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import codecs
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -21,31 +23,40 @@ ROUNDS = 4
 #: and the longest that are kept.
 CACHE_ENTRIES = 300_000
 KEPT_LENGTH = 20
+#: A line is a Latin word with ASCII punctuation after it, or else any other part of a text.
+_PART = re.compile(r"([A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-/:-@\[-`{-~]*)\n|([^\n]+)\n")
 
 
 class WordBpe:
     """Token ids of whole texts by a ``tokenizers`` file that drops white space between words.
 
     A text is cut at spaces, tabs and line ends, where no token can cross; each different part is
-    encoded by the library once per slice of texts, and short ones are kept for later slices. Plain
-    Latin words go to the library many at a time: every word ends with a token that marks its end, so
-    the ids fall apart into words again.
+    encoded by the library once per slice of texts, and short ones are kept for later slices. Of Latin
+    words with ASCII punctuation after them, both are pre-tokens of their own; the words go to the
+    library many at a time in lower case and as the characters of their bytes, which is all that the
+    file's normaliser, pattern and byte level make of them: every word ends with a token that marks its
+    end, so the ids fall apart into words again.
     """
 
     def __init__(self, path: str, cache_entries: int = CACHE_ENTRIES):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.model = Tokenizer.from_file(path)
+        self.words = Tokenizer(self.model.model)
+        self.words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        shown = {chr(k): byte_level.pre_tokenize_str(chr(k))[0][0] for k in range(128, 256) if chr(k).isalpha()}
+        char_of = {byte: char for letter, chars in shown.items() for byte, char in zip(letter.encode(), chars)}
+        self.byte_chars = "".join(char_of.get(k, chr(k)) for k in range(256))
         self.last = np.zeros(self.model.get_vocab_size(), bool)
         for token, k in self.model.get_vocab().items():
             self.last[k] = token.endswith("</w>")
         self.cache: dict[bytes, bytes] = {}
         self.last_cache: dict[bytes, bytes] = {}
         self.cache_entries = cache_entries
-        self.marks = {m: self._one(m) if m else b"" for m in (".", ",", "")}
 
     def _one(self, part: str) -> bytes:
         return np.array(self.model.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
@@ -54,7 +65,9 @@ class WordBpe:
         out: list[bytes] = []
         for at in range(0, len(words), block):
             part = words[at : at + block]
-            ids = np.array(self.model.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            text = " ".join(part).lower().encode()
+            text = codecs.charmap_decode(text, "strict", self.byte_chars)[0]
+            ids = np.array(self.words.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
             ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
             if len(ends) == len(part) and ends[-1] == len(ids):
                 flat = ids.tobytes()
@@ -64,18 +77,12 @@ class WordBpe:
         return out
 
     def _learn(self, parts: list[bytes]) -> None:
-        plain, other = [], []
-        for raw in parts:
-            part = raw.decode()
-            word, mark = (part[:-1], part[-1]) if part[-1] in ".," else (part, "")
-            if word.isalpha() and (word.isascii() or max(word) <= "\xff"):
-                plain.append((raw, word, mark))
-            else:
-                other.append((raw, part))
-        words = list({word for _, word, _ in plain})
+        found = _PART.findall(b"".join([part + b"\n" for part in parts]).decode())
+        words = list({word for word, _, _ in found if word})
         ids = dict(zip(words, self._words(words)))
-        marks = self.marks
-        self.cache.update([(raw, ids[word] + marks[mark]) for raw, word, mark in plain])
+        marks = {m: self._one(m) if m else b"" for m in {m for _, m, _ in found}}
+        self.cache.update([(raw, ids[word] + marks[m]) for raw, (word, m, _) in zip(parts, found) if word])
+        other = [(raw, part) for raw, (_, _, part) in zip(parts, found) if part]
         coded = self.model.encode_batch_fast([part for _, part in other], add_special_tokens=False) if other else []
         self.cache.update([(raw, np.array(e.ids, "<u4").tobytes()) for (raw, _), e in zip(other, coded)])
 
